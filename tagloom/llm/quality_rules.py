@@ -1,8 +1,9 @@
 """Quality rules with distribution divergence.
 
-A document's histograms of character classes and of common words are held against those of its
-language over the whole corpus by the Jensen-Shannon distance. Both tests have a guard: a text below
-a minimum length is too short to tell and passes.
+A document's histograms of character classes and of common words are held against references of its
+language by the Jensen-Shannon distance. A reference is the Hellinger mean (the square of the mean
+root) of the histograms of all documents that are long enough, so that what a few documents are full
+of hardly shows. Both tests have a guard: a text below a minimum length is too short to tell and passes.
 """
 
 from __future__ import annotations
@@ -116,18 +117,23 @@ def _langs(batch: pa.RecordBatch) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index("lang")).cast(pa.string()).to_pylist()]
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, list[np.ndarray]] = {}
-    for batch, data, offsets in slices(batches):
-        langs = np.array(_langs(batch), object)
-        for kind, table in enumerate(histograms(data, offsets)):
-            for lang in set(langs):
-                part = table[langs == lang].sum(axis=0)
-                have = total.setdefault(lang, [0, 0])
-                have[kind] = have[kind] + part
-    for lang, tables in total.items():
-        for kind, counts in enumerate(tables):
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array([kind] * len(counts), pa.int32()), pa.array(range(len(counts)), pa.int32()), pa.array(counts.astype(np.int64))], names=["lang", "kind", "at", "n"])
+def _sums(guards: tuple[int, int]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, list[np.ndarray]] = {}
+        for batch, data, offsets in slices(batches):
+            langs = np.array(_langs(batch), object)
+            for kind, table in enumerate(histograms(data, offsets)):
+                size = table.sum(axis=1, keepdims=True)
+                root = np.rint(1e6 * np.sqrt(table / np.maximum(size, 1))).astype(np.int64)
+                for lang in set(langs):
+                    part = root[(langs == lang) & (size[:, 0] >= guards[kind])].sum(axis=0)
+                    have = total.setdefault(lang, [0, 0])
+                    have[kind] = have[kind] + part
+        for lang, tables in total.items():
+            for kind, sums in enumerate(tables):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sums)), pa.array([kind] * len(sums), pa.int32()), pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["lang", "kind", "at", "n"])
+
+    return rows
 
 
 _OUT = (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("class_distance", "double"), ("word_distance", "double"), ("kept", "boolean"))
@@ -152,22 +158,23 @@ def _judge(reference: dict[str, tuple[np.ndarray, np.ndarray]], limits: dict[str
     return rows
 
 
-def judge_quality(docs: DataFrame, min_chars: int = 200, class_limit: float = 0.25, min_words: int = 60, word_limit: float = 0.45, min_language_words: int = 2000) -> DataFrame:
+def judge_quality(docs: DataFrame, min_chars: int = 100, class_limit: float = 0.175, min_words: int = 60, word_limit: float = 0.45, min_language_texts: int = 20) -> DataFrame:
     """doc_id with base counts, both distances and ``kept`` for each row of ``docs`` (doc_id, text, lang).
 
     base_failed: fewer than 10 words, or more than 20 % of them in 5-word windows that occur twice.
     kept: not base_failed, and each distance is within its limit or the text is shorter than the
-    guard (``min_chars`` characters, ``min_words`` words). References are summed over all rows of a
-    language; a language with under ``min_language_words`` words takes that of all rows. Null and empty texts have no words
+    guard (``min_chars`` characters, ``min_words`` words). References are means over all rows of a
+    language that the guards let in; a language with under about ``min_language_texts`` of them takes that of all rows. Null and empty texts have no words
     and fail; null languages are one language. Every row gives a row, repeated ones too.
     """
     wide = docs.select("doc_id", "text", "lang")
-    sums = wide.select("text", "lang").mapInArrow(_sums, "lang string, kind int, at int, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).collect()
+    sums = wide.select("text", "lang").mapInArrow(_sums((min_chars, min_words)), "lang string, kind int, at int, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).collect()
     shape = CLASSES, len(dict.fromkeys(COMMON_WORDS)) + 1
     reference: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for r in sums:
         reference.setdefault(r["lang"], (np.zeros(shape[0]), np.zeros(shape[1])))[r["kind"]][r["at"]] += r["n"]
     pool = tuple(sum((v[k] for v in reference.values()), np.zeros(shape[k])) for k in (0, 1))
-    reference = {k: v for k, v in reference.items() if v[1].sum() >= min_language_words}
+    reference = {k: v for k, v in reference.items() if (v[1] / 1e6).max() >= min_language_texts * 0.5}
+    pool, reference = tuple(x**2 for x in pool), {k: tuple(x**2 for x in v) for k, v in reference.items()}
     kind = docs.schema["doc_id"].dataType.simpleString()
     return wide.mapInArrow(_judge(reference, {"min_chars": min_chars, "class_limit": class_limit, "min_words": min_words, "word_limit": word_limit}, pool), f"doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in _OUT))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.llm.decontam import find_leaks
 from tagloom.llm.html_main import extract_main_text
 from tagloom.llm.langid import identify_languages
 from tagloom.llm.line_dedup import drop_repeated_lines
@@ -32,6 +33,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
@@ -56,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard_join, op3_toxicity, op5_line_dedup, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id)
+        for f in (op1_ngram_jaccard_join, op3_toxicity, op4_benchmark_decontamination, op5_line_dedup, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id)
     }
 
 

@@ -70,7 +70,7 @@ def nn_pu_fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 60
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 3000, unlabelled: int = 9000, features: int = 1024, prior: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 3000, unlabelled: int = 9000, features: int = 3072, prior: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(bins of the used words, weights, bias).
 
     At most ``positives`` confirmed toxic and ``unlabelled`` other texts are fitted, taken by a hash of
