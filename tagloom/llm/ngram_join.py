@@ -242,9 +242,13 @@ def _verify(percent: int):
 
 
 def _possible(x: str, y: str, percent: int):
-    """The length and positional filters for one shared prefix n-gram of two sets."""
+    """The length and positional filters for one shared prefix n-gram of two sets.
+
+    The bound counts no n-gram before this one as shared. It holds for the first n-gram, in rare-first
+    order, that two sets share, which suffices: a linked pair passes by that one.
+    """
     nx, px, ny, py = (F.col(f"{s}.{c}") for s in (x, y) for c in ("n", "pos"))
-    most = F.least(px, py) + 1 + F.least(nx - px, ny - py) - 1
+    most = F.least(nx - px, ny - py)
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * most >= percent * (nx + ny))
 
 
@@ -253,17 +257,20 @@ def _link_classes(reps: DataFrame, percent: int, stash: Stash) -> DataFrame:
     posting = reps.mapInArrow(_prefixes(percent), "k long, rid long, n long, pos long")
     posting = stash.put(posting, "prefixes")
     posting = stash.put(posting.join(posting.groupBy("k").count().where("count > 1").select("k"), "k"), "postings")
+    rows = posting.count()
     sets = reps.select("rid", "n", "grams")
     tested = links = labels = None
     rounds = 0
     while True:
         rounds += 1
         member = posting.withColumn("c", F.col("rid")) if labels is None else posting.join(labels.select(F.col("id").alias("rid"), "component"), "rid", "left").select("k", "rid", "n", "pos", F.coalesce("component", "rid").alias("c"))
-        pivot = F.min_by(F.struct("rid", "n", "pos", "c"), F.xxhash64("rid", F.lit(rounds)))
+        # first the member with the fewest rarer n-grams, which is most like the others; later any
+        first = F.struct("pos", "rid") if rounds == 1 else F.struct(F.xxhash64("rid", F.lit(rounds)), "rid")
+        pivot = F.min_by(F.struct("rid", "n", "pos", "c"), first)
         lists = member.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), pivot.alias("y")).where("low < high").select("k", "y")
         x = member.select("k", F.struct("rid", "n", "pos", "c").alias("x"))
         star = x.join(lists, "k")
-        exhaustive = rounds > 1 and (rounds > 6 or not grew or _split_pairs(member) <= 4 * posting.count())
+        exhaustive = rounds > 1 and (rounds > 6 or not grew or _split_pairs(member) <= 16 * rows)
         if exhaustive:
             star = x.join(x.select("k", F.col("x").alias("y")), "k").where("x.rid < y.rid")
         star = star.where("x.c <> y.c").where(_possible("x", "y", percent))
