@@ -63,6 +63,11 @@ def _points(text: str) -> np.ndarray:
 
 def banded_distance(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int]:
     """(least edits, end) of item within region, along the diagonals from -budget on; over the budget: budget + 1."""
+    whole = region.tobytes().find(item.tobytes())
+    while whole % 4 and whole > 0:
+        whole = region.tobytes().find(item.tobytes(), whole + 1)
+    if whole >= 0:
+        return 0, whole // 4 + len(item)
     low, high = -budget, max(len(region) - len(item), 0) + budget
     width = high - low + 1
     place = np.arange(width)
@@ -141,14 +146,20 @@ def _find(passages: Passages):
             many = passages.start[near + 1] - passages.start[near]
             entry = np.repeat(passages.start[near] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
             item, at, d = passages.item[entry], passages.at[entry], np.repeat(hit, many)
+            # an occurrence lies in two neighbouring stretches of the text, which hold its bound of hits
+            stretch = d // reach
+            total = _counts(stretch, item, int(stretch.max()) + 3, len(passages.ids))
+            some = np.maximum(total(stretch) + total(stretch + 1), total(stretch - 1) + total(stretch)) >= passages.bound[item]
+            item, at, d = item[some], at[some], d[some]
+            if not len(d):
+                continue
             step = passages.budget[item] + 1
             band = (d - at) // step
             base = int(band.min()) - 1
             span = int(band.max()) - base + 2
             group = (row[d].astype(np.int64) * len(passages.ids) + item) * span
             key = np.concatenate([group + band - base, group + band - 1 - base])
-            seen = np.unique(np.stack([key, np.concatenate([at, at])], axis=1), axis=0) if len(key) < 2000 else _distinct(key, np.concatenate([at, at]))
-            keys, count = np.unique(seen[:, 0], return_counts=True)
+            keys, count = np.unique(_distinct(key, np.concatenate([at, at])), return_counts=True)
             which = (keys // span) % len(passages.ids)
             good = count >= passages.bound[which]
             starts = np.searchsorted(row, np.arange(len(offsets)))
@@ -171,10 +182,25 @@ def _find(passages: Passages):
 
 
 def _distinct(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The key of each distinct pair of key and place."""
     order = np.lexsort((at, key))
     key, at = key[order], at[order]
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
-    return np.stack([key[fresh], at[fresh]], axis=1)
+    return key[np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])])]
+
+
+def _counts(stretch: np.ndarray, item: np.ndarray, stretches: int, items: int):
+    """Hits by stretch (from -1 on) and item, as a function of the stretches of the same hits."""
+    if stretches * items <= 1 << 24:
+        table = np.bincount((stretch + 1) * items + item, minlength=stretches * items)
+        return lambda s: table[(s + 1) * items + item]
+    keys, n = np.unique((stretch + 1) * items + item, return_counts=True)
+
+    def look(s: np.ndarray) -> np.ndarray:
+        want = (s + 1) * items + item
+        near = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        return np.where(keys[near] == want, n[near], 0)
+
+    return look
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_chars: int = 4 << 20) -> DataFrame:
