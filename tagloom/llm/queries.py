@@ -9,6 +9,7 @@ from tagloom.llm.decontam import find_leaks
 from tagloom.llm.html_main import extract_main_text
 from tagloom.llm.langid import identify_languages
 from tagloom.llm.line_dedup import drop_repeated_lines
+from tagloom.llm.lm_katz import katz_scores
 from tagloom.llm.mixing import MIX_SQL, mix_sources
 from tagloom.llm.ngram_join import ngram_jaccard_groups
 from tagloom.llm.quality_rules import judge_quality
@@ -28,6 +29,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(_table(spark, sf_dir, "documents"), size=5, percent=80).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(_table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold(3) != 1)
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -61,7 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard_join, op3_toxicity, op4_benchmark_decontamination, op5_line_dedup, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id)
+        for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_benchmark_decontamination, op5_line_dedup, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id)
     }
 
 
