@@ -1,9 +1,66 @@
-"""The corpus pipeline over the text operators."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate documents, benchmark decontamination, source mixing.
 
-STAGES = []
+Each stage is a function (spark, docs, sf_dir) -> DataFrame. Its result is written as Parquet and
+read again as the next stage's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagloom.llm.common import Stash
+from tagloom.llm.decontam import find_leaks
+from tagloom.llm.langid import UNKNOWN, identify_languages
+from tagloom.llm.line_dedup import drop_repeated_lines
+from tagloom.llm.mixing import mix_sources
+from tagloom.llm.ngram_join import ngram_jaccard_groups
+
+#: A document stays if its language is told with at least this share.
+LEAST_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language can't be told, go."""
+    found = identify_languages(docs, F.lit(True), columns=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; every document stays, if need be with an empty text."""
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    kept = drop_repeated_lines(docs, columns=tuple(rest))
+    told = kept.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long"))
+    return told.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicate documents the one with the least doc_id stays."""
+    groups = ngram_jaccard_groups(docs)
+    return docs.join(groups.where("component_id = doc_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark passage go."""
+    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The appearances of documents in the mixture."""
+    return mix_sources(docs)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("source_mixing", source_mixing)]
+
+#: Language ID, the groups of near-duplicates and the alignment have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents`` of ``sf_dir``; each result but the last is a table in the shared folder."""
+    stash = Stash(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stash.put(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,6 +12,7 @@ from tagloom.llm.line_dedup import drop_repeated_lines
 from tagloom.llm.lm_katz import katz_scores
 from tagloom.llm.mixing import MIX_SQL, mix_sources
 from tagloom.llm.ngram_join import ngram_jaccard_groups
+from tagloom.llm.quality_cotrain import score_quality
 from tagloom.llm.quality_rules import judge_quality
 from tagloom.llm.toxicity import score_toxicity
 
@@ -46,6 +47,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold(5) != 1)
+    return scored.select("doc_id", (fold(5) == 1).alias("held_out"), "p_text", "p_metadata", "score", "kept")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -66,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_benchmark_decontamination, op5_line_dedup, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id)
+        for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id)
     }
 
 
