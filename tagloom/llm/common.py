@@ -150,7 +150,7 @@ def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndar
     total = np.zeros(n + 1, U8)
     with np.errstate(over="ignore"):
         np.cumsum(_BYTE[data] * _power(_BASE, n), out=total[1:])
-        return mix((total[end] - total[first]) * _power(_BASE_INVERSE, n)[first] + (end - first).astype(U8) * _MULT[60])
+        return mix((total[end] - total[first]) * _power(_BASE_INVERSE, n + 1)[first] + (end - first).astype(U8) * _MULT[60])
 
 
 def window_hashes(tokens: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
