@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("ranking",)
+MODULES = ("ranking", "search", "series", "coverage", "textual", "graphs", "metrics", "sessions")
 
 
 def load() -> None:
