@@ -68,6 +68,11 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("lang")), pa.array(bits, pa.binary())], names=["lang", "bits"])
 
 
+def _unit_rows(packed: list[bytes]) -> np.ndarray:
+    x = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)[:, :BINS].astype(np.float32)
+    return x / np.sqrt(x.sum(axis=1, keepdims=True))
+
+
 def fit(docs: DataFrame, learn: Column, landmarks: int = 240, fit_rows: int = 2400, ridge: float = 0.5) -> tuple[list[str], np.ndarray]:
     """(languages, BINS x languages matrix) from the rows of ``docs`` where ``learn`` holds.
 
@@ -83,18 +88,17 @@ def fit(docs: DataFrame, learn: Column, landmarks: int = 240, fit_rows: int = 24
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     limit = F.create_map(*[F.lit(x) for l in langs for x in (l, min(1 << 30, int(1.5 * each / counts[l] * (1 << 30)) + 1))])
     seen = known.where(part < limit[F.col("lang")]).select("text", "lang").mapInArrow(_sample_rows, "lang string, bits binary").where("bits is not null").collect()
-    by = {l: [np.unpackbits(np.frombuffer(r["bits"], np.uint8))[:BINS] for r in seen if r["lang"] == l][:each] for l in langs}
+    by = {l: [r["bits"] for r in seen if r["lang"] == l][:each] for l in langs}
     langs = [l for l in langs if by[l]]
-    x = np.concatenate([by[l] for l in langs]).astype(np.float32)
+    packed = [bits for l in langs for bits in by[l]]
     y = np.repeat(np.arange(len(langs)), [len(by[l]) for l in langs])
-    x /= np.sqrt(x.sum(axis=1, keepdims=True))
     take = max(1, landmarks // len(langs))
     mark = np.concatenate([np.flatnonzero(y == k)[:take] for k in range(len(langs))])
-    z = x[mark]
+    z = _unit_rows([packed[i] for i in mark])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     values = np.maximum(values, 1e-6 * values[-1])
     root = vectors / np.sqrt(values)
-    mapped = x @ z.T @ root
+    mapped = np.concatenate([_unit_rows(packed[i : i + 200]) @ z.T for i in range(0, len(packed), 200)]) @ root
     target = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
     weight = 1.0 / np.bincount(y)[y][:, None]
     weight *= len(y) / weight.sum()
