@@ -74,7 +74,7 @@ def window_pool(spark, sf_dir):
     return R.pool(window(spark, sf_dir), R.broad_gate())
 
 
-@query("a07_pool_manifest", f"{POOL_SQL}, e AS (SELECT count(*) AS eligible, sha256(string_agg(rank || ':' || tag_id, ',' ORDER BY rank)) AS checksum FROM pool) SELECT min(published_at) AS first_at, max(published_at) AS last_at, count(DISTINCT tag) AS candidates, any_value(eligible) AS eligible, any_value(checksum) AS checksum FROM w, e")
+@query("a07_pool_manifest", f"{POOL_SQL}, e AS (SELECT count(*) AS eligible, sha256(coalesce(string_agg(rank || ':' || tag_id, ',' ORDER BY rank), '')) AS checksum FROM pool) SELECT min(published_at) AS first_at, max(published_at) AS last_at, count(DISTINCT tag) AS candidates, any_value(eligible) AS eligible, any_value(checksum) AS checksum FROM w, e")
 def pool_manifest(spark, sf_dir):
     """The pool's outline; the checksum is over at most 100 entries in rank order."""
     rows = window(spark, sf_dir)
