@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("ranking", "search", "series", "coverage", "textual", "graphs", "metrics", "sessions")
+MODULES = ("ranking", "search", "series", "coverage", "textual", "graphs", "metrics", "sessions", "stories")
 
 
 def load() -> None:
