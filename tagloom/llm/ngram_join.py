@@ -256,7 +256,10 @@ def _link_classes(reps: DataFrame, percent: int, stash: Stash) -> DataFrame:
     """(id, component) of the classes that link with another one. reps: rid, n, grams, df."""
     posting = reps.mapInArrow(_prefixes(percent), "k long, rid long, n long, pos long")
     posting = stash.put(posting, "prefixes")
-    posting = stash.put(posting.join(posting.groupBy("k").count().where("count > 1").select("k"), "k"), "postings")
+    # a member too deep in its order for even the smallest set of the list can't be linked by this n-gram
+    lists = posting.groupBy("k").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).where("members > 1")
+    fits = (100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + F.col("least"))
+    posting = stash.put(posting.join(lists, "k").where(fits).select("k", "rid", "n", "pos"), "postings")
     rows = posting.count()
     sets = reps.select("rid", "n", "grams")
     tested = links = labels = None
