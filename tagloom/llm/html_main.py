@@ -30,8 +30,16 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)/?>|<[!?][^>]*>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: A layout wrapper says so of what it holds beside other text: with-sidebar, has-comments, no-ads.
+_MODIFIED = re.compile(r"(?:^|[_-])(?:with|without|has|have|no|non|not)[_-]", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+#: Elements that end an open p as they start; what keeps an end tag or an item from reaching further out.
+_ENDS_P = (BLOCKS | {"nav", "footer", "aside", "form", "dialog", "menu", "fieldset", "dir", "search", "hgroup"}) - {"html", "body", "thead", "tbody", "tr", "td", "th", "caption", "summary"}
+_SCOPE = ("table", "td", "th", "caption", "object", "html")
+_ITEM = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "thead": ("thead", "tbody", "tfoot", "caption"), "tbody": ("thead", "tbody", "tfoot", "caption"), "tfoot": ("thead", "tbody", "tfoot", "caption")}
+_LIST = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
+_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9:-]*)")
 WINDOW = 3
 
 
@@ -40,14 +48,59 @@ def _sided(name: str, attributes: str) -> bool:
         return False
     if not attributes or attributes.isspace():
         return False
-    return any(_SIDE.search(a or b or c or "") for a, b, c in _ATTRIBUTE.findall(attributes)) or bool(_HIDDEN.search(attributes))
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), values[0] or values[1] or values[2]
+        if key in ("class", "id", "role", "aria-label"):
+            if _SIDE.search(value) and any(_SIDE.search(x) and not _MODIFIED.search(x) for x in value.split()):
+                return True
+        elif (key == "hidden" and value.lower() != "false") or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _UNSEEN.search(value)):
+            return True
+    return False
+
+
+class _Open:
+    """The open elements of a page; start and end tags end what HTML lets them end. Of inline elements only those in skipped parts are kept."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def cut(self, size: int) -> None:
+        while len(self.names) > size:
+            self.at[self.names.pop()].pop()
+
+    def last(self, *names: str) -> int:
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
+
+    def start(self, name: str) -> None:
+        """End what the start tag of ``name`` ends."""
+        if name in _ITEM and (k := self.last(*_ITEM[name])) > self.last("table", *_LIST.get(name, ())):
+            self.cut(k)
+        if name in _ENDS_P and (k := self.last("p")) > self.last(*_SCOPE):
+            self.cut(k)
+
+    def end(self, name: str) -> None:
+        if (k := self.last(name)) >= 0 and (name in _SCOPE or name in _ITEM and name not in _LIST or k > self.last(*_SCOPE)):
+            self.cut(k)
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, number of the article element or 0) of each line; skipped parts give one empty line."""
+    """(text, number of the article element or 0) of each line; skipped parts give one empty line.
+
+    Numbers of articles within skipped parts are negative.
+    """
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    at, skip, depth, article, articles, opened = 0, "", 0, 0, 0, 0
+    at, article, articles = 0, 0, 0
+    tree = _Open()
+    # (open elements outside, whether text is skipped, article number outside) of skipped parts and of the articles in them
+    states: list[tuple[int, bool, int]] = []
+    outer = -1  # open elements outside the article, where it is no state
+    ends: dict[str, int] | None = None
 
     def close() -> None:
         if parts:
@@ -58,6 +111,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             parts.clear()
 
     for m in _TOKEN.finditer(page):
+        skip = bool(states) and states[-1][1]
         if not skip and m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
@@ -65,35 +119,52 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if name is None:
             continue
         name, closing = name.lower(), bool(m[2])
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skip = ""
-            elif name in ("article", "main") and not closing and f"</{skip}" not in page[at:].lower():
-                skip = ""
-            if skip or name not in ("article", "main"):
-                continue
-        if not closing and name not in VOID and (name in SKIPPED or (name == "header" and not article) or _sided(name, m[4])):
+        block = name in BLOCKS
+        if not skip and block:
             close()
-            if not m[4].rstrip().endswith("/"):
-                skip, depth = name, 1
-                out.append(("", 0))
+        if closing:
+            tree.end(name)
+        else:
+            tree.start(name)
+        depth = len(tree.names)
+        if states and depth <= states[-1][0]:
+            close()
+            while states and depth <= states[-1][0]:
+                article = states.pop()[2]
+            skip = bool(states) and states[-1][1]
+        if 0 <= depth <= outer:
+            close()
+            article, outer = 0, -1
+        if closing or name in VOID:
+            if name == "br" and not skip:
+                parts.append(" ")
             continue
-        if name in BLOCKS:
+        whole = m[4].rstrip().endswith("/")
+        if name in ("article", "main"):
+            if skip:
+                if ends is None:
+                    ends = {x[1].lower(): x.start() for x in _END.finditer(page)}
+                if ends.get(tree.names[states[-1][0]], -1) < at:  # the skipped element never ends
+                    size, _, article = states.pop()
+                    tree.cut(size)
+                    skip = bool(states) and states[-1][1]
+            if skip:
+                articles += 1
+                states.append((len(tree.names), False, article))
+                article = -articles
+            elif not article:
+                articles += 1
+                article, outer = articles if not states else -articles, len(tree.names)
+            tree.push(name)
+        elif not skip and (name in SKIPPED or (name == "header" and not article) or _sided(name, m[4])):
             close()
-            if name in ("article", "main"):
-                if closing:
-                    opened = max(0, opened - 1)
-                    article = article if opened else 0
-                else:
-                    opened += 1
-                    if opened == 1:
-                        articles += 1
-                    article = articles
-        elif name == "br":
-            parts.append(" ")
-    if not skip and at < len(page):
+            if not whole:
+                out.append(("", 0))
+                states.append((depth, True, article))
+                tree.push(name)
+        elif not whole and (skip or block or name in _SCOPE):
+            tree.push(name)
+    if not (states and states[-1][1]) and at < len(page):
         tail = page[at:]
         parts.append(tail[: tail.rfind("<")] if re.search(r"<[/a-zA-Z!?][^>]*\Z", tail) else tail)
     close()
@@ -102,7 +173,22 @@ def lines_of(page: str) -> list[tuple[str, int]]:
 
 def main_text(page: str | None, threshold: int = 40) -> str:
     """The main text of a page; empty without one. Block texts are joined by an empty line."""
-    lines = lines_of(page or "")
+    found = lines_of(page or "")
+    inner: dict[int, int] = {}
+    for t, k in found:
+        if k < 0:
+            inner[k] = inner.get(k, 0) + len(t)
+    lines = [x if x[1] >= 0 else ("", 0) for x in found]
+    text = _outer_text(lines, threshold)
+    if inner:
+        # an article within a skipped part is the main text where nothing else is: four times as long as an article outside, or longer than other text
+        k = max(inner, key=lambda k: (inner[k], k))
+        if inner[k] > len(text) * (4 if any(n and t for t, n in lines) else 1):
+            return "\n\n".join(t for t, j in found if j == k and t)
+    return text
+
+
+def _outer_text(lines: list[tuple[str, int]], threshold: int) -> str:
     sizes = [len(t) for t, _ in lines]
     if not any(sizes):
         return ""

@@ -281,3 +281,28 @@ def test_empty_tables(spark, job):
         "mix": lambda: mix_sources(docs), "lang": lambda: identify_languages(docs, ~held), "tox": lambda: score_toxicity(docs, labels, ~held), "quality": lambda: score_quality(docs, labels, ~held),
     }[job]()
     assert out.collect() == []
+
+
+def test_main_text_of_layout_wrappers():
+    words = "A sentence of the article that has words enough to count as its text."
+    body = f"<h1>Title</h1><p>{words}</p><p>Second.</p>"
+    want = f"Title\n\n{words}\n\nSecond."
+    for attributes in ('class="content" style="overflow:hidden"', 'class="overflow-hidden"', 'class="layout with-sidebar"', 'class="has-sidebar"', 'class="no-sidebar has-comments"', 'class="row sidebar"', "data-hidden=x", 'class="col col--with-ads"'):
+        assert main_text(f"<body><nav>Home</nav><div {attributes}><article>{body}</article></div><footer>x</footer></body>") == want
+        if "row" not in attributes:
+            assert main_text(f"<body><nav>Home</nav><div {attributes}><div>{body}</div></div><footer>x</footer></body>") == want
+    for attributes in ("hidden", 'hidden=""', 'style="color:red; display: none"', 'aria-hidden="true"', 'class="main-sidebar"', 'id="comments"', 'class="cookie-notice with-border"'):
+        assert main_text(f"<body><div {attributes}><p>{words} Not of it.</p></div><article>{body}</article></body>") == want
+    comments = f'<section id="comments"><article><p>{words} {words} A comment.</p></article></section>'
+    assert main_text(f"<body><article>{body}{comments}<p>End.</p></article></body>") == want + "\n\nEnd."
+    assert main_text(f'<body><form id="f"><div><article>{body}</article></div></form></body>') == want
+
+
+def test_main_text_implied_ends():
+    words = "A sentence of the article that has words enough to count as its text."
+    assert main_text(f'<body><div><p class="notice">Note<p>{words}<p>B</div></body>') == f"{words}\n\nB"
+    assert main_text(f'<body><div><p class="notice">Note</div><div><p>{words}<p>B</div></body>') == f"{words}\n\nB"
+    assert main_text(f'<body><ul><li class="menu-item">x<li class="menu-item">y</ul><div><p>{words}</p><ul><li>one<li>two</ul></div></body>') == f"{words}\n\none\n\ntwo"
+    assert main_text(f'<body><table><tr><td class="ad">x<td><p>{words}<tr><td>B</table></body>') == f"{words}\n\nB"
+    assert main_text(f'<body><div class="ad"><div>x</div><p>y</div><p>{words}</p></body>') == words
+    assert main_text(f'<body><ul><li class="menu-item">x<ul><li>y<li>z</ul>w<li>{words}</ul></body>') == words
