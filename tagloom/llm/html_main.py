@@ -4,7 +4,8 @@ Markup is stripped so that each block element is a line. Lines of menus, footers
 scripts, comments and the like have no length. Text lengths are summed over sliding windows of
 lines; a *surge* point is where a sum rises over the threshold from nothing, a *dive* point where
 the sums fall to nothing again. The text between the surge and the dive with the most text is the
-main text; it reaches to both ends of the article element, if it lies in one.
+main text; it reaches to both ends of the article element, if it lies in one. Without an article element,
+a skipped part is a gap that does not end the text where the same container goes on behind it.
 """
 
 from __future__ import annotations
@@ -64,14 +65,24 @@ class _Open:
     def __init__(self) -> None:
         self.names: list[str] = []
         self.at: dict[str, list[int]] = {}
+        #: Number of each open element; name and number of the parent of all elements so far, 0 the page.
+        self.ids: list[int] = []
+        self.kinds, self.parents = [""], [0]
+
+    def top(self) -> int:
+        return self.ids[-1] if self.ids else 0
 
     def push(self, name: str) -> None:
         self.at.setdefault(name, []).append(len(self.names))
+        self.kinds.append(name)
+        self.parents.append(self.top())
         self.names.append(name)
+        self.ids.append(len(self.kinds) - 1)
 
     def cut(self, size: int) -> None:
         while len(self.names) > size:
             self.at[self.names.pop()].pop()
+            self.ids.pop()
 
     def last(self, *names: str) -> int:
         return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
@@ -88,12 +99,13 @@ class _Open:
             self.cut(k)
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """(text, number of the article element or 0) of each line; skipped parts give one empty line.
+def lines_of(page: str) -> tuple[list[tuple[str, int]], list[int], _Open]:
+    """(text, number of the article element or 0) of each line, and the number of its block element in the tree; skipped parts give one empty line.
 
     Numbers of articles within skipped parts are negative.
     """
     out: list[tuple[str, int]] = []
+    places: list[int] = []
     parts: list[str] = []
     at, article, articles = 0, 0, 0
     tree = _Open()
@@ -108,6 +120,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
                 out.append((text, article))
+                places.append(tree.top())
             parts.clear()
 
     for m in _TOKEN.finditer(page):
@@ -160,6 +173,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             close()
             if not whole:
                 out.append(("", 0))
+                places.append(tree.top())
                 states.append((depth, True, article))
                 tree.push(name)
         elif not whole and (skip or block or name in _SCOPE):
@@ -168,18 +182,74 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         tail = page[at:]
         parts.append(tail[: tail.rfind("<")] if re.search(r"<[/a-zA-Z!?][^>]*\Z", tail) else tail)
     close()
-    return out
+    return out, places, tree
+
+
+#: Block elements that are text of the container they lie in.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr center".split())
+
+
+def _together(tree: _Open, x: int, y: int, both: bool) -> bool:
+    """Whether lines of the elements x and y are text of one container. both: each is of a stretch that passes the threshold.
+
+    Lines that lie deeper, in containers of their own, are together if both pass and something less than the whole page holds them.
+    """
+    above, k = {0}, x
+    while k:
+        above.add(k)
+        k = tree.parents[k]
+    common = y
+    while common not in above:
+        common = tree.parents[common]
+
+    def container(k: int) -> int:
+        while k and tree.kinds[k] in _TEXT:
+            k = tree.parents[k]
+        return k
+
+    base = container(common)
+    if container(x) == base == container(y):
+        return True
+    part = tree.kinds[base] not in ("", "html", "body")
+    direct = all(container(k) == base or container(tree.parents[k]) == base for k in (x, y))
+    return (both or direct) if part else both and direct
+
+
+def _joined(sizes: list[int], spans: list[tuple[int, int]], threshold: int, places: list[int], tree: _Open) -> tuple[int, int]:
+    """First and last line of the stretches of one container with the most text; short lines and stretches beside them go along."""
+    surges = [next((i for i in range(a, b) if sum(sizes[i : min(i + WINDOW, b)]) >= threshold), None) for a, b in spans]
+    groups: list[list[int]] = []
+    for k in (k for k, at in enumerate(surges) if at is not None):
+        if groups and _together(tree, places[spans[groups[-1][1]][1] - 1], places[spans[k][0]], True):
+            groups[-1][1] = k
+        else:
+            groups.append([k, k])
+    if not groups:
+        groups = [[k, k] for k in [max(range(len(spans)), key=lambda k: sum(sizes[slice(*spans[k])]))]]
+    found = []
+    for first, last in groups:
+        while last + 1 < len(spans) and surges[last + 1] is None and _together(tree, places[spans[last][1] - 1], places[spans[last + 1][0]], False):
+            last += 1
+        at = spans[first][0] if surges[first] is None else surges[first]
+        while at > spans[first][0] and _together(tree, places[at - 1], places[at], False):
+            at -= 1
+        while at == spans[first][0] and first and surges[first - 1] is None and _together(tree, places[spans[first - 1][1] - 1], places[at], False):
+            first -= 1
+            at = spans[first][0]
+        found.append((sum(sizes[at : spans[last][1]]), -at, spans[last][1]))
+    _, at, b = max(found)
+    return -at, b
 
 
 def main_text(page: str | None, threshold: int = 40) -> str:
     """The main text of a page; empty without one. Block texts are joined by an empty line."""
-    found = lines_of(page or "")
+    found, places, tree = lines_of(page or "")
     inner: dict[int, int] = {}
     for t, k in found:
         if k < 0:
             inner[k] = inner.get(k, 0) + len(t)
     lines = [x if x[1] >= 0 else ("", 0) for x in found]
-    text = _outer_text(lines, threshold)
+    text = _outer_text(lines, threshold, places, tree)
     if inner:
         # an article within a skipped part is the main text where nothing else is: four times as long as an article outside, or longer than other text
         k = max(inner, key=lambda k: (inner[k], k))
@@ -188,7 +258,7 @@ def main_text(page: str | None, threshold: int = 40) -> str:
     return text
 
 
-def _outer_text(lines: list[tuple[str, int]], threshold: int) -> str:
+def _outer_text(lines: list[tuple[str, int]], threshold: int, places: list[int], tree: _Open) -> str:
     sizes = [len(t) for t, _ in lines]
     if not any(sizes):
         return ""
@@ -223,7 +293,8 @@ def _outer_text(lines: list[tuple[str, int]], threshold: int) -> str:
     if anywhere and 4 * max(anywhere.values()) >= best[0]:
         k = max(anywhere, key=lambda k: (anywhere[k], -k))
         return "\n\n".join(t for t, j in lines if j == k and t)
-    return "\n\n".join(t for t, _ in lines[a:b])
+    a, b = _joined(sizes, spans, threshold, places, tree)
+    return "\n\n".join(t for t, _ in lines[a:b] if t)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -306,3 +306,18 @@ def test_main_text_implied_ends():
     assert main_text(f'<body><table><tr><td class="ad">x<td><p>{words}<tr><td>B</table></body>') == f"{words}\n\nB"
     assert main_text(f'<body><div class="ad"><div>x</div><p>y</div><p>{words}</p></body>') == words
     assert main_text(f'<body><ul><li class="menu-item">x<ul><li>y<li>z</ul>w<li>{words}</ul></body>') == words
+
+
+def test_main_text_goes_on_behind_skipped_parts():
+    a, b = "The first half of an article, with words enough to count as a text.", "The second half of it, which has just as many words as the first one."
+    for gap in ('<div class="ad">x</div>', "<aside>x</aside>", "<form>x</form>", "<button>x</button>", '<p class="notice">x', "<nav><ul><li>x</ul></nav>"):
+        for page in (
+            f"<div><p>{a}</p>{gap}<p>{b}</p></div>",
+            f"<p>{a}</p>{gap}<p>{b}</p>",
+            f"<div id=c><section><p>{a}</p></section>{gap}<section><p>{b}</p></section></div>",
+            f"<div id=c><div>{a}</div>{gap}<div>{b}</div></div>",
+        ):
+            assert main_text(f"<body><nav>Home</nav>{page}<footer>foot</footer></body>") == f"{a}\n\n{b}"
+        assert main_text(f"<body><div><h1>Head</h1><p>By N.</p><p>One</p><p>Two</p><p>{a}</p>{gap}<p>Short.</p>{gap}<p>{b}</p>{gap}<p>End.</p></div></body>") == f"Head\n\nBy N.\n\nOne\n\nTwo\n\n{a}\n\nShort.\n\n{b}\n\nEnd."
+        assert main_text(f"<body><div><p>Home</p></div>{gap}<div><p>{a}</p>{gap}<p>{b}</p></div></body>") == f"{a}\n\n{b}"
+        assert main_text(f"<body><p>One</p>{gap}<p>Two</p></body>") == "One\n\nTwo"
