@@ -4,6 +4,7 @@ A document's histograms of character classes and of common words are held agains
 language by the Jensen-Shannon distance. A reference is the Hellinger mean (the square of the mean
 root) of the histograms of all documents that are long enough, so that what a few documents are full
 of hardly shows. Both tests have a guard: a text below a minimum length is too short to tell and passes.
+So does a text of a language with too few texts over that guard for a reference.
 """
 
 from __future__ import annotations
@@ -126,7 +127,8 @@ def _sums(guards: tuple[int, int]):
                 size = table.sum(axis=1, keepdims=True)
                 root = np.rint(1e6 * np.sqrt(table / np.maximum(size, 1))).astype(np.int64)
                 for lang in set(langs):
-                    part = root[(langs == lang) & (size[:, 0] >= guards[kind])].sum(axis=0)
+                    part = root[(langs == lang) & (size[:, 0] >= guards[kind])]
+                    part = np.append(part.sum(axis=0), len(part))
                     have = total.setdefault(lang, [0, 0])
                     have[kind] = have[kind] + part
         for lang, tables in total.items():
@@ -139,21 +141,24 @@ def _sums(guards: tuple[int, int]):
 _OUT = (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("class_distance", "double"), ("word_distance", "double"), ("kept", "boolean"))
 
 
-def _judge(reference: dict[str, tuple[np.ndarray, np.ndarray]], limits: dict[str, float], pool: tuple[np.ndarray, np.ndarray]):
+def _judge(reference: tuple[dict[str, np.ndarray], dict[str, np.ndarray]], limits: dict[str, float]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
             count = base_counts(data, offsets)
             chars, common = histograms(data, offsets)
-            ref = [reference.get(x, pool) for x in _langs(batch)]
-            class_d = js_distance(chars, np.array([r[0] for r in ref]))
-            word_d = js_distance(common, np.array([r[1] for r in ref]))
+            langs = _langs(batch)
+            class_d, word_d = (np.array([np.nan] * len(langs)) for _ in (0, 1))
+            for table, own, d in ((chars, reference[0], class_d), (common, reference[1], word_d)):
+                known = np.array([x in own for x in langs], bool)
+                if known.any():
+                    d[known] = js_distance(table[known], np.array([own[x] for x in langs if x in own]))
             n = count["n_words"]
             failed = (n < 10) | (100 * count["n_repeat_words"] > 20 * n)
             odd = (chars.sum(axis=1) >= limits["min_chars"]) & (class_d > limits["class_limit"])
             odd |= (common.sum(axis=1) >= limits["min_words"]) & (word_d > limits["word_limit"])
             found = count | {"base_failed": failed, "class_distance": class_d, "word_distance": word_d, "kept": ~failed & ~odd}
             keep = [c for c in batch.schema.names if c not in ("text", "lang")]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(found[c].astype({"long": np.int64, "boolean": bool, "double": float}[t])) for c, t in _OUT], names=[*keep, *(c for c, _ in _OUT)])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(found[c].astype({"long": np.int64, "boolean": bool, "double": float}[t]), from_pandas=True) for c, t in _OUT], names=[*keep, *(c for c, _ in _OUT)])
 
     return rows
 
@@ -164,17 +169,16 @@ def judge_quality(docs: DataFrame, min_chars: int = 100, class_limit: float = 0.
     base_failed: fewer than 10 words, or more than 20 % of them in 5-word windows that occur twice.
     kept: not base_failed, and each distance is within its limit or the text is shorter than the
     guard (``min_chars`` characters, ``min_words`` words). References are means over all rows of a
-    language that the guards let in; a language with under about ``min_language_texts`` of them takes that of all rows. Null and empty texts have no words
-    and fail; null languages are one language. Every row gives a row, repeated ones too.
+    language that the test's guard lets in; where a language has under ``min_language_texts`` of them, that distance is
+    null and its test passes. Null and empty texts have no words and fail; null languages are one language. Every row gives a row, repeated ones too.
     """
     wide = docs.select("doc_id", "text", "lang")
     sums = wide.select("text", "lang").mapInArrow(_sums((min_chars, min_words)), "lang string, kind int, at int, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).collect()
-    shape = CLASSES, len(dict.fromkeys(COMMON_WORDS)) + 1
-    reference: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    # the last entry is the number of texts
+    shape = CLASSES + 1, len(dict.fromkeys(COMMON_WORDS)) + 2
+    roots: tuple[dict[str, np.ndarray], dict[str, np.ndarray]] = ({}, {})
     for r in sums:
-        reference.setdefault(r["lang"], (np.zeros(shape[0]), np.zeros(shape[1])))[r["kind"]][r["at"]] += r["n"]
-    pool = tuple(sum((v[k] for v in reference.values()), np.zeros(shape[k])) for k in (0, 1))
-    reference = {k: v for k, v in reference.items() if (v[1] / 1e6).max() >= min_language_texts * 0.5}
-    pool, reference = tuple(x**2 for x in pool), {k: tuple(x**2 for x in v) for k, v in reference.items()}
+        roots[r["kind"]].setdefault(r["lang"], np.zeros(shape[r["kind"]]))[r["at"]] += r["n"]
+    reference = tuple({k: v[:-1] ** 2 for k, v in x.items() if v[-1] >= max(1, min_language_texts)} for x in roots)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return wide.mapInArrow(_judge(reference, {"min_chars": min_chars, "class_limit": class_limit, "min_words": min_words, "word_limit": word_limit}, pool), f"doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in _OUT))
+    return wide.mapInArrow(_judge(reference, {"min_chars": min_chars, "class_limit": class_limit, "min_words": min_words, "word_limit": word_limit}), f"doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in _OUT))

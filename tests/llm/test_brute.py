@@ -321,3 +321,23 @@ def test_main_text_goes_on_behind_skipped_parts():
         assert main_text(f"<body><div><h1>Head</h1><p>By N.</p><p>One</p><p>Two</p><p>{a}</p>{gap}<p>Short.</p>{gap}<p>{b}</p>{gap}<p>End.</p></div></body>") == f"Head\n\nBy N.\n\nOne\n\nTwo\n\n{a}\n\nShort.\n\n{b}\n\nEnd."
         assert main_text(f"<body><div><p>Home</p></div>{gap}<div><p>{a}</p>{gap}<p>{b}</p></div></body>") == f"{a}\n\n{b}"
         assert main_text(f"<body><p>One</p>{gap}<p>Two</p></body>") == "One\n\nTwo"
+
+
+def test_quality_references_by_language(spark):
+    rng = random.Random(5)
+    text = lambda letters, n, long: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(*long))) for _ in range(n))
+    other = [chr(k) for k in range(0x4E00, 0x4E80)]
+    en = [(i, text("abcdefghilmnorstu", 120, (2, 7)), "en") for i in range(60)]
+    few_words = [(1000 + i, text(other, 20, (10, 30)), "zh") for i in range(25)]
+    short = [(2000 + i, text("бвгджзклмнопрст", 40, (3, 8)), "ru") for i in range(25)]
+    rare = [(3000 + i, text("αβγδεζηθικλ", 120, (3, 8)), "el") for i in range(19)]
+    junk = [(4000, "a=1;b>2 " * 4 + text("0123456789{}[]<>", 90, (2, 9)), "en"), (4001, text("0123456789{}[]<>", 90, (2, 9)), "zh")]
+    rows = en + few_words + short + rare + junk
+    schema = "doc_id long, text string, lang string"
+    got = {r.doc_id: r for r in judge_quality(spark.createDataFrame(rows, schema)).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {4000, 4001}
+    assert all(got[i].class_distance is not None and got[i].word_distance is None for i, *_ in few_words + short)
+    assert all(got[i].class_distance is None and got[i].word_distance is None for i, *_ in rare)
+    assert all(got[i].class_distance is not None and got[i].word_distance is not None for i, *_ in en)
+    # the same texts of a small table
+    assert all(r.kept for r in judge_quality(spark.createDataFrame(en + few_words[:5] + short[:5] + rare[:5], schema)).collect())
