@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +99,39 @@ def dice_pairs(sets: DataFrame, least_shared: int, least_dice: float) -> DataFra
     both = x.join(y, "m").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     dice = 2 * F.col("shared") / (F.col("na") + F.col("nb"))
     return both.where((F.col("shared") >= least_shared) & (dice >= least_dice)).select("a", "b", "shared", F.round(dice, 9).alias("dice"), F.round(F.col("shared") / F.least("na", "nb"), 9).alias("containment"))
+
+
+def _votes(least: float):
+    def block(_, frame):
+        ids, votes = frame["vec_id"].to_numpy(), {}
+        left = np.array(frame["left"].to_pylist(), bool)
+        vectors = np.array(frame["embedding"].to_pylist(), float).reshape(len(ids), -1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vectors = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+            x, y = np.flatnonzero(left), np.flatnonzero(~left)
+            agree = (vectors[x] @ vectors[y].T >= least) & (ids[x][:, None] != ids[y])
+        for i, n in zip(ids[x].tolist(), agree.sum(axis=1).tolist()):
+            votes[i] = votes.get(i, 0) + n
+        return pa.table({"label": pa.array([frame["label"][0].as_py()] * len(votes), frame["label"].type), "vec_id": pa.array(list(votes), frame["vec_id"].type), "n": pa.array(list(votes.values()), pa.int64())})
+
+    return block
+
+
+def medoids(vectors: DataFrame, least: float, block_rows: int = 1000) -> DataFrame:
+    """label, vec_id, votes of the vector (vec_id, embedding, label) of each label with most others of at least the cosine ``least``; none without a vote.
+
+    All pairs of a label are compared, by pairs of blocks of about ``block_rows`` vectors, so that a label takes many tasks.
+    Rows with a null id, label, vector or component vote for none; vectors of different lengths don't agree.
+    """
+    whole = vectors.where("vec_id is not null and label is not null and embedding is not null and not exists(embedding, e -> e is null)")
+    whole = whole.select("label", "vec_id", F.transform("embedding", lambda e: e.cast("double")).alias("embedding"), F.size("embedding").alias("size"))
+    blocks = whole.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    own = whole.join(blocks, ["label", "size"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["label", "size", "vec_id", "embedding"]
+    sides = other.select(*columns, F.lit(True).alias("left"), F.col("own").alias("x"), F.col("other").alias("y")).union(other.select(*columns, F.lit(False), F.col("other"), F.col("own")))
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("label", "vec_id")}
+    votes = sides.groupBy("label", "size", "x", "y").applyInArrow(_votes(least), f"label {kinds['label']}, vec_id {kinds['vec_id']}, n long")
+    votes = votes.groupBy("label", "vec_id").agg(F.sum("n").alias("votes")).where("votes > 0")
+    best = F.max_by(F.struct("vec_id", "votes"), F.struct("votes", -F.col("vec_id"))).alias("best")
+    return votes.groupBy("label").agg(best).select("label", "best.vec_id", "best.votes")

@@ -54,7 +54,16 @@ LINKS_SQL = "l AS (SELECT DISTINCT l_partkey % 3000 AS a, (l_partkey * 7 + l_sup
 
 @query("g12_components", f"WITH RECURSIVE {LINKS_SQL}, t(id, node) AS (SELECT a, a FROM u UNION SELECT id, b FROM t JOIN u ON u.a = t.node) SELECT id, min(node) AS component FROM t GROUP BY id")
 def story_components(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0")
+    return _link_components(table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0"))
+
+
+@query("g12_components_whole")
+def story_components_whole(spark, sf_dir):
+    """The components of the links of all rows; without SQL, as a recursive closure of one large component grows with its square."""
+    return _link_components(table(spark, sf_dir, "lineitem"))
+
+
+def _link_components(rows):
     return G.components(rows.select((F.col("l_partkey") % 3000).alias("a"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 3000).alias("b")).where("a <> b"))
 
 
@@ -178,7 +187,17 @@ def thread_match(spark, sf_dir):
 @query("j17_thread_merge_links", f"{ST}, t AS (SELECT user_id, section, min(published_at) AS a, max(published_at) AS z FROM stream WHERE user_id < 60 GROUP BY ALL) SELECT x.user_id AS a_user, y.user_id AS b_user, x.section FROM t x JOIN t y ON x.section = y.section AND x.user_id <> y.user_id AND y.a > x.z AND y.a <= x.z + INTERVAL 5 DAY")
 def thread_merge_links(spark, sf_dir):
     """A thread that starts within five days after another of its section ended: an equi-join on five-day bands."""
-    t = stream(spark, sf_dir).where("user_id < 60").groupBy("user_id", "section").agg(F.min("published_at").alias("a"), F.max("published_at").alias("z"))
+    return _merge_links(stream(spark, sf_dir).where("user_id < 60"))
+
+
+@query("j17_thread_merge_links_whole", f"{ST}, t AS (SELECT user_id, section, min(published_at) AS a, max(published_at) AS z FROM stream GROUP BY ALL) SELECT x.user_id AS a_user, y.user_id AS b_user, x.section FROM t x JOIN t y ON x.section = y.section AND x.user_id <> y.user_id AND y.a > x.z AND y.a <= x.z + INTERVAL 5 DAY")
+def thread_merge_links_whole(spark, sf_dir):
+    """The same over the threads of all readers."""
+    return _merge_links(stream(spark, sf_dir))
+
+
+def _merge_links(rows):
+    t = rows.groupBy("user_id", "section").agg(F.min("published_at").alias("a"), F.max("published_at").alias("z"))
     band = lambda at: F.floor(F.datediff(at, F.lit("2024-01-01")) / 5)
     x = t.select(F.col("user_id").alias("a_user"), "section", F.col("z").alias("end"), F.explode(F.array(band(F.col("z")), band(F.col("z")) + 1)).alias("band"))
     y = t.select(F.col("user_id").alias("b_user"), "section", F.col("a").alias("start"), band(F.col("a")).alias("band"))

@@ -185,6 +185,12 @@ def medoid(spark, sf_dir):
     return S.capped(s.groupBy("label", "vec_id").agg(F.count(F.lit(1)).alias("votes")), ["label"], [F.desc("votes"), F.col("vec_id")], 1).select("label", "vec_id", "votes")
 
 
+@query("y02_medoid_whole")
+def medoid_whole(spark, sf_dir):
+    """Of all vectors of each label the one that most others of the label agree with; without SQL, as a join by label alone is too slow there."""
+    return G.medoids(table(spark, sf_dir, "embeddings"), 0.2)
+
+
 @query("y08_nearest_hour", f"{ST}, h AS (SELECT DISTINCT section, date_trunc('hour', published_at) AS hour FROM stream), a AS (SELECT section, first(hour ORDER BY abs(epoch(hour) - epoch(TIMESTAMP '2024-01-15 12:00:00')), hour) AS anchor FROM h GROUP BY section) SELECT h.section, h.hour FROM h JOIN a USING (section) WHERE h.hour BETWEEN anchor - INTERVAL 2 HOUR AND anchor + INTERVAL 2 HOUR")
 def nearest_hour(spark, sf_dir):
     h = stream(spark, sf_dir).select("section", F.date_trunc("hour", "published_at").cast("timestamp_ntz").alias("hour")).distinct()

@@ -1,5 +1,8 @@
 """Literal fixtures for the operators, and registered queries against DuckDB."""
 
+import math
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +95,50 @@ def test_against_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_medoids_of_all_vectors(spark):
+    rng = random.Random(4)
+    vectors = [(i, [rng.gauss(0, 1) + (i % 3) for _ in range(4)], i % 3) for i in range(180, 420)] + [(900, [0.0] * 4, 0), (901, None, 0), (902, [1.0] * 4, None), (903, [1.0] * 4, 7)]
+    cosine = lambda x, y: sum(a * b for a, b in zip(x, y)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+    want = []
+    for label in (0, 1, 2):
+        own = [(i, v) for i, v, k in vectors if k == label and v and any(v)]
+        votes = {i: sum(i != j and cosine(v, w) >= 0.2 for j, w in own) for i, v in own}
+        best = min(votes, key=lambda i: (-votes[i], i))
+        want.append((label, best, votes[best]))
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    for size in (7, 1000):
+        assert rows(G.medoids(frame, 0.2, size)) == want
+
+
+def test_whole_tables(spark):
+    """The queries without SQL against brute force, the others against their SQL."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    links = con.execute("SELECT DISTINCT l_partkey % 3000, (l_partkey * 7 + l_suppkey) % 3000 FROM lineitem").fetchall()
+    least = {x: x for a, b in links if a != b for x in (a, b)}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if a != b and least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    assert rows(catalog.queries()["g12_components_whole"](spark, SF)) == sorted(least.items(), key=repr)
+    got = rows(catalog.queries()["j17_thread_merge_links_whole"](spark, SF).select("a_user", "b_user", "section"))
+    found = con.execute(f"SELECT a_user, b_user, section FROM ({catalog.oracle_sql()['j17_thread_merge_links_whole']})").fetchall()
+    assert got == sorted(found, key=repr)
+    vectors = con.execute("SELECT vec_id, label, embedding FROM embeddings").fetchall()
+    best = {}
+    for i, label, v in vectors:
+        unit = lambda x: [a / math.sqrt(sum(b * b for b in x)) for a in x]
+        best.setdefault(label, []).append((i, unit(v)))
+    want = []
+    for label, own in best.items():
+        votes = {i: sum(i != j and sum(a * b for a, b in zip(v, w)) >= 0.2 for j, w in own) for i, v in own}
+        if max(votes.values()):
+            top = min(votes, key=lambda i: (-votes[i], i))
+            want.append((label, top, votes[top]))
+    assert rows(catalog.queries()["y02_medoid_whole"](spark, SF)) == sorted(want, key=repr)
