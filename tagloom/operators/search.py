@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def half_open(at: Column, since: str, until: str) -> Column:
@@ -78,3 +79,9 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Merged statistics: least first, greatest last, greatest peak (columns first, last, peak)."""
     both = old.unionByName(new)
     return both.groupBy(key).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("peak").alias("peak"))
+
+
+def numbered(rows: DataFrame, *order, name: str) -> DataFrame:
+    """Rows with their place from 1 in the whole order, without moving all to one task."""
+    sorted_rows = rows.orderBy(*order)
+    return sorted_rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(T.StructType([*rows.schema.fields, T.StructField(name, T.LongType(), False)]))

@@ -232,3 +232,10 @@ def activity_matrix(spark, sf_dir):
 @query("a45_reading_report", f"{ST} SELECT media, section, count(*) AS n FROM stream WHERE user_id < 10 GROUP BY GROUPING SETS ((media), (section), ())")
 def reading_report(spark, sf_dir):
     return stream(spark, sf_dir).where("user_id < 10").groupingSets([["media"], ["section"], []], "media", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+
+@query("a45_reading_report_whole", f"{ST} SELECT media, section, count(*) AS n FROM stream GROUP BY GROUPING SETS ((media), (section), ())")
+def reading_report_whole(spark, sf_dir):
+    """The same over all rows."""
+    return stream(spark, sf_dir).groupingSets([["media"], ["section"], []], "media", "section").agg(F.count(F.lit(1)).alias("n"))
\ No newline at end of file

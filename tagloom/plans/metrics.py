@@ -84,6 +84,14 @@ def clamped_score(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.round(parts * F.when(F.col("l_returnflag") == "R", 0.5).otherwise(1.0), 6).alias("score"))
 
 
+@query("y03_clamped_score_whole")
+def clamped_score_whole(spark, sf_dir):
+    """The same over all rows."""
+    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    parts = 0.5 * clamp(F.col("l_quantity") / 40) + 0.3 * clamp(F.col("l_discount") * 12) + 0.2 * clamp(F.col("l_tax") * 10 - 0.1)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(parts * F.when(F.col("l_returnflag") == "R", 0.5).otherwise(1.0), 6).alias("score"))
+
+
 @query("y05_first_crawl_totals", f"{A} SELECT media, min(collected_at) AS first_at, count(*) AS n FROM articles WHERE media NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) GROUP BY media")
 def first_crawl_totals(spark, sf_dir):
     known = table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("long").alias("media"))

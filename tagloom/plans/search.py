@@ -350,6 +350,13 @@ def nulls_last(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_custkey < 20").select("o_orderkey", F.row_number().over(Window.orderBy(F.desc_nulls_last(key), "o_orderkey")).cast("long").alias("place"))
 
 
+@query("t02_nulls_last_whole", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END DESC NULLS LAST, o_orderkey) AS place FROM orders")
+def nulls_last_whole(spark, sf_dir):
+    """The same over all rows."""
+    key = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
+    return S.numbered(table(spark, sf_dir, "orders").select("o_orderkey", key.alias("key")), F.desc_nulls_last("key"), "o_orderkey", name="place").select("o_orderkey", "place")
+
+
 @query("t04_keyset_page", f"{A}, p AS (SELECT article_id, published_at FROM articles WHERE (published_at, article_id) < (TIMESTAMP '1998-01-20', 5000) ORDER BY published_at DESC, article_id DESC LIMIT 51) SELECT *, row_number() OVER (ORDER BY published_at DESC, article_id DESC) AS place, count(*) OVER () > 50 AS more FROM p QUALIFY place <= 50")
 def keyset_page(spark, sf_dir):
     return S.keyset_page(articles(spark, sf_dir).select("article_id", "published_at"), ("1998-01-20", 5000), 50)

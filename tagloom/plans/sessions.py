@@ -45,6 +45,16 @@ def feed_items(spark, sf_dir):
     return x.select(F.xpath_long("x", F.lit("item/guid")).alias("id"), F.xpath_string("x", F.lit("item/title")).alias("title"), at.alias("published_at"))
 
 
+@query("s06_feed_items_whole", "SELECT o_orderkey AS id, 'Order ' || o_orderkey AS title, o_orderdate AS published_at FROM orders")
+def feed_items_whole(spark, sf_dir):
+    """The same over all rows."""
+    local = F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 8 HOURS"), "yyyy-MM-dd HH:mm:ss")
+    item = F.concat(F.lit("<item><guid>"), F.col("o_orderkey").cast("string"), F.lit("</guid><title>Order "), F.col("o_orderkey").cast("string"), F.lit("</title><pubDate>"), local, F.lit("</pubDate></item>"))
+    x = table(spark, sf_dir, "orders").select(item.alias("x"))
+    at = F.try_to_timestamp(F.xpath_string("x", F.lit("item/pubDate")), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz") - F.expr("INTERVAL 8 HOURS")
+    return x.select(F.xpath_long("x", F.lit("item/guid")).alias("id"), F.xpath_string("x", F.lit("item/title")).alias("title"), at.alias("published_at"))
+
+
 @query("s07_link_discovery", "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href FROM pages) SELECT page_id, href, count(*) AS n FROM l WHERE length(href) >= 4 GROUP BY ALL")
 def link_discovery(spark, sf_dir):
     links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), 1)).alias("href"))

@@ -148,11 +148,24 @@ def pending_queue(spark, sf_dir):
     return articles(spark, sf_dir).where("article_id % 7 = 0").orderBy(*order).limit(200).select("media", "article_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("turn"))
 
 
+@query("r21_pending_queue_whole", f"{A} SELECT media, article_id, row_number() OVER (ORDER BY (article_id % 10 = 0) DESC, published_at DESC, article_id DESC) AS turn FROM articles")
+def pending_queue_whole(spark, sf_dir):
+    """The same over all rows."""
+    order = [F.desc(F.col("article_id") % 10 == 0), F.desc("published_at"), F.desc("article_id")]
+    return S.numbered(articles(spark, sf_dir), *order, name="turn").select("media", "article_id", "turn")
+
+
 @query("t08_byte_order", f"{TX} SELECT title, row_number() OVER (ORDER BY encode(title), article_id) AS place FROM texts ORDER BY place LIMIT 300")
 def byte_order(spark, sf_dir):
     return texts(spark, sf_dir).orderBy("title", "article_id").limit(300).select("title", F.row_number().over(Window.orderBy("title", "article_id")).cast("long").alias("place"))
 
 
+@query("t08_byte_order_whole", f"{TX} SELECT title, row_number() OVER (ORDER BY encode(title), article_id) AS place FROM texts")
+def byte_order_whole(spark, sf_dir):
+    """The same over all rows."""
+    return S.numbered(texts(spark, sf_dir).select("title", "article_id"), "title", "article_id", name="place").select("title", "place")
+
+
 @query("x18_related_articles", f"{B}, w AS (SELECT * FROM baskets WHERE {W}), df AS (SELECT tag, count(*) AS df FROM w GROUP BY tag), n AS (SELECT count(DISTINCT article_id) AS n FROM w), q AS (SELECT * FROM w WHERE article_id % 50 = 0), s AS (SELECT q.article_id AS a, w.article_id AS b, round(sum(ln((n + 1) / (df + 1)::DOUBLE)), 6) AS score, count(*) AS hits FROM q JOIN w ON w.tag = q.tag AND w.article_id <> q.article_id JOIN df ON df.tag = q.tag CROSS JOIN n GROUP BY ALL HAVING count(*) >= 2) SELECT a, b, score, hits FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5")
 def related_articles(spark, sf_dir):
     """For the stated queries the five articles that share the rarest tags, at least two."""
@@ -207,6 +220,14 @@ def identity_review(spark, sf_dir):
     return m.groupBy("grp").agg(F.min("member").alias("canonical"), k.alias("payloads"), F.when(k == 1, "equivalent").otherwise("conflict").alias("verdict"))
 
 
+@query("y11_identity_review_whole", "WITH m AS (SELECT l_partkey % 400 AS grp, l_suppkey AS member, sha256(l_returnflag || l_linestatus) AS payload FROM lineitem) SELECT grp, min(member) AS canonical, count(DISTINCT payload) AS payloads, CASE WHEN count(DISTINCT payload) = 1 THEN 'equivalent' ELSE 'conflict' END AS verdict FROM m GROUP BY grp")
+def identity_review_whole(spark, sf_dir):
+    """The same over all rows."""
+    m = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 400).alias("grp"), F.col("l_suppkey").alias("member"), F.sha2(F.concat("l_returnflag", "l_linestatus"), 256).alias("payload"))
+    k = F.count_distinct("payload")
+    return m.groupBy("grp").agg(F.min("member").alias("canonical"), k.alias("payloads"), F.when(k == 1, "equivalent").otherwise("conflict").alias("verdict"))
+
+
 @query("y19_cohesion", "WITH p AS (SELECT DISTINCT p_type, p_brand FROM part WHERE p_size < 10), g AS (SELECT DISTINCT p_type, substr(lower(p_type), i, 2) AS b FROM (SELECT p_type, unnest(range(1, length(p_type))) AS i FROM (SELECT DISTINCT p_type FROM p))), c AS (SELECT p_type, count(*) AS n FROM g GROUP BY 1), d AS (SELECT x.p_type AS a, y.p_type AS b, count(*) AS k FROM g x JOIN g y ON x.b = y.b AND x.p_type < y.p_type GROUP BY ALL), q AS (SELECT x.p_brand, x.p_type AS a, y.p_type AS b FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_type < y.p_type) SELECT p_brand, count(*) AS pairs, round(avg(coalesce(k / (ca.n + cb.n - k)::DOUBLE, 0)), 6) AS cohesion FROM q LEFT JOIN d USING (a, b) JOIN c ca ON ca.p_type = a JOIN c cb ON cb.p_type = b GROUP BY p_brand")
 def cohesion(spark, sf_dir):
     """Mean Jaccard of the bigram sets of a group's labels."""

@@ -122,6 +122,12 @@ def round_and_micro(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 6).alias("price"), F.round(F.col("l_discount") * 1e6).cast("long").alias("micro"))
 
 
+@query("k29_round_and_micro_whole")
+def round_and_micro_whole(spark, sf_dir):
+    """The same over all rows."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 6).alias("price"), F.round(F.col("l_discount") * 1e6).cast("long").alias("micro"))
+
+
 @query("k30_sha256_ids", "SELECT p_partkey, sha256(p_brand || ':' || p_type) AS id FROM part")
 def sha256_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.sha2(F.concat_ws(":", "p_brand", "p_type"), 256).alias("id"))
@@ -194,6 +200,12 @@ def body_normalisation(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(X.normalised(F.col("text")), 256).alias("digest"))
 
 
+@query("x01_body_normalisation_whole")
+def body_normalisation_whole(spark, sf_dir):
+    """The same over all rows."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalised(F.col("text")), 256).alias("digest"))
+
+
 SHINGLES_SQL = "n AS (SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS t FROM documents WHERE lang = 'en'), s AS (SELECT DISTINCT doc_id, substr(t, i, 5) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 3)) AS i FROM n WHERE length(t) >= 5))"
 
 
@@ -202,12 +214,25 @@ def shingle_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.size(X.shingles(X.normalised(F.col("text")))).cast("long").alias("shingles"))
 
 
+@query("x02_shingle_counts_whole")
+def shingle_counts_whole(spark, sf_dir):
+    """The same over all rows."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.shingles(X.normalised(F.col("text")))).cast("long").alias("shingles"))
+
+
 @query("x03_eligibility", f"WITH {SHINGLES_SQL}, c AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1) SELECT doc_id FROM n JOIN c USING (doc_id) WHERE length(t) >= 200 AND k >= 100")
 def eligibility(spark, sf_dir):
     t = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.normalised(F.col("text")).alias("t")).where(F.length("t") >= 200)
     return t.where(F.size(X.shingles(F.col("t"))) >= 100).select("doc_id")
 
 
+@query("x03_eligibility_whole")
+def eligibility_whole(spark, sf_dir):
+    """The same over all rows."""
+    t = table(spark, sf_dir, "documents").select("doc_id", X.normalised(F.col("text")).alias("t")).where(F.length("t") >= 200)
+    return t.where(F.size(X.shingles(F.col("t"))) >= 100).select("doc_id")
+
+
 @query("x16_title_dice", f"{B.replace('WITH ', 'WITH ')}, p AS (SELECT DISTINCT p_type FROM part), g AS (SELECT DISTINCT p_type, substr(lower(p_type), i, 2) AS b FROM (SELECT p_type, unnest(range(1, length(p_type))) AS i FROM p)), c AS (SELECT p_type, count(*) AS n FROM g GROUP BY 1) SELECT x.p_type AS a, y.p_type AS b, round(2 * count(*) / any_value(cx.n + cy.n)::DOUBLE, 6) AS dice FROM g x JOIN g y ON x.b = y.b AND x.p_type < y.p_type JOIN c cx ON cx.p_type = x.p_type JOIN c cy ON cy.p_type = y.p_type GROUP BY x.p_type, y.p_type")
 def title_dice(spark, sf_dir):
     """Dice of the bigram sets of titles, through the bigrams they share."""

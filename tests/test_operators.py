@@ -1,7 +1,9 @@
 """Literal fixtures for the operators, and registered queries against DuckDB."""
 
+import hashlib
 import math
 import random
+import unicodedata
 
 import duckdb
 import pytest
@@ -142,3 +144,29 @@ def test_whole_tables(spark):
             top = min(votes, key=lambda i: (-votes[i], i))
             want.append((label, top, votes[top]))
     assert rows(catalog.queries()["y02_medoid_whole"](spark, SF)) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", "r21_pending_queue t08_byte_order y11_identity_review t02_nulls_last s06_feed_items a45_reading_report".split())
+def test_whole_against_sql(spark, name):
+    test_against_sql(spark, f"{name}_whole")
+    old, new = (catalog.queries()[n](spark, SF).count() for n in (name, f"{name}_whole"))
+    # at this size all groups, and all of the 200 texts, are in the part as well
+    assert new > old or (new == old and name in ("y11_identity_review", "a45_reading_report", "t08_byte_order"))
+
+
+def test_whole_lines_and_texts(spark):
+    con = duckdb.connect()
+    near = lambda got, want: len(got) == len(want) and all(a[:2] == b[:2] and all(x == pytest.approx(y, abs=2e-6) for x, y in zip(a[2:], b[2:])) for a, b in zip(sorted(got), sorted(want)))
+    lines = con.execute(f"SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM '{SF}/lineitem.parquet'").fetchall()
+    clamp = lambda x: max(0.0, min(1.0, x))
+    q = lambda name, *c: [tuple(r) for r in catalog.queries()[name](spark, SF).select(*c).collect()]
+    want = [(o, n, (0.5 * clamp(k / 40) + 0.3 * clamp(d * 12) + 0.2 * clamp(t * 10 - 0.1)) * (0.5 if f == "R" else 1)) for o, n, k, _, d, t, f in lines]
+    assert near(q("y03_clamped_score_whole", "l_orderkey", "l_linenumber", "score"), want)
+    want = [(o, n, p * (1 - d), round(d * 1e6)) for o, n, _, p, d, _, _ in lines]
+    assert near(q("k29_round_and_micro_whole", "l_orderkey", "l_linenumber", "price", "micro"), want)
+    docs = con.execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    plain = {i: "".join(c for c in t if unicodedata.category(c)[0] in "LN").lower() for i, t in docs if t is not None}
+    sets = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in plain.items()}
+    assert dict(q("x01_body_normalisation_whole", "doc_id", "digest")) == {i: hashlib.sha256(plain[i].encode()).hexdigest() if i in plain else None for i, _ in docs}
+    assert {i: n for i, n in q("x02_shingle_counts_whole", "doc_id", "shingles") if i in sets} == {i: len(x) for i, x in sets.items()}
+    assert sorted(i for i, in q("x03_eligibility_whole", "doc_id")) == sorted(i for i, t in plain.items() if len(t) >= 200 and len(sets[i]) >= 100)
