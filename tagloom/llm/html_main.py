@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block element is a line. Lines of menus, footers, adverts, forms,
-scripts, comments and the like have no length. Text lengths are summed over sliding windows of
-lines; a *surge* point is where a sum rises over the threshold from nothing, a *dive* point where
-the sums fall to nothing again. The text between the surge and the dive with the most text is the
-main text; it reaches to both ends of the article element, if it lies in one. Without an article element,
-a skipped part is a gap that does not end the text where the same container goes on behind it.
+Markup is stripped so that each block element is a line, whose length is that of its text outside
+links. Lengths are summed over sliding windows of lines: a *surge* is where a sum rises to the
+threshold, a *dive* where the sums fall below it again. The text between a surge and its dive is
+text of the page's body; where several containers hold such text, the one with nearly all of it
+is the main text, from its first line to its last. Tags and class words do two things only: they
+take out the parts that never belong to an article (menus, footers, adverts, forms, reader comments
+and the like) and break ties between containers.
 """
 
 from __future__ import annotations
@@ -17,65 +18,83 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Elements whose text is never part of an article, elements that start a line, elements without an end.
-SKIPPED = frozenset("nav footer aside form script style noscript template svg iframe button select textarea object canvas head dialog menu map audio video".split())
+#: Elements that never hold text of an article, containers beside it, elements that start a line, elements without an end.
+NEVER = frozenset("script style noscript template svg iframe button select textarea object canvas head dialog menu map audio video".split())
+BESIDE = frozenset("nav footer aside form header".split())
 BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tr td th caption section article main body html blockquote pre figure figcaption address header hr details summary center".split())
 VOID = frozenset("br hr img input meta link wbr area base col embed source track param".split())
-#: Words in class, id or role that mark a container as no part of the article.
-_SIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|"
-    r"cookies?|consent|notice|notices|gdpr|popup|modal|overlay|comments?|comment-?list|disqus|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|toolbar|pagination|pager|widget|alert|contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
-)
+#: Block elements that are text of the container they lie in; elements that are text themselves.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr center".split())
+PHRASES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th span a b i em strong small label time abbr".split())
+HEADINGS = frozenset(("h1", "h2", "h3"))
+#: Class words and ids of parts beside an article; those that also name what isn't; reader comments.
+_SURE = r"ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|pagination|contentinfo|complementary"
+_MAYBE = r"promo\w*|overlay|share|sharing|social|related|recommend\w*|subscription|signup|login|search|toolbar|pager|widget|alert"
+_READERS = r"comments?|comment-?list|disqus|repl(?:y|ies)"
+_AFTER = r"(?:[-_]+(?:container|wrapper|wrap|box|bar|block|list|section|area|links?|buttons?|items?|top|bottom|left|right|inner|outer|slot|unit|form|message|text|panel|content|thread|body|\d+|" + f"{_SURE}|{_MAYBE}|{_READERS}))*"
+_WORD = re.compile(rf"(?:[a-z0-9]+[-_]+){{0,3}}?(?:({_READERS})|({_SURE})|({_MAYBE})){_AFTER}", re.I)
+#: A layout wrapper says so of what it holds beside other text: with-sidebar, has-comments, no-ads.
+_MODIFIED = re.compile(r"(?:^|[_-])(?:with|without|has|have|no|non|not)[_-]", re.I)
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)/?>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>(.*?)(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)/?>|<[!?][^>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-#: A layout wrapper says so of what it holds beside other text: with-sidebar, has-comments, no-ads.
-_MODIFIED = re.compile(r"(?:^|[_-])(?:with|without|has|have|no|non|not)[_-]", re.I)
-_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 #: Elements that end an open p as they start; what keeps an end tag or an item from reaching further out.
 _ENDS_P = (BLOCKS | {"nav", "footer", "aside", "form", "dialog", "menu", "fieldset", "dir", "search", "hgroup"}) - {"html", "body", "thead", "tbody", "tr", "td", "th", "caption", "summary"}
 _SCOPE = ("table", "td", "th", "caption", "object", "html")
 _ITEM = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "thead": ("thead", "tbody", "tfoot", "caption"), "tbody": ("thead", "tbody", "tfoot", "caption"), "tfoot": ("thead", "tbody", "tfoot", "caption")}
 _LIST = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
-_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9:-]*)")
+_HEAD = frozenset("head title meta link base script style noscript template".split())
 WINDOW = 3
+#: What an element may be besides plain: no text ever, a container by its tag, by class words that are sure or only may say so, comments.
+PLAIN, GONE, TAG, SURE, MAYBE, READERS = range(6)
 
 
-def _sided(name: str, attributes: str) -> bool:
-    if name in ("article", "main", "body", "html"):
-        return False
-    if not attributes or attributes.isspace():
-        return False
+def mark_of(name: str, attributes: str) -> int:
+    """What tag, class words, id, role or the hidden attribute make of an element."""
+    if name in NEVER:
+        return GONE
+    found = TAG if name in BESIDE else PLAIN
+    if found or name in ("body", "html") or not attributes or attributes.isspace():
+        return found
     for key, *values in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), values[0] or values[1] or values[2]
-        if key in ("class", "id", "role", "aria-label"):
-            if _SIDE.search(value) and any(_SIDE.search(x) and not _MODIFIED.search(x) for x in value.split()):
-                return True
-        elif (key == "hidden" and value.lower() != "false") or (key == "aria-hidden" and value.strip().lower() == "true") or (key == "style" and _UNSEEN.search(value)):
-            return True
-    return False
-
-
-class _Open:
-    """The open elements of a page; start and end tags end what HTML lets them end. Of inline elements only those in skipped parts are kept."""
+        key = key.lower()
+        if key == "hidden" and values[0].lower() != "false":
+            return GONE
+        if key in ("class", "id", "role") and not found:
+            for word in (values[0] or values[1] or values[2]).split():
+                m = _WORD.fullmatch(word)
+                if m and not _MODIFIED.search(word):
+                    found = READERS if m[1] else found or (SURE if m[2] else MAYBE)
+    if name in ("article", "main") and found != READERS:
+        return PLAIN
+    return found
+
+
+class Page:
+    """The lines of a page and the tree of its elements. Start and end tags end what HTML lets them end.
+
+    Inline elements are kept only where a mark makes them, or an element around them, a part that may go.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, page: str) -> None:
+        self.kinds, self.parents, self.marks, self.ended = [""], [0], [PLAIN], [True]
+        self.text: list[str] = []
+        self.plain: list[int] = []
+        self.place: list[int] = []
+        self.title = ""
         self.names: list[str] = []
-        self.at: dict[str, list[int]] = {}
-        #: Number of each open element; name and number of the parent of all elements so far, 0 the page.
         self.ids: list[int] = []
-        self.kinds, self.parents = [""], [0]
-
-    def top(self) -> int:
-        return self.ids[-1] if self.ids else 0
+        self.at: dict[str, list[int]] = {}
+        self._read(page)
 
-    def push(self, name: str) -> None:
+    def push(self, name: str, mark: int) -> None:
         self.at.setdefault(name, []).append(len(self.names))
         self.kinds.append(name)
-        self.parents.append(self.top())
+        self.parents.append(self.ids[-1] if self.ids else 0)
+        self.marks.append(mark)
+        self.ended.append(False)
         self.names.append(name)
         self.ids.append(len(self.kinds) - 1)
 
@@ -89,6 +108,8 @@ class _Open:
 
     def start(self, name: str) -> None:
         """End what the start tag of ``name`` ends."""
+        if name not in _HEAD and (k := self.last("head")) >= 0:
+            self.cut(k)
         if name in _ITEM and (k := self.last(*_ITEM[name])) > self.last("table", *_LIST.get(name, ())):
             self.cut(k)
         if name in _ENDS_P and (k := self.last("p")) > self.last(*_SCOPE):
@@ -96,205 +117,252 @@ class _Open:
 
     def end(self, name: str) -> None:
         if (k := self.last(name)) >= 0 and (name in _SCOPE or name in _ITEM and name not in _LIST or k > self.last(*_SCOPE)):
+            self.ended[self.ids[k]] = True
             self.cut(k)
 
-
-def lines_of(page: str) -> tuple[list[tuple[str, int]], list[int], _Open]:
-    """(text, number of the article element or 0) of each line, and the number of its block element in the tree; skipped parts give one empty line.
-
-    Numbers of articles within skipped parts are negative.
-    """
-    out: list[tuple[str, int]] = []
-    places: list[int] = []
-    parts: list[str] = []
-    at, article, articles = 0, 0, 0
-    tree = _Open()
-    # (open elements outside, whether text is skipped, article number outside) of skipped parts and of the articles in them
-    states: list[tuple[int, bool, int]] = []
-    outer = -1  # open elements outside the article, where it is no state
-    ends: dict[str, int] | None = None
-
-    def close() -> None:
-        if parts:
-            raw = "".join(parts)
-            text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-            if text:
-                out.append((text, article))
-                places.append(tree.top())
-            parts.clear()
-
-    for m in _TOKEN.finditer(page):
-        skip = bool(states) and states[-1][1]
-        if not skip and m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if name is None:
-            continue
-        name, closing = name.lower(), bool(m[2])
-        block = name in BLOCKS
-        if not skip and block:
-            close()
-        if closing:
-            tree.end(name)
-        else:
-            tree.start(name)
-        depth = len(tree.names)
-        if states and depth <= states[-1][0]:
-            close()
-            while states and depth <= states[-1][0]:
-                article = states.pop()[2]
-            skip = bool(states) and states[-1][1]
-        if 0 <= depth <= outer:
-            close()
-            article, outer = 0, -1
-        if closing or name in VOID:
-            if name == "br" and not skip:
+    def _read(self, page: str) -> None:
+        parts: list[str] = []
+        at = linked = 0
+        link = False
+        marked: list[int] = []  # open elements outside each open marked one
+
+        def close() -> None:
+            nonlocal linked
+            if parts:
+                raw = "".join(parts)
+                text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
+                if text:
+                    self.text.append(text)
+                    self.plain.append(max(0, len(text) - linked))
+                    self.place.append(self.ids[-1] if self.ids else 0)
+                parts.clear()
+            linked = 0
+
+        for m in _TOKEN.finditer(page):
+            if m.start() > at:
+                parts.append(page[at : m.start()])
+                if link:
+                    linked += m.start() - at
+            at = m.end()
+            name = m[4]
+            if name is None:
+                if m[1] and m[1].lower() == "title" and not self.title:
+                    self.title = " ".join(html.unescape(m[2]).split())
+                continue
+            name, closing = name.lower(), bool(m[3])
+            block = name in BLOCKS
+            if name == "a":
+                link = not closing
+            elif name == "br":
                 parts.append(" ")
-            continue
-        whole = m[4].rstrip().endswith("/")
-        if name in ("article", "main"):
-            if skip:
-                if ends is None:
-                    ends = {x[1].lower(): x.start() for x in _END.finditer(page)}
-                if ends.get(tree.names[states[-1][0]], -1) < at:  # the skipped element never ends
-                    size, _, article = states.pop()
-                    tree.cut(size)
-                    skip = bool(states) and states[-1][1]
-            if skip:
-                articles += 1
-                states.append((len(tree.names), False, article))
-                article = -articles
-            elif not article:
-                articles += 1
-                article, outer = articles if not states else -articles, len(tree.names)
-            tree.push(name)
-        elif not skip and (name in SKIPPED or (name == "header" and not article) or _sided(name, m[4])):
-            close()
-            if not whole:
-                out.append(("", 0))
-                places.append(tree.top())
-                states.append((depth, True, article))
-                tree.push(name)
-        elif not whole and (skip or block or name in _SCOPE):
-            tree.push(name)
-    if not (states and states[-1][1]) and at < len(page):
-        tail = page[at:]
-        parts.append(tail[: tail.rfind("<")] if re.search(r"<[/a-zA-Z!?][^>]*\Z", tail) else tail)
-    close()
-    return out, places, tree
-
-
-#: Block elements that are text of the container they lie in.
-_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr center".split())
-
-
-def _together(tree: _Open, x: int, y: int, both: bool) -> bool:
-    """Whether lines of the elements x and y are text of one container. both: each is of a stretch that passes the threshold.
-
-    Lines that lie deeper, in containers of their own, are together if both pass and something less than the whole page holds them.
+            if block or name in BESIDE or name in NEVER or (closing and marked and self.names[marked[-1]] == name):
+                close()
+            if closing:
+                self.end(name)
+            else:
+                self.start(name)
+                if name not in VOID and not m[5].rstrip().endswith("/"):
+                    mark = mark_of(name, m[5])
+                    if mark == TAG and name == "header" and self.last("article", "main") >= 0:
+                        mark = PLAIN
+                    if mark:
+                        close()
+                        marked.append(len(self.names))
+                    if mark or marked or block or name in _SCOPE:
+                        self.push(name, mark)
+            while marked and len(self.names) <= marked[-1]:
+                marked.pop()
+        if at < len(page):
+            tail = page[at:]
+            parts.append(tail[: tail.rfind("<")] if re.search(r"<[/a-zA-Z!?][^>]*\Z", tail) else tail)
+        close()
+
+
+def _gone(page: Page) -> list[bool]:
+    """Whether each element is, or lies in, a part that is no text of an article.
+
+    A marked container goes unless it holds the page's text: as long as what lies outside all marked
+    parts (four times as long where an article is there) and with an article, a heading or two long lines in it.
     """
-    above, k = {0}, x
-    while k:
-        above.add(k)
-        k = tree.parents[k]
-    common = y
-    while common not in above:
-        common = tree.parents[common]
-
-    def container(k: int) -> int:
-        while k and tree.kinds[k] in _TEXT:
-            k = tree.parents[k]
-        return k
-
-    base = container(common)
-    if container(x) == base == container(y):
-        return True
-    part = tree.kinds[base] not in ("", "html", "body")
-    direct = all(container(k) == base or container(tree.parents[k]) == base for k in (x, y))
-    return (both or direct) if part else both and direct
-
-
-def _joined(sizes: list[int], spans: list[tuple[int, int]], threshold: int, places: list[int], tree: _Open) -> tuple[int, int]:
-    """First and last line of the stretches of one container with the most text; short lines and stretches beside them go along."""
-    surges = [next((i for i in range(a, b) if sum(sizes[i : min(i + WINDOW, b)]) >= threshold), None) for a, b in spans]
-    groups: list[list[int]] = []
-    for k in (k for k, at in enumerate(surges) if at is not None):
-        if groups and _together(tree, places[spans[groups[-1][1]][1] - 1], places[spans[k][0]], True):
-            groups[-1][1] = k
-        else:
-            groups.append([k, k])
-    if not groups:
-        groups = [[k, k] for k in [max(range(len(spans)), key=lambda k: sum(sizes[slice(*spans[k])]))]]
-    found = []
-    for first, last in groups:
-        while last + 1 < len(spans) and surges[last + 1] is None and _together(tree, places[spans[last][1] - 1], places[spans[last + 1][0]], False):
-            last += 1
-        at = spans[first][0] if surges[first] is None else surges[first]
-        while at > spans[first][0] and _together(tree, places[at - 1], places[at], False):
-            at -= 1
-        while at == spans[first][0] and first and surges[first - 1] is None and _together(tree, places[spans[first - 1][1] - 1], places[at], False):
-            first -= 1
-            at = spans[first][0]
-        found.append((sum(sizes[at : spans[last][1]]), -at, spans[last][1]))
-    _, at, b = max(found)
-    return -at, b
+    n = len(page.kinds)
+    nearest, article = [0] * n, [0] * n
+    for e in range(1, n):
+        nearest[e] = e if page.marks[e] else nearest[page.parents[e]]
+    size, longest, plain, has, head = [0] * n, [0] * n, [0] * n, [False] * n, [False] * n
+    for text, free, e in zip(page.text, page.plain, page.place):
+        k = nearest[e]
+        size[k] += len(text)
+        plain[k] += free
+        longest[k] += free >= 80
+    for e in range(1, n):
+        has[nearest[e]] |= page.kinds[e] in ("article", "main")
+        head[nearest[e]] |= page.kinds[e] == "h1"
+    # an article in parts of parts counts for all around it
+    for e in range(n - 1, 0, -1):
+        if page.marks[e] and page.marks[e] != GONE:
+            article[e] |= has[e]
+            up = nearest[page.parents[e]]
+            article[up] |= article[e]
+    outside, lead = size[0], has[0]
+    gone = [False] * n
+    for e in range(1, n):
+        mark = page.marks[e]
+        if gone[page.parents[e]] or mark == GONE:
+            gone[e] = True
+        elif mark:
+            name = page.kinds[e]
+            big = size[e] > (4 * outside if lead else outside)
+            if mark == TAG and name != "form":
+                stays = not lead and (article[e] or not page.ended[e]) and (big or article[e] and not size[e])
+            else:
+                stays = (big and (article[e] or head[e] or longest[e] >= 2)) or (not lead and article[e] and not size[e])
+                if mark == READERS and outside >= 200:
+                    stays = False
+                if not page.ended[e] and name not in PHRASES and name not in _ITEM and big:
+                    stays = True
+            if mark == MAYBE and name in PHRASES and 2 * plain[e] > size[e]:
+                stays = True
+            if stays:
+                outside += size[e]
+                lead = lead or has[e]
+            gone[e] = not stays
+    return gone
+
+
+def _regions(length: list[int], threshold: int) -> list[tuple[int, int]]:
+    """(first, stop) lines between each surge of the window sums to the threshold and the dive below it."""
+    sums = [sum(length[i : i + WINDOW]) for i in range(len(length))]
+    found, start = [], None
+    for i, s in enumerate(sums):
+        if s >= threshold:
+            start = i if start is None else start
+        elif start is not None:
+            found.append((start, i))
+            start = None
+    if start is not None:
+        found.append((start, len(sums)))
+    return found
 
 
 def main_text(page: str | None, threshold: int = 40) -> str:
     """The main text of a page; empty without one. Block texts are joined by an empty line."""
-    found, places, tree = lines_of(page or "")
-    inner: dict[int, int] = {}
-    for t, k in found:
-        if k < 0:
-            inner[k] = inner.get(k, 0) + len(t)
-    lines = [x if x[1] >= 0 else ("", 0) for x in found]
-    text = _outer_text(lines, threshold, places, tree)
-    if inner:
-        # an article within a skipped part is the main text where nothing else is: four times as long as an article outside, or longer than other text
-        k = max(inner, key=lambda k: (inner[k], k))
-        if inner[k] > len(text) * (4 if any(n and t for t, n in lines) else 1):
-            return "\n\n".join(t for t, j in found if j == k and t)
-    return text
-
-
-def _outer_text(lines: list[tuple[str, int]], threshold: int, places: list[int], tree: _Open) -> str:
-    sizes = [len(t) for t, _ in lines]
-    if not any(sizes):
+    tree = Page(page or "")
+    gone = _gone(tree)
+    kept = [i for i, e in enumerate(tree.place) if not gone[e]]
+    if not kept:
         return ""
-    # sums over windows that start at a line; an empty line (a skipped part) ends a window
-    spans, start = [], None
-    for i in range(len(lines) + 1):
-        if i < len(lines) and sizes[i]:
-            start = i if start is None else start
-        elif start is not None:
-            spans.append((start, i))
-            start = None
-    best = None
-    for a, b in spans:
-        sums = [sum(sizes[i : min(i + WINDOW, b)]) for i in range(a, b)]
-        surge = next((i for i, s in enumerate(sums) if s >= threshold), None)
-        if surge is None:
-            continue
-        total = sum(sizes[a + surge : b])
-        if best is None or total > best[0]:
-            best = (total, a + surge, b)
-    if best is None:
-        a, b = max(spans, key=lambda s: sum(sizes[s[0] : s[1]]))
-        best = (0, a, b)
-    _, a, b = best
-    weight: dict[int, int] = {}
-    for t, k in lines[a:b]:
-        weight[k] = weight.get(k, 0) + len(t)
-    inside = max((k for k in weight if k), key=lambda k: weight[k], default=0)
-    if inside and 2 * weight[inside] >= sum(weight.values()):
-        return "\n\n".join(t for t, k in lines if k == inside and t)
-    anywhere = {k: sum(len(t) for t, j in lines if j == k) for k in {k for _, k in lines if k}}
-    if anywhere and 4 * max(anywhere.values()) >= best[0]:
-        k = max(anywhere, key=lambda k: (anywhere[k], -k))
-        return "\n\n".join(t for t, j in lines if j == k and t)
-    a, b = _joined(sizes, spans, threshold, places, tree)
-    return "\n\n".join(t for t, _ in lines[a:b] if t)
+    # a skipped part is one line without length
+    index: list[int] = []
+    for i in kept:
+        if index and i - 1 > index[-1]:
+            index.append(-1)
+        index.append(i)
+    length = [0 if i < 0 else tree.plain[i] for i in index]
+    inside = [False] * len(index)
+    for a, b in _regions(length, threshold):
+        inside[a:b] = [True] * (b - a)
+    core = [i for i, ok in zip(index, inside) if ok and i >= 0] or kept
+    weight = {i: tree.plain[i] for i in core}
+    articles = any(k in ("article", "main") and not g for k, g in zip(tree.kinds, gone))
+    if not any(weight.values()):
+        if not articles:
+            return ""
+        weight = {i: len(tree.text[i]) for i in core}
+    home = _containers(tree)
+    place = _main_container(tree, home, gone, kept, weight, threshold)
+    chosen = _lines_of(tree, home, kept, set(core), place)
+    return "\n\n".join(tree.text[i] for i in chosen)
+
+
+def _containers(tree: Page) -> list[int]:
+    """The container of each element: the element itself unless it is text of the one around it. A table cell with three lines or more is a container."""
+    lines = [0] * len(tree.kinds)
+    for e in tree.place:
+        lines[e] += 1
+    for e in range(len(lines) - 1, 0, -1):
+        lines[tree.parents[e]] += lines[e]
+    home = [0] * len(tree.kinds)
+    for e in range(1, len(home)):
+        kind = tree.kinds[e]
+        text = kind in TEXT and not (kind == "td" and lines[e] >= 3) or kind not in BLOCKS and kind not in BESIDE
+        home[e] = home[tree.parents[e]] if text else e
+    return home
+
+
+def _main_container(tree: Page, home: list[int], gone: list[bool], kept: list[int], weight: dict[int, int], threshold: int) -> int:
+    """The innermost container that holds nearly all of the text between surges and dives."""
+    n = len(tree.kinds)
+    total, direct, count = [0] * n, [0] * n, [0] * n
+    for i, w in weight.items():
+        k = home[tree.place[i]]
+        total[k] += w
+        direct[k] += w
+        count[k] += 1
+    headed = [False] * n
+    for i in kept:
+        e = tree.place[i]
+        while e and tree.kinds[e] in TEXT and tree.kinds[e] not in HEADINGS:
+            e = tree.parents[e]
+        if tree.kinds[e] in HEADINGS:
+            k = home[e]
+            headed[k] |= tree.kinds[k] not in ("", "html", "body") or (tree.kinds[e] == "h1" and tree.title.startswith(tree.text[i]))
+    inner: list[list[int]] = [[] for _ in range(n)]
+    for e in range(n - 1, 0, -1):
+        if home[e] == e:
+            up = home[tree.parents[e]]
+            total[up] += total[e]
+            count[up] += count[e]
+            if total[e]:
+                inner[up].append(e)
+    at = 0
+    while tree.kinds[at] != "article" and inner[at]:
+        best = max(inner[at], key=lambda e: (total[e], -e))
+        named = [e for e in inner[at] if tree.kinds[e] in ("article", "main")]
+        if named:
+            first = max(named, key=lambda e: (total[e], -e))
+            if 4 * total[first] >= total[at]:
+                if headed[at] and tree.kinds[at] not in ("", "html", "body"):
+                    break
+                at = first
+                continue
+        lone = tree.kinds[at] in ("", "html", "body") and count[best] > 1 and 2 * total[best] >= total[at] and all(count[e] == 1 for e in inner[at] if e != best)
+        if direct[at] >= threshold or headed[at] or not (5 * total[best] >= 4 * total[at] or lone):
+            break
+        at = best
+    return at
+
+
+def _lines_of(tree: Page, home: list[int], kept: list[int], core: set[int], place: int) -> list[int]:
+    """The lines of a container from its first to its last; of the whole page those around its core that lie in no container of their own.
+
+    Lines before and behind the core that lie in containers of their own go where they are mostly links.
+    """
+
+    # the container, directly under ``place``, of each element; 0 if it is direct text of ``place``, -1 if it lies elsewhere
+    within = [-1] * len(tree.kinds)
+    within[place] = 0
+    for e in range(1, len(within)):
+        up = within[tree.parents[e]]
+        if e != place and up >= 0:
+            within[e] = up or (e if home[e] == e else 0)
+    under = {i: within[tree.place[i]] for i in kept}
+    own = [i for i in kept if under[i] >= 0]
+    first, last = min((i for i in own if i in core), default=0), max((i for i in own if i in core), default=-1)
+    free: dict[int, list[int]] = {}
+    for i in own:
+        size = free.setdefault(under[i], [0, 0])
+        size[0] += tree.plain[i]
+        size[1] += len(tree.text[i])
+    whole = tree.kinds[place] in ("", "html", "body")
+    article = tree.kinds[place] in ("article", "main")
+
+    def joins(i: int) -> bool:
+        if first <= i <= last or under[i] == 0 or article:
+            return True
+        plain, size = free[under[i]]
+        return not whole and 2 * plain >= size
+
+    return [i for i in own if joins(i)]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
