@@ -59,7 +59,8 @@ def exponent_for(shares: DataFrame, budget_factor: float, entropy_share: float |
 def mix_sources(docs: DataFrame, entropy_share: float | None = 0.95, max_repeats: float | None = 4.0, budget_factor: float = 1.0, block_docs: int = 1024, seed: str = "mix") -> DataFrame:
     """doc_id, source, n_tokens, weight, epoch, block and place for each appearance of a document.
 
-    The budget is ``budget_factor`` times the tokens (words) of ``docs`` (doc_id, text, source).
+    The budget is ``budget_factor`` times the tokens (words) of ``docs`` (doc_id, text, source), dealt to
+    the sources in whole tokens by largest remainders; only the column weight is rounded (9 digits).
     ``entropy_share`` is the target entropy as a share of the largest; None leaves it out, as it does
     ``max_repeats``. epoch counts from 0; place orders the appearances: epoch, then permuted blocks,
     then permuted documents. A null source is a source of its own. Documents without tokens appear
@@ -77,8 +78,14 @@ def mix_sources(docs: DataFrame, entropy_share: float | None = 0.95, max_repeats
     shares = sources.where("t > 0").select("s", "t", "docs", (F.col("t") / F.lit(float(total or 1))).alias("p"))
     a = exponent_for(shares, budget_factor, entropy_share, max_repeats) if total else 1.0
     z = shares.agg(F.sum(F.pow("p", F.lit(a)))).first()[0] or 1.0
-    weight = F.round(F.pow("p", F.lit(a)) / z, 9)
-    plan = shares.select("s", weight.alias("weight"), F.floor(weight * total * budget_factor).cast("long").alias("budget"), "t", F.ceil(F.col("docs") / block_docs).cast("long").alias("blocks"))
+    budget = math.floor(total * budget_factor + 0.5)
+    exact = F.pow("p", F.lit(a)) / z * budget
+    dealt = stash.put(shares.select("s", "t", "docs", F.round(F.pow("p", F.lit(a)) / z, 9).alias("weight"), F.floor(exact + 1e-6).cast("long").alias("base"), exact.alias("exact")), "budgets")
+    # the tokens that rounding down leaves go to the largest remainders
+    left = max(0, budget - (dealt.agg(F.sum("base")).first()[0] or 0))
+    more = dealt.select("s", F.lit(1).alias("more"), F.round(F.col("exact") - F.col("base"), 6).alias("part")).orderBy(F.desc("part"), "s").limit(left).select("s", "more")
+    dealt = dealt.join(more, "s", "left").withColumn("budget", F.col("base") + F.coalesce("more", F.lit(0)))
+    plan = dealt.select("s", "weight", "budget", "t", F.ceil(F.col("docs") / block_docs).cast("long").alias("blocks"))
     plan = stash.put(plan.select("s", "weight", "blocks", F.expr("budget div t").alias("whole"), F.expr("budget % t").alias("rest")), "plan")
     if plan.count() <= SMALL_PLAN:
         plan = F.broadcast(plan)
@@ -122,8 +129,9 @@ rep(i, lo, hi) AS (
     FROM rep, list_p WHERE i < 32)),
 expo AS (SELECT CASE WHEN (SELECT n FROM list_p) > 1 THEN round(greatest((SELECT lo FROM ent WHERE i = 32), (SELECT hi FROM rep WHERE i = 32)), 6) ELSE 1.0 END AS a),
 z AS (SELECT sum(power(p, a)) AS z FROM shares, expo),
-weights AS (SELECT s, t, docs, round(power(p, a) / z, 9) AS weight FROM shares, expo, z),
-plan AS (SELECT s, weight, ceil(docs / 1024.0)::BIGINT AS blocks, floor(weight * total * 1.0)::BIGINT // t AS whole, floor(weight * total * 1.0)::BIGINT % t AS rest FROM weights, tot),
+weights AS (SELECT s, t, docs, total, round(power(p, a) / z, 9) AS weight, power(p, a) / z * total AS exact, floor(power(p, a) / z * total + 1e-6)::BIGINT AS base FROM shares, expo, z, tot),
+dealt AS (SELECT *, base + (row_number() OVER (ORDER BY round(exact - base, 6) DESC, s) <= total - sum(base) OVER ())::BIGINT AS budget FROM weights),
+plan AS (SELECT s, weight, ceil(docs / 1024.0)::BIGINT AS blocks, budget // t AS whole, budget % t AS rest FROM dealt),
 placed AS (SELECT slim.*, weight, whole, rest, ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % blocks AS block FROM slim JOIN plan USING (s)),
 b AS (SELECT s, block, sum(n_tokens)::BIGINT AS in_block, any_value(whole) AS whole, any_value(rest) AS rest FROM placed GROUP BY s, block),
 c AS (SELECT s, block, rest - (sum(in_block) OVER (PARTITION BY s ORDER BY md5('mix|' || whole || '|' || s || '|' || block)) - in_block) AS l FROM b),
