@@ -3,8 +3,10 @@
 A passage of m characters that a document contains with at most k edits shares at least
 ``m + 1 - q (k + 1)`` of its q-grams with it, on diagonals that drift by at most k. So the shared
 q-grams are counted in diagonal bands that overlap by k + 1, only bands that reach this bound are
-retained, and each retained region is verified by a banded alignment. No passage within the edit
-budget is missed. Text is compared lower-cased, with everything but letters and digits as one space.
+retained, and each retained region is verified by a banded alignment. q is 8, or for short passages
+the largest that leaves the bound at 1 or more, so no passage within the edit budget is missed.
+Passages of fewer than ``Q`` characters, which have no edits to spare and stand in many words, are
+looked for as whole words. Text is compared lower-cased, with everything but letters and digits as one space.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import U8, slices
+from tagloom.llm.common import U8, Stash, slices
 
 Q = 8
+#: So many (hit, place in an item) entries are expanded at once.
+ENTRIES = 4 << 20
 _SIEVE_BITS = 22
 _FACTOR = U8(0x9E3779B97F4A7C15)
 
@@ -47,14 +51,20 @@ def normalise(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low[at], at
 
 
-def _grams(low: np.ndarray) -> np.ndarray:
-    """The Q-grams of folded text as 64-bit numbers (characters beyond one byte are mixed into one)."""
-    if len(low) < Q:
+def _grams(low: np.ndarray, q: int) -> np.ndarray:
+    """The q-grams of folded text as 64-bit numbers (characters beyond one byte are mixed into one)."""
+    n = len(low) - q + 1
+    if n <= 0:
         return np.zeros(0, U8)
     one = (low ^ (low >> np.uint32(8)) * np.uint32(31)).astype(np.uint8)
-    two = one[:-1].astype(np.uint16) | one[1:].astype(np.uint16) << np.uint16(8)
-    four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
-    return four[:-4].astype(U8) | four[4:].astype(U8) << U8(32)
+    if q == 8:
+        two = one[:-1].astype(np.uint16) | one[1:].astype(np.uint16) << np.uint16(8)
+        four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
+        return four[:-4].astype(U8) | four[4:].astype(U8) << U8(32)
+    out = np.zeros(n, U8)
+    for j in range(q):
+        out |= one[j : j + n].astype(U8) << U8(8 * j)
+    return out
 
 
 def _points(text: str) -> np.ndarray:
@@ -87,30 +97,36 @@ def banded_distance(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[
     return (int(line[best]), len(item) + best + low) if line[best] <= budget else (budget + 1, -1)
 
 
+def folded(text: str | None) -> np.ndarray:
+    points = _points(text or "")
+    low, _ = normalise(points, np.zeros(len(points), np.int64))
+    return low[: len(low) - 1] if len(low) and low[-1] == 32 else low
+
+
 class Passages:
-    """The items of one block: folded text, edit budgets, and their Q-grams by value."""
-
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
-        self.ids, self.texts = [], []
-        for i, text in items:
-            points = _points(text or "")
-            low, _ = normalise(points, np.zeros(len(points), np.int64))
-            low = low[: len(low) - 1] if len(low) and low[-1] == 32 else low
-            if len(low) >= Q:
-                self.ids.append(i)
-                self.texts.append(low)
+    """Items with the same q: folded text, edit budgets, and their q-grams by value and item."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, rate: float) -> None:
+        self.q = q
+        self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
         self.size = np.array([len(t) for t in self.texts], np.int64)
-        budget = np.floor(rate * self.size).astype(np.int64)
-        self.budget = np.maximum(0, np.minimum(budget, (self.size + 1 - Q) // Q - 1))
-        self.bound = np.maximum(1, self.size + 1 - Q * (self.budget + 1))
-        grams = [_grams(t) for t in self.texts]
-        flat = np.concatenate(grams) if grams else np.zeros(0, U8)
+        self.budget = np.floor(rate * self.size).astype(np.int64)
+        self.bound = self.size + 1 - q * (self.budget + 1)
+        grams = [_grams(t, q) for t in self.texts]
+        flat = np.concatenate(grams)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
+        at = np.concatenate([np.arange(len(g)) for g in grams])
+        order = np.lexsort((item, flat))
         self.item, self.at = item[order], at[order]
-        self.gram, self.start = np.unique(flat[order], return_index=True)
-        self.start = np.append(self.start, len(flat))
+        self.gram, where = np.unique(flat[order], return_inverse=True)
+        self.key = where.astype(np.int64) * len(self.ids) + self.item
+        self.reach = int((self.size + self.budget).max())
+
+    def entries(self, near: np.ndarray, first: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the entries of items first to stop for each gram of ``near``."""
+        n = len(self.ids)
+        start = np.searchsorted(self.key, near * n + first)
+        return start, np.searchsorted(self.key, near * n + stop) - start
 
     def sieve(self) -> np.ndarray:
         found = np.zeros(1 << _SIEVE_BITS, bool)
@@ -119,63 +135,103 @@ class Passages:
         return found
 
 
-def _find(passages: Passages):
+def sort_items(items: list[tuple[int, str]], rate: float) -> tuple[list[Passages], dict[str, list[tuple[int, str]]]]:
+    """(items by their q, items of fewer than Q characters by their first word)."""
+    by: dict[int, list[tuple[int, np.ndarray]]] = {}
+    short: dict[str, list[tuple[int, str]]] = {}
+    for i, text in items:
+        low = folded(text)
+        if len(low) >= Q:
+            by.setdefault(max(1, min(Q, len(low) // (int(np.floor(rate * len(low))) + 1))), []).append((i, low))
+        elif len(low):
+            word = low.tobytes().decode("utf-32-le")
+            short.setdefault(word.split()[0], []).append((i, word))
+    return [Passages(own, q, rate) for q, own in sorted(by.items())], short
+
+
+def _bands(p: Passages, row: np.ndarray, hit: np.ndarray, near: np.ndarray, first: int, stop: int) -> Iterator[np.ndarray]:
+    """(row, item, band) keys that reach their item's bound; what is expanded at once is bounded by halving items, then text."""
+    start, many = p.entries(near, first, stop)
+    total = int(many.sum())
+    if total > ENTRIES and stop - first > 1:
+        middle = (first + stop) // 2
+        yield from _bands(p, row, hit, near, first, middle)
+        yield from _bands(p, row, hit, near, middle, stop)
+        return
+    if total > ENTRIES and len(hit) and hit[-1] - hit[0] > 4 * p.reach:
+        middle = (int(hit[0]) + int(hit[-1])) // 2
+        for some in (hit < middle + p.reach, hit >= middle - p.reach):
+            yield from _bands(p, row, hit[some], near[some], first, stop)
+        return
+    if not total:
+        return
+    entry = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(total)
+    item, at, d = p.item[entry], p.at[entry], np.repeat(hit, many)
+    # an occurrence lies in two neighbouring stretches of the text, which hold its bound of hits
+    stretch = d // p.reach
+    stretch -= stretch.min()
+    counts = _counts(stretch, item - first, int(stretch.max()) + 3, stop - first)
+    some = np.maximum(counts(stretch) + counts(stretch + 1), counts(stretch - 1) + counts(stretch)) >= p.bound[item]
+    item, at, d = item[some], at[some], d[some]
+    if not len(d):
+        return
+    band = (d - at) // (p.budget[item] + 1)
+    base = int(band.min()) - 1
+    span = int(band.max()) - base + 2
+    group = (row[d].astype(np.int64) * len(p.ids) + item) * span
+    keys, count = np.unique(_distinct(np.concatenate([group + band - base, group + band - 1 - base]), np.concatenate([at, at])), return_counts=True)
+    which = (keys // span) % len(p.ids)
+    keys = keys[count >= p.bound[which]]
+    yield np.stack([keys // span // len(p.ids), (keys // span) % len(p.ids), keys % span + base], axis=1)
+
+
+def _find(groups: list[Passages], short: dict[str, list[tuple[int, str]]]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = passages.sieve()
-        reach = int((passages.size + passages.budget).max())
-        least = int(passages.bound.min())
+        sieves = [p.sieve() for p in groups]
         for batch, data, offsets in slices(batches):
             points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
             lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
             row = np.repeat(np.arange(len(offsets) - 1), np.diff(lead))
             low, place = normalise(points, row)
             row = row[place]
-            grams = _grams(low)
-            with np.errstate(over="ignore"):
-                hit = np.flatnonzero(sieve[(grams * _FACTOR) >> U8(64 - _SIEVE_BITS)])
-            hit = hit[row[hit] == row[hit + Q - 1]]
-            near = np.minimum(np.searchsorted(passages.gram, grams[hit]), len(passages.gram) - 1)
-            true = passages.gram[near] == grams[hit]
-            hit, near = hit[true], near[true]
-            if len(hit) < least:
-                continue
-            dense = np.searchsorted(hit, hit + reach, side="right") - np.searchsorted(hit, hit - reach) >= least
-            hit, near = hit[dense], near[dense]
-            if not len(hit):
-                continue
-            many = passages.start[near + 1] - passages.start[near]
-            entry = np.repeat(passages.start[near] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-            item, at, d = passages.item[entry], passages.at[entry], np.repeat(hit, many)
-            # an occurrence lies in two neighbouring stretches of the text, which hold its bound of hits
-            stretch = d // reach
-            total = _counts(stretch, item, int(stretch.max()) + 3, len(passages.ids))
-            some = np.maximum(total(stretch) + total(stretch + 1), total(stretch - 1) + total(stretch)) >= passages.bound[item]
-            item, at, d = item[some], at[some], d[some]
-            if not len(d):
-                continue
-            step = passages.budget[item] + 1
-            band = (d - at) // step
-            base = int(band.min()) - 1
-            span = int(band.max()) - base + 2
-            group = (row[d].astype(np.int64) * len(passages.ids) + item) * span
-            key = np.concatenate([group + band - base, group + band - 1 - base])
-            keys, count = np.unique(_distinct(key, np.concatenate([at, at])), return_counts=True)
-            which = (keys // span) % len(passages.ids)
-            good = count >= passages.bound[which]
             starts = np.searchsorted(row, np.arange(len(offsets)))
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for k in keys[good]:
-                r, i = divmod(int(k) // span, len(passages.ids))
-                b, e = int(k) % span + base, int(passages.budget[i])
-                a = max(int(starts[r]), b * (e + 1) - e)
-                z = min(int(starts[r + 1]), (b + 2) * (e + 1) + int(passages.size[i]) + e)
-                edits, end = banded_distance(passages.texts[i], low[a:z], e)
-                if edits <= e and edits < best.get((r, i), (e + 1,))[0]:
-                    back, length = banded_distance(passages.texts[i][::-1], low[a : a + end][::-1], e)
-                    best[r, i] = (edits, int(place[a + end - max(length, 1)] - lead[r]), int(place[a + end - 1] - lead[r]) + 1)
+
+            def keep(r: int, i: int, edits: int, a: int, z: int) -> None:
+                found = (edits, int(place[a] - lead[r]), int(place[z - 1] - lead[r]) + 1)
+                best[r, i] = min(found, best.get((r, i), found))
+
+            for p, sieve in zip(groups, sieves):
+                grams = _grams(low, p.q)
+                with np.errstate(over="ignore"):
+                    hit = np.flatnonzero(sieve[(grams * _FACTOR) >> U8(64 - _SIEVE_BITS)])
+                hit = hit[row[hit] == row[hit + p.q - 1]]
+                near = np.minimum(np.searchsorted(p.gram, grams[hit]), len(p.gram) - 1)
+                true = p.gram[near] == grams[hit]
+                hit, near = hit[true], near[true]
+                least = int(p.bound.min())
+                dense = np.searchsorted(hit, hit + p.reach, side="right") - np.searchsorted(hit, hit - p.reach) >= least
+                for keys in _bands(p, row, hit[dense], near[dense], 0, len(p.ids)):
+                    for r, i, b in keys.tolist():
+                        e = int(p.budget[i])
+                        a = max(int(starts[r]), b * (e + 1) - e)
+                        z = min(int(starts[r + 1]), (b + 2) * (e + 1) + int(p.size[i]) + e)
+                        edits, end = banded_distance(p.texts[i], low[a:z], e)
+                        if edits <= e and edits <= best.get((r, p.ids[i]), (e,))[0]:
+                            _, length = banded_distance(p.texts[i][::-1], low[a : a + end][::-1], e)
+                            keep(r, p.ids[i], edits, a + end - max(length, 1), a + end)
+            if short:
+                for r in range(len(offsets) - 1):
+                    text = low[starts[r] : starts[r + 1]].tobytes().decode("utf-32-le")
+                    held = f" {text} "
+                    for word in set(text.split()) & short.keys():
+                        for i, whole in short[word]:
+                            at = held.find(f" {whole} ")
+                            if at >= 0:
+                                keep(r, i, 0, int(starts[r]) + at, int(starts[r]) + at + len(whole))
             if best:
                 ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-                found = [(ids[r], passages.ids[i], *v) for (r, i), v in best.items()]
+                found = [(ids[r], i, *v) for (r, i), v in best.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["doc_id", "item_id", "edits", "start", "stop"])
 
     return rows
@@ -207,31 +263,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_
     """doc_id, item_id, edits, start and stop (code points of the document) of each benchmark item in a document.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text. An item is found if the document
-    contains it with at most ``rate`` of its characters as edits; of several places the one with the
-    fewest edits is told. The benchmark goes to the executors in blocks of ``block_chars`` characters
-    at most (an item longer than that is a block), each held against all documents.
+    contains it with at most ``rate`` of its folded characters as edits (rounded down), items of fewer
+    than Q characters as whole words; of several places the one with the fewest edits is told, then the
+    first. The benchmark is dealt to blocks of about ``block_chars`` characters by a hash; one block at a
+    time goes to the executors and is held against all documents.
 
-    Null texts are empty; items of fewer than Q characters and empty documents match nothing. Rows of
+    Null texts are empty; items without a letter or digit and empty documents match nothing. Rows of
     documents without doc_id are left out. Repeated rows and items give one result for each pair of
     ids, that with the fewest edits.
     """
     spark = docs.sparkSession
+    schema = "doc_id long, item_id long, edits long, start long, stop long"
     sized = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for r in sized.toLocalIterator():
-        if held and held + len(r["text"]) > block_chars:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        held += len(r["text"])
     wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    schema = "doc_id long, item_id long, edits long, start long, stop long"
-    out = None
-    for block in blocks:
-        passages = Passages(block, rate)
-        if passages.ids:
-            found = wide.mapInArrow(_find(passages), schema)
+    chars = sized.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-2 * chars // block_chars) if chars > block_chars else 1
+    stash, out = Stash(spark) if blocks > 1 else None, None
+    for b in range(blocks):
+        block = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        groups, short = sort_items([(r["item_id"], r["text"]) for r in block.collect()], rate)  # about half of block_chars, or all if less than that
+        if groups or short:
+            found = wide.mapInArrow(_find(groups, short), schema)
+            if stash:
+                found = stash.put(found, f"leaks{b}")
             out = found if out is None else out.unionAll(found)
     if out is None:
         return spark.createDataFrame([], schema)
