@@ -8,9 +8,11 @@ whose left-over mass belongs to one unknown word.
 Documents are packed in chunks that keep their vocabulary and token numbers in a table bucketed by
 chunk. For each order a chunk asks hash buckets about its *distinct* n-grams: the buckets add up the
 training counts, store the model (one row for each bucket) and answer with what the chunk needs. A
-very common n-gram costs one entry a chunk. Contexts with a large share of all tokens are dealt out
-by word as well and their sums are added afterwards. Every token is then scored in its chunk, first
-as a pair and, where the pair wasn't seen, by the lower order.
+very common n-gram costs one entry a chunk. A known word's 64-bit number holds its count, so whoever
+has the number needs no table to tell its probability. The pairs of a context with a large share of
+all tokens are dealt to a number of buckets in proportion to that share, whose sums Spark adds up.
+Every token is then scored in its chunk, first as a pair and, where the pair wasn't seen, by the
+lower order.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ CHUNK_BYTES = 8 << 20
 #: Counts up to TOP are discounted by Good-Turing; larger ones lose one part in a million.
 TOP, REST = 5, 1e-6
 END = U8(0x00E0D0E0D0E0D0E0)
-UNKNOWN = np.uint32(0xFFFFFFFF)
-START = np.uint32(0xFFFFFFFE)
+#: A word number: 14 bits of the bucket, 6 of the length of its count, 44 of the count without its
+#: leading bit and then the place among the words of the bucket with that count. As these words hold
+#: count x place tokens, both fit for buckets of up to 2^44 tokens.
+LENGTH_AT, COUNT_BITS, MOST_BUCKETS = 44, 44, 16_000
+UNKNOWN, START = U8(0xFFFFFFFFFFFFFFFF), U8(0xFFFFFFFFFFFFFFFE)
 
 _CHUNK = "chunk long, ids binary, flags binary, sizes binary, vocab binary, counts binary, tokens binary"
 
@@ -95,26 +100,50 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _ANSWER_ARROW)], schema=_ANSWER_ARROW)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers by place, which compress better."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(U8).ravel()
+
+
+def number_words(bucket: int, counts: np.ndarray) -> np.ndarray:
+    """The number of each word of a bucket; counts are positive and fall."""
+    fresh = np.concatenate([[True], counts[1:] != counts[:-1]]) if len(counts) else np.zeros(0, bool)
+    place = np.arange(len(counts)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(counts) else np.zeros(0, np.int64)
+    length = np.frexp(counts.astype(float))[1].astype(np.int64)
+    rest = (counts - (np.int64(1) << (length - 1))) << (COUNT_BITS + 1 - length)
+    return U8(bucket) << U8(50) | length.astype(U8) << U8(LENGTH_AT) | (rest + place).astype(U8)
+
+
+def counts_of(numbers: np.ndarray, texts: int) -> np.ndarray:
+    """Training counts; of the start of a text, the number of texts; of unknown words 0."""
+    word = numbers < START
+    length = np.where(word, (numbers >> U8(LENGTH_AT)) & U8(63), U8(1)).astype(np.int64)
+    rest = (numbers & U8((1 << COUNT_BITS) - 1)).astype(np.int64) >> (COUNT_BITS + 1 - length)
+    return np.where(word, (np.int64(1) << (length - 1)) + rest, np.where(numbers == START, texts, 0))
+
+
 def _count_words(table: pa.Table) -> pa.Table:
-    """A model row (chunk null: words by falling count, their counts, steps of the counts) and, for each
-    chunk, the place in the model of each word it asked for."""
+    """A model row (chunk null: words by falling count, their numbers, how many words have each count up to TOP + 1,
+    tokens and ends) and, for each chunk, the number of each word it asked for."""
     rows = table.to_pylist()
     grams = np.concatenate([np.frombuffer(r["grams"], U8) for r in rows])
     counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64)
     known, where = np.unique(grams, return_inverse=True)
     total = np.bincount(where, weights=counts, minlength=len(known)).astype(np.int64)
     order = np.argsort(-total, kind="stable")
-    used = int((total > 0).sum())
-    place = np.empty(len(known), np.int64)
-    place[order] = np.arange(len(known))
-    place[total == 0] = int(UNKNOWN)
-    falling = total[order][:used]
-    edge = np.flatnonzero(np.concatenate([[True], falling[1:] != falling[:-1]])) if used else np.zeros(0, np.int64)
-    out = [(rows[0]["bucket"], None, binary(known[order][:used]), binary(falling), binary(np.stack([edge, falling[edge]]).astype(np.int64)))]
+    used = order[: int((total > 0).sum())]
+    number = np.full(len(known), UNKNOWN, U8)
+    number[used] = number_words(rows[0]["bucket"], total[used])
+    sizes = np.append(np.bincount(np.minimum(total[used], TOP + 2), minlength=TOP + 3), [total.sum(), total[known == END].sum()])
+    out = [(rows[0]["bucket"], None, binary(known[used]), _planes(number[used]), binary(sizes.astype(np.int64)))]
     at = 0
     for r in rows:
         n = len(r["grams"]) // 8
-        out.append((r["bucket"], r["chunk"], binary(place[where[at : at + n]].astype(np.uint32)), None, None))
+        out.append((r["bucket"], r["chunk"], _planes(number[where[at : at + n]]), None, None))
         at += n
     return _table(out)
 
@@ -133,183 +162,161 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Unigrams:
-    """The unigram model by word number: bases and count steps of the buckets, sizes and discounts."""
-
-    def __init__(self, steps: dict[int, np.ndarray], sizes: dict[int, int], buckets: int) -> None:
-        size = np.array([sizes.get(b, 0) for b in range(buckets)], np.int64)
-        self.base = np.concatenate([[0], np.cumsum(size)])
-        self.known = int(self.base[-1])
-        start = [steps[b][0] + self.base[b] for b in range(buckets) if b in steps]
-        self.step_start = np.concatenate(start) if start else np.zeros(0, np.int64)
-        self.step_count = np.concatenate([steps[b][1] for b in range(buckets) if b in steps]) if start else np.zeros(0, np.int64)
-        width = np.diff(np.append(self.step_start, self.known))
-        self.total = int((width * self.step_count).sum())
-        n = np.bincount(np.minimum(self.step_count, TOP + 2), weights=width, minlength=TOP + 3)
-        d = discounts(n)
-        mass = np.where(self.step_count <= TOP, d[np.minimum(self.step_count, TOP)], 1 - REST) * self.step_count / max(self.total, 1)
-        self.probability = mass
-        self.unknown = 1 - float((mass * width).sum()) if self.total else 1.0
-        self.texts = 0
-
-    def count(self, number: np.ndarray) -> np.ndarray:
-        """Training counts; of the start of a text, the number of texts; of unknown words 0."""
-        out = np.zeros(len(number), np.int64)
-        word = number < START
-        out[word] = self.step_count[np.searchsorted(self.step_start, number[word], side="right") - 1]
-        out[number == START] = self.texts
-        return out
-
-    def p(self, number: np.ndarray) -> np.ndarray:
-        out = np.full(len(number), self.unknown)
-        word = number < START
-        out[word] = self.probability[np.searchsorted(self.step_start, number[word], side="right") - 1]
-        return out
-
-
-def _numbers(row: dict, model: Unigrams, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number, context number, whether in training) of each token of a chunk."""
-    vocab = np.frombuffer(row["vocab"], U8)
-    number = np.full(len(vocab), UNKNOWN, np.uint32)
-    told = {a["bucket"]: np.frombuffer(a["grams"], np.uint32) for a in row["words"]}
-    for g, p in _deal(vocab % U8(buckets), buckets):
-        place = told[g].astype(np.int64)
-        number[p] = np.where(place == int(UNKNOWN), int(UNKNOWN), place + model.base[g]).astype(np.uint32)
-    token = number[np.frombuffer(row["tokens"], np.uint32)]
-    size = np.frombuffer(row["sizes"], np.int32)
-    before = np.concatenate([[START], token[:-1]]).astype(np.uint32)
-    before[np.concatenate([[0], np.cumsum(size)[:-1]])] = START
-    return token, before, np.repeat(np.frombuffer(row["flags"], np.uint8) & 1, size) == 1
-
-
-def _pairs(token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct pairs whose context is known, in order; the place of each token's pair or -1)."""
-    key = before.astype(U8) << U8(32) | token.astype(U8)
-    known = before != UNKNOWN
-    pairs, where = np.unique(key[known], return_inverse=True)
-    place = np.full(len(key), -1, np.int64)
-    place[known] = where
-    return pairs, place
-
-
-def _pair_bucket(pairs: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    """By context; a hot context's pairs by pair."""
-    context = pairs >> U8(32)
-    group = mix(context) % U8(buckets)
-    if len(hot):
-        spread = np.isin(context, hot)
-        group[spread] = mix(pairs[spread]) % U8(buckets)
-    return group
-
-
-def _ask_pairs(model, hot: np.ndarray, buckets: int):
+    """Sizes and discounts of the unigram model; sizes: words by count up to TOP + 1, more, all tokens and ends."""
+
+    def __init__(self, sizes: np.ndarray, buckets: int) -> None:
+        n, self.total, self.texts = sizes[:-2], int(sizes[-2]), int(sizes[-1])
+        self.known, self.buckets = int(n.sum()), buckets
+        self.d = discounts(n)
+        few = n[1 : TOP + 1] * np.arange(1, TOP + 1)
+        mass = float((few * self.d[1:]).sum()) + (1 - REST) * (self.total - int(few.sum()))
+        self.unknown = 1 - mass / self.total if self.total else 1.0
+        #: A context with more tokens is dealt to several buckets: in all at most 8 x buckets parts.
+        self.often = max(1, self.total // (4 * buckets))
+
+    def count(self, numbers: np.ndarray) -> np.ndarray:
+        return counts_of(numbers, self.texts)
+
+    def p(self, numbers: np.ndarray) -> np.ndarray:
+        c = self.count(numbers)
+        return np.where(c > 0, np.where(c <= TOP, self.d[np.minimum(c, TOP)], 1 - REST) * c / max(self.total, 1), self.unknown)
+
+    def parts(self, context: np.ndarray) -> np.ndarray:
+        """Into how many parts the pairs of a context are dealt."""
+        return np.minimum(1 + self.count(context) // self.often, self.buckets)
+
+    def pair_bucket(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            part = mix(word + U8(0x9E3779B97F4A7C15)) % self.parts(context).astype(U8)
+        return (mix(context) % U8(self.buckets) + part) % U8(self.buckets)
+
+
+class Chunk:
+    """A chunk with numbered words: number, context and training mark of each token, distinct pairs with a known context in their order."""
+
+    def __init__(self, row: dict, buckets: int) -> None:
+        vocab = np.frombuffer(row["vocab"], U8)
+        number = np.full(len(vocab) + 1, START, U8)
+        told = {a["bucket"]: _from_planes(a["grams"]) for a in row["words"]}
+        for g, p in _deal(vocab % U8(buckets), buckets):
+            number[p] = told[g]
+        order = np.argsort(number, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        number = number[order]
+        at = rank[np.frombuffer(row["tokens"], np.uint32)]
+        self.size = np.frombuffer(row["sizes"], np.int32)
+        self.flags = np.frombuffer(row["flags"], np.uint8)
+        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        before = np.concatenate([[0], at[:-1]])
+        before[self.first] = rank[-1]
+        self.token, self.train = number[at], np.repeat(self.flags & 1, self.size) == 1
+        known = number[before] != UNKNOWN
+        pairs, where = np.unique(before[known].astype(U8) << U8(32) | at[known].astype(U8), return_inverse=True)
+        self.place = np.full(len(at), -1, np.int64)
+        self.place[known] = where
+        self.context, self.word = number[(pairs >> U8(32)).astype(np.int64)], number[(pairs & U8(0xFFFFFFFF)).astype(np.int64)]
+
+
+def _ask_pairs(uni: Unigrams):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                token, before, train = _numbers(r, model.value, buckets)
-                pairs, place = _pairs(token, before)
-                counts = np.bincount(place[train & (place >= 0)], minlength=len(pairs)).astype(np.uint32)
-                got = [(g, r["chunk"], _planes(pairs[p]), binary(counts[p])) for g, p in _deal(_pair_bucket(pairs, hot, buckets), buckets)]
+                c = Chunk(r, uni.buckets)
+                counts = np.bincount(c.place[c.train & (c.place >= 0)], minlength=len(c.word)).astype(np.uint32)
+                got = [(g, r["chunk"], _planes(c.context[p]), _planes(c.word[p]), binary(counts[p])) for g, p in _deal(uni.pair_bucket(c.context, c.word), uni.buckets)]
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "grams", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "contexts", "grams", "counts"])
 
     return rows
 
 
-def _planes(pairs: np.ndarray) -> bytes:
-    """The bytes of the numbers by place, which compress better."""
-    return pairs.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(U8).ravel()
-
-
-def _context_sums(pairs: np.ndarray, counts: np.ndarray, model: Unigrams) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts, rows of: seen pairs with count 1..TOP, sum of larger counts, sum of P(w)) of seen pairs."""
-    contexts, where = np.unique(pairs >> U8(32), return_inverse=True)
-    sums = np.zeros((len(contexts), TOP + 2))
+def _context_sums(at: np.ndarray, contexts: int, word: np.ndarray, counts: np.ndarray, uni: Unigrams) -> np.ndarray:
+    """Rows for the contexts of: seen pairs with count 1..TOP, sum of larger counts, sum of P(w). at: the context of each seen pair."""
+    sums = np.zeros((contexts, TOP + 2))
     for c in range(1, TOP + 1):
-        sums[:, c - 1] = np.bincount(where, weights=counts == c, minlength=len(contexts))
-    sums[:, TOP] = np.bincount(where, weights=np.where(counts > TOP, counts, 0), minlength=len(contexts))
-    sums[:, TOP + 1] = np.bincount(where, weights=model.p((pairs & U8(0xFFFFFFFF)).astype(np.uint32)), minlength=len(contexts))
-    return contexts, sums
+        sums[:, c - 1] = np.bincount(at, weights=counts == c, minlength=contexts)
+    sums[:, TOP] = np.bincount(at, weights=np.where(counts > TOP, counts, 0), minlength=contexts)
+    sums[:, TOP + 1] = np.bincount(at, weights=uni.p(word), minlength=contexts)
+    return sums
 
 
-def _count_pairs(model, hot: np.ndarray):
-    """Rows: the model's (chunk null: pairs, counts, numbers of counts), hot contexts' sums (chunk -1), and
-    for each chunk the count of each pair, the contexts of its unseen pairs and their sums."""
+def _count_pairs(uni: Unigrams):
+    """Rows: the model's (chunk null: contexts and words, counts, numbers of counts), sums of contexts dealt in parts
+    (chunk -1), and for each chunk the count of each pair, the contexts of its unseen pairs and their sums."""
 
     def bucket(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        asked = [_from_planes(r["grams"]) for r in rows]
+        sizes = [len(r["grams"]) // 8 for r in rows]
+        contexts, c = np.unique(np.concatenate([_from_planes(r["contexts"]) for r in rows]), return_inverse=True)
+        vocab, w = np.unique(np.concatenate([_from_planes(r["grams"]) for r in rows]), return_inverse=True)
         counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-        known, where = np.unique(np.concatenate(asked), return_inverse=True)
+        known, where = np.unique(c.astype(U8) << U8(32) | w.astype(U8), return_inverse=True)
         total = np.bincount(where, weights=counts, minlength=len(known)).astype(np.int64)
         seen = total > 0
-        contexts, sums = _context_sums(known[seen], total[seen], model.value)
-        numbers = np.bincount(np.minimum(total[seen], TOP + 2), minlength=TOP + 3)
+        context, word = (known >> U8(32)).astype(np.int64)[seen], vocab[(known & U8(0xFFFFFFFF)).astype(np.int64)[seen]]
+        sums = _context_sums(context, len(contexts), word, total[seen], uni)
         b = rows[0]["bucket"]
-        out = [(b, None, _planes(known[seen]), binary(total[seen].astype(np.uint32)), binary(numbers.astype(np.int64)))]
-        if len(hot) and (own := np.isin(contexts, hot)).any():
-            out.append((b, -1, binary(contexts[own]), None, binary(sums[own])))
+        out = [(b, None, _planes(contexts[context]) + _planes(word), _planes(total[seen]), binary(np.bincount(np.minimum(total[seen], TOP + 2), minlength=TOP + 3).astype(np.int64)))]
+        split = uni.parts(contexts) > 1
+        if split.any():
+            out.append((b, -1, binary(contexts[split]), None, binary(sums[split])))
         at = 0
-        for r, pairs in zip(rows, asked):
-            n = total[where[at : at + len(pairs)]]
-            at += len(pairs)
-            missing = np.unique(pairs[n == 0] >> U8(32))
-            near = np.minimum(np.searchsorted(contexts, missing), max(len(contexts) - 1, 0))
-            found = sums[near] if len(contexts) else np.zeros((len(missing), TOP + 2))
-            found = np.where(((contexts[near] == missing) if len(contexts) else np.zeros(len(missing), bool))[:, None], found, 0)
-            out.append((b, r["chunk"], binary(missing), binary(n.astype(np.uint32)), binary(found)))
+        for r, size in zip(rows, sizes):
+            n = total[where[at : at + size]]
+            missing = np.unique(c[at : at + size][n == 0])
+            missing = missing[~split[missing]]
+            out.append((b, r["chunk"], binary(contexts[missing]), _planes(n), binary(sums[missing])))
+            at += size
         return _table(out)
 
     return bucket
 
 
-def _scores(model, hot_sums, d: np.ndarray, buckets: int):
-    """hot_sums: context -> summed rows of _context_sums."""
+_SUMS = [f"s{i}" for i in range(TOP + 2)]
+
+
+def _split_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            sums = np.frombuffer(r["extra"], float).reshape(-1, TOP + 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["grams"], np.int64)), *(pa.array(s) for s in sums.T)], names=["h", *_SUMS])
+
+
+def _scores(uni: Unigrams, split: tuple[np.ndarray, np.ndarray], d: np.ndarray):
+    """split: contexts dealt in parts and their summed rows of _context_sums."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uni = model.value
-        hot = np.array(sorted(hot_sums.value), U8)
         for batch in batches:
             for r in batch.to_pylist():
-                token, before, _ = _numbers(r, uni, buckets)
-                pairs, place = _pairs(token, before)
+                chunk = Chunk(r, uni.buckets)
                 told = {a["bucket"]: a for a in r["pairs"] or []}
-                seen = np.zeros(len(pairs), np.int64)
-                weight = {}
-                contexts, sums = [np.zeros(0, U8)], [np.zeros((0, TOP + 2))]
-                for g, p in _deal(_pair_bucket(pairs, hot, buckets), buckets):
-                    seen[p] = np.frombuffer(told[g]["counts"], np.uint32)
+                seen = np.zeros(len(chunk.word), np.int64)
+                contexts, sums = [split[0]], [split[1]]
+                for g, p in _deal(uni.pair_bucket(chunk.context, chunk.word), uni.buckets):
+                    seen[p] = _from_planes(told[g]["counts"]).astype(np.int64)
                     contexts.append(np.frombuffer(told[g]["grams"], U8))
                     sums.append(np.frombuffer(told[g]["extra"], float).reshape(-1, TOP + 2))
                 contexts, sums = np.concatenate(contexts), np.concatenate(sums)
-                plain = ~np.isin(contexts, hot)
-                contexts = np.concatenate([contexts[plain], hot])
-                sums = np.concatenate([sums[plain], np.array([hot_sums.value[int(h)] for h in hot]).reshape(-1, TOP + 2)])
                 order = np.argsort(contexts)
                 contexts, sums = contexts[order], sums[order]
-                of = uni.count(contexts.astype(np.uint32)).astype(float)
+                of = uni.count(contexts).astype(float)
                 taken = (sums[:, :TOP] * (d[1:] * np.arange(1, TOP + 1))).sum(axis=1) + (1 - REST) * sums[:, TOP]
                 back = np.where(of > 0, (1 - taken / np.maximum(of, 1)) / (1 - sums[:, TOP + 1]), 1.0)
-                h, w = (pairs >> U8(32)).astype(np.uint32), (pairs & U8(0xFFFFFFFF)).astype(np.uint32)
-                p = np.where(seen <= TOP, d[np.minimum(seen, TOP)], 1 - REST) * seen / np.maximum(uni.count(h), 1)
+                p = np.where(seen <= TOP, d[np.minimum(seen, TOP)], 1 - REST) * seen / np.maximum(uni.count(chunk.context), 1)
                 unseen = np.flatnonzero(seen == 0)
                 if len(unseen):
-                    p[unseen] = uni.p(w[unseen]) * back[np.searchsorted(contexts, pairs[unseen] >> U8(32))]
-                lone = place < 0
-                log = np.empty(len(token))
-                log[~lone] = np.log10(p)[place[~lone]]
-                log[lone] = np.log10(uni.p(token[lone]))
-                c = uni.count(token)
-                size = np.frombuffer(r["sizes"], np.int32)
-                start = np.concatenate([[0], np.cumsum(size)[:-1]])
+                    p[unseen] = uni.p(chunk.word[unseen]) * back[np.searchsorted(contexts, chunk.context[unseen])]
+                lone = chunk.place < 0
+                log = np.empty(len(chunk.token))
+                log[~lone] = np.log10(p)[chunk.place[~lone]]
+                log[lone] = np.log10(uni.p(chunk.token[lone]))
+                c = uni.count(chunk.token)
                 base = np.log10((c + 1) / (uni.total + uni.known + 1))
-                flags = np.frombuffer(r["flags"], np.uint8)
-                ids = pa.array(np.frombuffer(r["ids"], np.int64), mask=(flags & 2) == 2)
+                ids = pa.array(np.frombuffer(r["ids"], np.int64), mask=(chunk.flags & 2) == 2)
+                add = lambda x: pa.array(np.add.reduceat(x, chunk.first))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array((flags & 1) == 0), pa.array(size.astype(np.int64)), pa.array(np.add.reduceat((c > 0).astype(np.int64), start)), pa.array(np.full(len(size), uni.total)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(log, start))],
+                    [ids, pa.array((chunk.flags & 1) == 0), pa.array(chunk.size.astype(np.int64)), add((c > 0).astype(np.int64)), pa.array(np.full(len(chunk.size), uni.total)), add(base), add(log)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
@@ -326,33 +333,28 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     table gives an empty result; without training rows every token has the probability 1.
     """
     spark = docs.sparkSession
-    stash, buckets = Stash(spark), buckets_for(spark)
+    stash, buckets = Stash(spark), min(buckets_for(spark), MOST_BUCKETS)
     name = f"tagloom_lm_{uuid.uuid4().hex}"
     wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(~held_out, F.lit(False)).alias("train"))
-    wide.mapInArrow(_chunks, _CHUNK).write.option("compression", "zstd").bucketBy(max(1, buckets // 2), "chunk").saveAsTable(name)
+    # a table in the shared folder, bucketed so that both joins below leave the chunks in place; the catalog forgets it at once
+    wide.mapInArrow(_chunks, _CHUNK).write.option("compression", "zstd").option("path", f"{stash.root}/chunks").bucketBy(max(1, buckets // 2), "chunk").saveAsTable(name)
     chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
 
     asked = chunks.select("chunk", "vocab", "counts").mapInArrow(_ask_words(buckets), "bucket int, chunk long, grams binary, counts binary")
     unigrams = stash.put(asked.groupBy("bucket").applyInArrow(_count_words, _ANSWER), "unigrams")
-    steps = unigrams.where("chunk is null").select("bucket", "extra", (F.octet_length("counts") / 8).cast("long").alias("n")).collect()
-    uni = Unigrams({r["bucket"]: np.frombuffer(r["extra"], np.int64).reshape(2, -1) for r in steps}, {r["bucket"]: r["n"] for r in steps}, buckets)
-    uni.texts = wide.where("train").count()
-    model = spark.sparkContext.broadcast(uni)  # of the counts that occur, at most 2 sqrt(tokens x buckets)
-
-    often = uni.total / (4 * buckets)
-    at = np.flatnonzero(uni.step_count > often)
-    ends = np.append(uni.step_start, uni.known)
-    hot = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in at] + [np.array([int(START)] if uni.texts > often else [], np.int64)]).astype(U8)
+    sizes = [np.frombuffer(r["extra"], np.int64) for r in unigrams.where("chunk is null").select("extra").collect()]  # ten numbers for each bucket
+    uni = Unigrams(sum(sizes, np.zeros(TOP + 5, np.int64)), buckets)
+
     words_told = unigrams.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "grams")).alias("words"))
     numbered = chunks.join(words_told, "chunk")
-    asked = numbered.select("chunk", "vocab", "tokens", "sizes", "flags", "words").mapInArrow(_ask_pairs(model, hot, buckets), "bucket int, chunk long, grams binary, counts binary")
-    bigrams = stash.put(asked.groupBy("bucket").applyInArrow(_count_pairs(model, hot), _ANSWER), "bigrams")
+    asked = numbered.select("chunk", "vocab", "tokens", "sizes", "flags", "words").mapInArrow(_ask_pairs(uni), "bucket int, chunk long, contexts binary, grams binary, counts binary")
+    bigrams = stash.put(asked.groupBy("bucket").applyInArrow(_count_pairs(uni), _ANSWER), "bigrams")
     numbers = sum((np.frombuffer(r["extra"], np.int64) for r in bigrams.where("chunk is null").select("extra").collect()), np.zeros(TOP + 3, np.int64))
-    hot_sums: dict[int, np.ndarray] = {int(h): np.zeros(TOP + 2) for h in hot}
-    for r in bigrams.where("chunk = -1").select("grams", "extra").collect():  # at most 4 contexts for each bucket, from each bucket
-        for h, s in zip(np.frombuffer(r["grams"], U8), np.frombuffer(r["extra"], float).reshape(-1, TOP + 2)):
-            hot_sums[int(h)] = hot_sums[int(h)] + s
+    parts = bigrams.where("chunk = -1").select("grams", "extra").mapInArrow(_split_sums, "h long, " + ", ".join(f"{c} double" for c in _SUMS))
+    split = parts.groupBy("h").agg(*[F.sum(c).alias(c) for c in _SUMS]).collect()  # contexts with a share of 1 / (4 x buckets), so 4 x buckets at most
+    split = np.array([r["h"] for r in split], np.int64).view(U8), np.array([[r[c] for c in _SUMS] for r in split], float).reshape(-1, TOP + 2)
     pairs_told = bigrams.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "grams", "counts", "extra")).alias("pairs"))
     scored = numbered.join(pairs_told, "chunk", "left")
-    job = _scores(model, spark.sparkContext.broadcast(hot_sums), discounts(numbers), buckets)
+    job = _scores(uni, split, discounts(numbers))
     return scored.select("ids", "flags", "sizes", "vocab", "tokens", "words", "pairs").mapInArrow(job, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

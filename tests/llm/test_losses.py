@@ -4,10 +4,12 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagloom.llm import decontam
 from tagloom.llm.decontam import find_leaks, folded
+from tagloom.llm.lm_katz import START, UNKNOWN, Unigrams, _count_pairs, _count_words, _from_planes, _planes, counts_of, number_words
 from tagloom.llm.mixing import mix_sources
 
 
@@ -80,3 +82,26 @@ def test_blocks_give_the_same_leaks(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     read = lambda **o: sorted(map(tuple, find_leaks(docs, bench, **o).collect()))
     assert read() == read(block_chars=300) and len(read()) == 60
+
+
+def test_word_numbers_hold_wide_counts():
+    counts = np.array(sorted([1, 1, 1, 2, 3, 3, 2**31, 2**32 + 5, 2**32 + 5, 2**43 + 12345], reverse=True), np.int64)
+    numbers = number_words(15_999, counts)
+    assert len(set(numbers.tolist())) == len(counts) and (numbers < START).all()
+    assert counts_of(numbers, 7).tolist() == counts.tolist()
+    assert counts_of(np.array([START, UNKNOWN], np.uint64), 5_000_000_000).tolist() == [5_000_000_000, 0]
+
+
+def test_counts_beyond_32_bits():
+    """Chunks with up to 2^32 of a word or pair each add up to more."""
+    most = np.array([2**32 - 1, 1], np.uint32)
+    grams = np.array([11, 12], np.uint64)
+    asked = pa.table({"bucket": pa.array([3, 3], pa.int32()), "chunk": [0, 1], "grams": [grams.tobytes()] * 2, "counts": [most.tobytes()] * 2})
+    model, *told = _count_words(asked).to_pylist()
+    numbers = _from_planes(told[0]["grams"])
+    assert counts_of(numbers, 0).tolist() == [2 * (2**32 - 1), 2] and np.frombuffer(model["extra"], np.int64)[-2] == 2 * 2**32
+    uni = Unigrams(np.frombuffer(model["extra"], np.int64), 16)
+    pairs = asked.select(["bucket", "chunk", "counts"]).append_column("contexts", pa.array([_planes(numbers)] * 2)).append_column("grams", pa.array([_planes(numbers[::-1])] * 2))
+    model, *told = _count_pairs(uni)(pairs).to_pylist()
+    assert _from_planes(model["counts"]).tolist() == [2 * (2**32 - 1), 2] or _from_planes(model["counts"]).tolist() == [2, 2 * (2**32 - 1)]
+    assert all(_from_planes(r["counts"]).tolist() == [2 * (2**32 - 1), 2] for r in told if r["chunk"] >= 0)
