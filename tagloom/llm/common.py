@@ -43,6 +43,15 @@ class Stash:
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def put_bucketed(self, frame: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """A table of the shared folder bucketed by ``key``, so that joins by it leave its rows in place. The catalog forgets it at once."""
+        self.count += 1
+        table = f"tagloom_{uuid.uuid4().hex}"
+        frame.write.option("compression", "zstd").option("path", f"{self.root}/{self.count:03d}-{name}").bucketBy(max(1, buckets), key).saveAsTable(table)
+        found = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        return found
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables of this stash that no later step reads."""
         for frame in frames:
@@ -52,6 +61,14 @@ class Stash:
                     target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def other_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column has it (Spark's names ignore case)."""
+    taken = [c.lower() for c in taken]
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def buckets_for(spark: SparkSession, per_partition: int = 2) -> int:
     """Into how many groups packed rows are dealt: a multiple of the shuffle partitions, which follow the data."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,7 +17,6 @@ lower order.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -334,12 +333,8 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     stash, buckets = Stash(spark), min(buckets_for(spark), MOST_BUCKETS)
-    name = f"tagloom_lm_{uuid.uuid4().hex}"
     wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(~held_out, F.lit(False)).alias("train"))
-    # a table in the shared folder, bucketed so that both joins below leave the chunks in place; the catalog forgets it at once
-    wide.mapInArrow(_chunks, _CHUNK).write.option("compression", "zstd").option("path", f"{stash.root}/chunks").bucketBy(max(1, buckets // 2), "chunk").saveAsTable(name)
-    chunks = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
+    chunks = stash.put_bucketed(wide.mapInArrow(_chunks, _CHUNK), "chunks", "chunk", buckets // 2)
 
     asked = chunks.select("chunk", "vocab", "counts").mapInArrow(_ask_words(buckets), "bucket int, chunk long, grams binary, counts binary")
     unigrams = stash.put(asked.groupBy("bucket").applyInArrow(_count_words, _ANSWER), "unigrams")

@@ -9,6 +9,7 @@ import pytest
 
 from tagloom.llm import decontam
 from tagloom.llm.decontam import find_leaks, folded
+from tagloom.llm.line_dedup import Filter, drop_repeated_lines
 from tagloom.llm.lm_katz import START, UNKNOWN, Unigrams, _count_pairs, _count_words, _from_planes, _planes, counts_of, number_words
 from tagloom.llm.mixing import mix_sources
 
@@ -105,3 +106,28 @@ def test_counts_beyond_32_bits():
     model, *told = _count_pairs(uni)(pairs).to_pylist()
     assert _from_planes(model["counts"]).tolist() == [2 * (2**32 - 1), 2] or _from_planes(model["counts"]).tolist() == [2, 2 * (2**32 - 1)]
     assert all(_from_planes(r["counts"]).tolist() == [2 * (2**32 - 1), 2] for r in told if r["chunk"] >= 0)
+
+
+def test_filters_know_what_they_hold():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    found = Filter(1 << 19)
+    found.add(h[:10_000])
+    assert found.has(h[:10_000]).all() and found.has(h[10_000:]).mean() < 0.01
+
+
+def test_lines_of_repeated_ids_count_once(spark):
+    line = "a line that is long enough to count"
+    rows = [(1, line), (1, f"{line}\nmore"), (2, f"x\n{line}"), (None, line), (3, None)]
+    got = sorted((r.doc_id or 0, r.kept_text, r.n_lines, r.n_dropped) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, line, 1, 0), (1, line, 1, 0), (1, f"{line}\nmore", 2, 0), (2, f"x\n{line}", 2, 0), (3, "", 1, 0)]
+    rows.append((9, line))
+    got = sorted((r.doc_id or 0, r.kept_text, r.n_dropped) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, line, 0), (1, "", 1), (1, "more", 1), (2, "x", 1), (3, "", 0), (9, line, 0)]
+
+
+def test_a_very_long_text_of_many_lines(spark):
+    lines = [f"line number {i} of a very long text" for i in range(60_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[:30_000])), (3, "\n".join(lines[:10]))]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (60_000, 10), 2: (30_000, 10), 3: (10, 0)}
