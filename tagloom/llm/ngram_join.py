@@ -12,8 +12,8 @@ Texts become sets of 64-bit hashes of word n-grams. The work is dealt three time
    if they share one of the first ``n - ceil(0.8 n) + 1``. Each posting list compares its members
    with one pivot (rows in proportion to the list, never all pairs), linked classes merge, and
    further pivots follow while lists are still split. What is then left compares members of
-   *different* components only, which loses no link. Each pair passes the length, positional and
-   suffix filters and is verified once.
+   *different* components only, in pairs of blocks of a list, which loses no link. Each pair passes
+   the length, positional and suffix filters and is verified once.
 """
 
 from __future__ import annotations
@@ -33,8 +33,16 @@ from tagloom.llm.graph import components
 CHUNK_BYTES = 12 << 20
 #: An n-gram that so many texts of a chunk hold is sent as one marker.
 COMMON = 64
-#: Frequencies from here on count as equal in the rare-first order.
+#: The code of the commonest n-grams, those that a chunk sends as markers.
 TOP_DF = 255
+#: In exhaustive rounds a posting list is dealt in blocks of about so many members; other rounds salt lists by so many.
+BLOCK, SALT = 256, 2048
+
+
+def frequency_codes(df: np.ndarray) -> np.ndarray:
+    """One byte for the rare-first order: up to 128 the frequency, beyond it three steps for each doubling."""
+    wide = 128 + np.floor(3 * np.log2(np.maximum(df, 128) / 128)).astype(np.int64)
+    return np.minimum(np.where(df <= 128, df, wide), TOP_DF).astype(np.uint8)
 
 
 def ngram_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -144,10 +152,10 @@ def _answer(buckets: int):
             order = np.argsort(grams)
             ordered = grams[order]
             edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            df = np.diff(np.append(edge, len(grams)))
+            df = frequency_codes(np.diff(np.append(edge, len(grams))))
             if len(marked):
                 df[marked[np.minimum(np.searchsorted(marked, ordered[edge]), len(marked) - 1)] == ordered[edge]] = TOP_DF
-            df = np.repeat(np.minimum(df, TOP_DF), np.diff(np.append(edge, len(grams)))).astype(np.uint8)
+            df = np.repeat(df, np.diff(np.append(edge, len(grams))))
             pick = np.sort(order[df >= 2])
             back = np.zeros(len(grams), np.uint8)
             back[order] = df
@@ -257,25 +265,28 @@ def _link_classes(reps: DataFrame, percent: int, stash: Stash) -> DataFrame:
     posting = reps.mapInArrow(_prefixes(percent), "k long, rid long, n long, pos long")
     posting = stash.put(posting, "prefixes")
     # a member too deep in its order for even the smallest set of the list can't be linked by this n-gram
-    lists = posting.groupBy("k").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).where("members > 1")
+    lists = stash.put(posting.groupBy("k").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).where("members > 1"), "lists")
     fits = (100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + F.col("least"))
-    posting = stash.put(posting.join(lists, "k").where(fits).select("k", "rid", "n", "pos"), "postings")
+    salts = F.ceil(F.col("members") / SALT).cast("int").alias("salts")
+    posting = stash.put(posting.join(lists, "k").where(fits).select("k", "rid", "n", "pos", salts, F.pmod(F.xxhash64("rid"), salts).cast("int").alias("salt")), "postings")
     rows = posting.count()
     sets = reps.select("rid", "n", "grams")
     tested = links = labels = None
     rounds = 0
-    while True:
+    while rows:
         rounds += 1
-        member = posting.withColumn("c", F.col("rid")) if labels is None else posting.join(labels.select(F.col("id").alias("rid"), "component"), "rid", "left").select("k", "rid", "n", "pos", F.coalesce("component", "rid").alias("c"))
+        member = posting.withColumn("c", F.col("rid")) if labels is None else posting.join(labels.select(F.col("id").alias("rid"), "component"), "rid", "left").select(*posting.columns, F.coalesce("component", "rid").alias("c"))
         # first the member with the fewest rarer n-grams, which is most like the others; later any
         first = F.struct("pos", "rid") if rounds == 1 else F.struct(F.xxhash64("rid", F.lit(rounds)), "rid")
         pivot = F.min_by(F.struct("rid", "n", "pos", "c"), first)
-        lists = member.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), pivot.alias("y")).where("low < high").select("k", "y")
-        x = member.select("k", F.struct("rid", "n", "pos", "c").alias("x"))
-        star = x.join(lists, "k")
+        lists = member.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members"), F.max("salts").alias("salts"), pivot.alias("y"))
+        lists = stash.put(lists.where("low < high").select("k", "members", "salts", "y"), "split")
         exhaustive = rounds > 1 and (rounds > 6 or not grew or _split_pairs(member) <= 16 * rows)
+        x = F.struct("rid", "n", "pos", "c")
         if exhaustive:
-            star = x.join(x.select("k", F.col("x").alias("y")), "k").where("x.rid < y.rid")
+            star = _block_pairs(member, lists)
+        else:
+            star = member.select("k", "salt", x.alias("x")).join(lists.select("k", "y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), ["k", "salt"])
         star = star.where("x.c <> y.c").where(_possible("x", "y", percent))
         pairs = star.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
         if tested is not None:
@@ -287,9 +298,19 @@ def _link_classes(reps: DataFrame, percent: int, stash: Stash) -> DataFrame:
         if grew:
             links = fresh if links is None else links.unionAll(fresh)
             labels = components(links, stash)
-        if exhaustive or (rounds == 1 and not grew and seen.isEmpty()):
-            return labels if labels is not None else reps.select(F.col("rid").alias("id"), F.col("rid").alias("component")).limit(0)
+        if exhaustive:
+            break
         tested = seen.select("a", "b") if tested is None else tested.unionAll(seen.select("a", "b"))
+    return labels if labels is not None else reps.select(F.col("rid").alias("id"), F.col("rid").alias("component")).limit(0)
+
+
+def _block_pairs(member: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs (x, y) of members of each split list once, dealt by pairs of blocks so that a task gets BLOCK x BLOCK of them at a time."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = member.join(lists.select("k", blocks.alias("blocks")), "k").select("k", "blocks", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("blocks")).cast("int").alias("own"), F.struct("rid", "n", "pos", "c").alias("m"))
+    x = dealt.select("k", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("m").alias("x"))
+    y = dealt.select("k", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("m").alias("y"))
+    return x.join(y, ["k", "i", "j"]).where("i < j or x.rid < y.rid")
 
 
 def _split_pairs(member: DataFrame) -> int:
