@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tagloom.llm.common import binary, slices
 
@@ -73,21 +74,24 @@ def _unit_rows(packed: list[bytes]) -> np.ndarray:
     return x / np.sqrt(x.sum(axis=1, keepdims=True))
 
 
-def fit(docs: DataFrame, learn: Column, landmarks: int = 240, fit_rows: int = 2400, ridge: float = 0.5) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, learn: Column, landmarks: int = 240, fit_rows: int = 2400, ridge: float = 0.5, max_languages: int = 1000) -> tuple[list[str], np.ndarray]:
     """(languages, BINS x languages matrix) from the rows of ``docs`` where ``learn`` holds.
 
-    At most ``fit_rows`` rows are fitted, dealt evenly to the languages by a hash of doc_id, of
-    which ``landmarks`` span the space; languages are counted over all rows.
+    About ``fit_rows`` rows are fitted, dealt evenly to the languages by a hash of doc_id (at least
+    four of each), of which ``landmarks`` span the space (at least one of each language); languages are
+    counted over all rows. The ``max_languages`` with the most rows are learned; a table with more
+    needs a larger bound, which the size of the matrix on the driver grows with.
     """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(fit_rows // 4).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((BINS, 0), np.float32)
-    each = fit_rows // len(langs)
+    each = max(4, fit_rows // len(langs))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    limit = F.create_map(*[F.lit(x) for l in langs for x in (l, min(1 << 30, int(1.5 * each / counts[l] * (1 << 30)) + 1))])
-    seen = known.where(part < limit[F.col("lang")]).select("text", "lang").mapInArrow(_sample_rows, "lang string, bits binary").where("bits is not null").collect()
+    # of each language half as many rows again as are fitted, and some, as the hash is uneven in small numbers
+    limits = docs.sparkSession.createDataFrame([(l, min(1 << 30, int((1.5 * each + 16) / counts[l] * (1 << 30)) + 1)) for l in langs], "lang string, upto long")
+    seen = known.join(F.broadcast(limits), "lang").where(part < F.col("upto")).select("text", "lang").mapInArrow(_sample_rows, "lang string, bits binary").where("bits is not null").collect()
     by = {l: [r["bits"] for r in seen if r["lang"] == l][:each] for l in langs}
     langs = [l for l in langs if by[l]]
     packed = [bits for l in langs for bits in by[l]]
@@ -107,42 +111,37 @@ def fit(docs: DataFrame, learn: Column, landmarks: int = 240, fit_rows: int = 24
 
 
 def _score(langs: list[str], fold: np.ndarray):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches):
             flags, letters = presence(data, offsets)
             found, score = [UNKNOWN] * len(flags), np.zeros(len(flags))
             if langs:
                 margin = np.concatenate([(f := flags[i : i + 64].astype(np.float32)) @ fold / np.sqrt(np.maximum(f.sum(axis=1, keepdims=True), 1)) for i in range(0, len(flags), 64)])
-                likely = np.exp(4 * (margin - margin.max(axis=1, keepdims=True)))
                 best = margin.argmax(axis=1)
-                score = np.where(letters, (likely.max(axis=1) / likely.sum(axis=1)).astype(np.float64), 0.0)
+                top = np.sort(np.concatenate([margin, np.full((len(margin), 1), -1, margin.dtype)], axis=1), axis=1)[:, -2:].astype(np.float64)
+                score = np.where(letters, 1 / (1 + np.exp(-4 * (top[:, 1] - top[:, 0]))), 0.0)
                 found = [langs[k] if ok else UNKNOWN for k, ok in zip(best, letters)]
-            keep = [c for c in batch.schema.names if c not in ("_text", "lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(found, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            rows = batch.column(batch.schema.get_field_index("row"))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(found, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    return rows
+    return predicted
 
 
-def identify_languages(docs: DataFrame, learn: Column, columns: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
-    """``columns`` of each row of ``docs`` with lang_pred and score (0 to 1, the prediction's share).
-
-    ``docs`` has doc_id, text and lang; the model is learned where ``learn`` holds and lang is known,
-    from text alone. Texts without a letter, empty and null ones are ``und`` with score 0; so are all
-    if no language can be learned. Every row gives a row, repeated ones too; null doc_ids stay null.
-    """
-    model = fit(docs, learn, **options)
-    wide = docs.select(*columns, *[] if "text" in columns else ["text"])
-    fields = [f for f in wide.schema.fields if f.name in columns and f.name not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    found = wide.mapInArrow(_dropping(_score(*model), None if "text" in columns else "text"), f"{schema}, lang_pred string, score double")
-    return found
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``columns`` of each row of ``docs`` with lang_pred and score, by a fitted model; of ``columns`` those two are left out."""
+    kept = [c for c in columns if c not in ("lang_pred", "score")]
+    wide = docs.select(F.struct(*kept).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = StructType([wide.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return wide.mapInArrow(_score(*model), schema).select("row.*", "lang_pred", "score")
 
 
-def _dropping(score, name: str | None):
-    """Leaves the column ``name`` out of what ``score`` returns."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in score(batches):
-            yield batch.select([c for c in batch.schema.names if c != name]) if name else batch
+def identify_languages(docs: DataFrame, learn: Column, columns: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    """``columns`` of each row of ``docs`` with lang_pred and score (0 to 1).
 
-    return rows
+    score is the logistic of four times the lead of the best language over the next (over the margin of
+    a wrong one, -1, if there is no other), so it doesn't depend on how many there are. ``docs`` has
+    doc_id, text and lang; the model is learned where ``learn`` holds and lang is known, from text
+    alone. Texts without a letter, empty and null ones are ``und`` with score 0; so are all if no
+    language can be learned. Every row gives a row, repeated ones too; null doc_ids stay null.
+    """
+    return predict(docs, fit(docs, learn, **options), columns)
