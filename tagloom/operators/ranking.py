@@ -40,28 +40,29 @@ def charts_at_lags(articles: DataFrame, as_of: str, days: int, top: int, lags: t
     """
     age = F.lit(as_of).cast("timestamp_ntz") - F.col("published_at")
     hits = [F.when((age > F.make_dt_interval(days=F.lit(h))) & (age <= F.make_dt_interval(days=F.lit(h + days))), F.lit(h)) for h in lags]
-    dealt = articles.withColumn("lag", F.explode(F.array_compact(F.array(*hits))))
-    weight = dealt.groupBy("lag").agg(F.count_distinct("media").alias("weight"))
-    scored = tag_scores(dealt, "lag").join(F.broadcast(weight), "lag")  # a row for each lag
-    order = Window.partitionBy("lag").orderBy(F.desc("score"), "tag")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("tags", F.count(F.lit(1)).over(Window.partitionBy("lag")))
-    return ranked.where(F.col("rank") <= top).select("lag", "tag", (F.col("score") / F.col("weight") * SCALE).alias("norm"), "count", "rank", "weight", (F.col("tags") > top).alias("full"))
+    first = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(max(lags) + days))
+    inside = articles.where((F.col("published_at") >= first) & (F.col("published_at") < F.lit(as_of).cast("timestamp_ntz")))
+    counts = media_counts(inside.withColumn("lag", F.explode(F.array_compact(F.array(*hits)))), "lag")
+    sizes = counts.groupBy("lag").agg(F.count_distinct("media").alias("weight"), F.count_distinct("tag").alias("tags"))
+    scored = counts.groupBy("lag", "tag").agg(F.sum(media_score(F.col("n"))).alias("score"), F.sum("n").alias("count"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lag").orderBy(F.desc("score"), "tag")).cast("long")).where(F.col("rank") <= top)
+    told = ranked.join(F.broadcast(sizes), "lag")  # a row for each lag
+    return told.select("lag", "tag", (F.col("score") / F.col("weight") * SCALE).alias("norm"), "count", "rank", "weight", (F.col("tags") > top).alias("full"))
 
 
 def burst(charts: DataFrame) -> DataFrame:
     """tag, norm, burst: norm + sum of w_h (norm - norm h days before), for the tags of lag 0.
 
     A tag absent from an earlier chart counts 0 there, or the least norm of the chart if that was cut
-    off. Without an earlier chart at all the burst is unknown (null).
+    off. Without an earlier chart at all the burst is unknown (null). The charts, which are short, are
+    read once into one row of arrays.
     """
-    now = charts.where("lag = 0").select("tag", "norm")
-    floors = charts.where("lag > 0").groupBy("lag").agg(F.when(F.max("full"), F.min("norm")).otherwise(0.0).alias("floor"))
-    weights = charts.sparkSession.createDataFrame(list(BURST.items()), "lag int, w double").join(floors, "lag", "left")
-    past = charts.where("lag > 0").select("lag", "tag", F.col("norm").alias("was"))
-    steps = now.crossJoin(F.broadcast(weights)).join(past, ["lag", "tag"], "left")  # five rows of weights
-    step = F.col("w") * (F.col("norm") - F.coalesce("was", "floor"))
-    known = F.count(step) == len(BURST)
-    return steps.groupBy("tag", "norm").agg(F.when(known, F.col("norm") + F.sum(step)).alias("burst"))
+    whole = charts.agg(F.collect_list(F.struct("lag", "tag", "norm", "full")).alias("c"))
+    at = lambda h: F.filter("c", lambda x: x["lag"] == h)
+    past = [F.struct(F.map_from_entries(F.transform(at(h), lambda x: F.struct(x["tag"], x["norm"]))).alias("was"), F.when(F.exists(at(h), lambda x: x["full"]), F.array_min(F.transform(at(h), lambda x: x["norm"]))).otherwise(0.0).alias("floor")).alias(f"h{h}") for h in BURST]
+    now = whole.select("c", *past).select(F.explode(at(0)).alias("now"), *[f"h{h}" for h in BURST])
+    steps = [F.when(F.size(f"h{h}.was") > 0, w * (F.col("now.norm") - F.coalesce(F.try_element_at(F.col(f"h{h}.was"), F.col("now.tag")), F.col(f"h{h}.floor")))) for h, w in BURST.items()]
+    return now.select("now.tag", "now.norm", sum(steps, F.col("now.norm")).alias("burst"))
 
 
 def early_gate(n: str = "n") -> Column:

@@ -49,14 +49,7 @@ def story_groups(spark, sf_dir):
     return G.components(G.together_edges(graph(spark, sf_dir), 0.34))
 
 
-LINKS_SQL = "l AS (SELECT DISTINCT l_partkey % 3000 AS a, (l_partkey * 7 + l_suppkey) % 3000 AS b FROM lineitem WHERE l_orderkey % 97 = 0), u AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b)"
-
-
-@query("g12_components", f"WITH RECURSIVE {LINKS_SQL}, t(id, node) AS (SELECT a, a FROM u UNION SELECT id, b FROM t JOIN u ON u.a = t.node) SELECT id, min(node) AS component FROM t GROUP BY id")
-def story_components(spark, sf_dir):
-    return _link_components(table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0"))
-
-
+@query("g12_components")
 @query("g12_components_whole")
 def story_components_whole(spark, sf_dir):
     """The components of the links of all rows; without SQL, as a recursive closure of one large component grows with its square."""
@@ -184,10 +177,10 @@ def thread_match(spark, sf_dir):
     return S.capped(m, ["event"], [F.desc("hits"), F.desc("last_at"), F.col("thread")], 1).select("event", "thread", "hits")
 
 
-@query("j17_thread_merge_links", f"{ST}, t AS (SELECT user_id, section, min(published_at) AS a, max(published_at) AS z FROM stream WHERE user_id < 60 GROUP BY ALL) SELECT x.user_id AS a_user, y.user_id AS b_user, x.section FROM t x JOIN t y ON x.section = y.section AND x.user_id <> y.user_id AND y.a > x.z AND y.a <= x.z + INTERVAL 5 DAY")
+@query("j17_thread_merge_links", f"{ST}, t AS (SELECT user_id, section, min(published_at) AS a, max(published_at) AS z FROM stream GROUP BY ALL) SELECT x.user_id AS a_user, y.user_id AS b_user, x.section FROM t x JOIN t y ON x.section = y.section AND x.user_id <> y.user_id AND y.a > x.z AND y.a <= x.z + INTERVAL 5 DAY")
 def thread_merge_links(spark, sf_dir):
     """A thread that starts within five days after another of its section ended: an equi-join on five-day bands."""
-    return _merge_links(stream(spark, sf_dir).where("user_id < 60"))
+    return _merge_links(stream(spark, sf_dir))
 
 
 @query("j17_thread_merge_links_whole", f"{ST}, t AS (SELECT user_id, section, min(published_at) AS a, max(published_at) AS z FROM stream GROUP BY ALL) SELECT x.user_id AS a_user, y.user_id AS b_user, x.section FROM t x JOIN t y ON x.section = y.section AND x.user_id <> y.user_id AND y.a > x.z AND y.a <= x.z + INTERVAL 5 DAY")

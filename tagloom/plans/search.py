@@ -344,10 +344,9 @@ def symmetric_edges(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_suppkey <> l_partkey").select(a.alias("a"), b.alias("b")).distinct().withColumn("key", F.sha2(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")), 256))
 
 
-@query("t02_nulls_last", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END DESC NULLS LAST, o_orderkey) AS place FROM orders WHERE o_custkey < 20")
+@query("t02_nulls_last", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END DESC NULLS LAST, o_orderkey) AS place FROM orders")
 def nulls_last(spark, sf_dir):
-    key = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
-    return table(spark, sf_dir, "orders").where("o_custkey < 20").select("o_orderkey", F.row_number().over(Window.orderBy(F.desc_nulls_last(key), "o_orderkey")).cast("long").alias("place"))
+    return nulls_last_whole(spark, sf_dir)
 
 
 @query("t02_nulls_last_whole", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END DESC NULLS LAST, o_orderkey) AS place FROM orders")

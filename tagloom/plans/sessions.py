@@ -35,12 +35,12 @@ def json_lines(spark, sf_dir):
     return got.select("event_id", F.col("r.k").alias("k"), F.col("r._bad").isNull().alias("valid"))
 
 
-@query("s06_feed_items", "SELECT o_orderkey AS id, 'Order ' || o_orderkey AS title, o_orderdate AS published_at FROM orders WHERE o_custkey < 50")
+@query("s06_feed_items", "SELECT o_orderkey AS id, 'Order ' || o_orderkey AS title, o_orderdate AS published_at FROM orders")
 def feed_items(spark, sf_dir):
     """Items of RSS text: one XML element for each, parsed with XPath; zone-less times are UTC+8."""
     local = F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 8 HOURS"), "yyyy-MM-dd HH:mm:ss")
     item = F.concat(F.lit("<item><guid>"), F.col("o_orderkey").cast("string"), F.lit("</guid><title>Order "), F.col("o_orderkey").cast("string"), F.lit("</title><pubDate>"), local, F.lit("</pubDate></item>"))
-    x = table(spark, sf_dir, "orders").where("o_custkey < 50").select(item.alias("x"))
+    x = table(spark, sf_dir, "orders").select(item.alias("x"))
     at = F.try_to_timestamp(F.xpath_string("x", F.lit("item/pubDate")), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz") - F.expr("INTERVAL 8 HOURS")
     return x.select(F.xpath_long("x", F.lit("item/guid")).alias("id"), F.xpath_string("x", F.lit("item/title")).alias("title"), at.alias("published_at"))
 

@@ -142,10 +142,10 @@ def keep_larger(spark, sf_dir):
     return count(o.where("o_orderkey % 3 <> 0")).unionByName(count(o.where("o_orderkey % 2 = 0"))).where(F.col("day") < F.lit("2001-07-31").cast("date")).groupBy("day").agg(F.max("n").alias("n"))
 
 
-@query("r21_pending_queue", f"{A} SELECT media, article_id, row_number() OVER (ORDER BY (article_id % 10 = 0) DESC, published_at DESC, article_id DESC) AS turn FROM articles WHERE article_id % 7 = 0 ORDER BY turn LIMIT 200")
+@query("r21_pending_queue", f"{A} SELECT media, article_id, row_number() OVER (ORDER BY (article_id % 10 = 0) DESC, published_at DESC, article_id DESC) AS turn FROM articles")
 def pending_queue(spark, sf_dir):
-    order = [F.desc(F.col("article_id") % 10 == 0), F.desc("published_at"), F.desc("article_id")]
-    return articles(spark, sf_dir).where("article_id % 7 = 0").orderBy(*order).limit(200).select("media", "article_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("turn"))
+    """All pending articles: urgent ones first, then the newest."""
+    return pending_queue_whole(spark, sf_dir)
 
 
 @query("r21_pending_queue_whole", f"{A} SELECT media, article_id, row_number() OVER (ORDER BY (article_id % 10 = 0) DESC, published_at DESC, article_id DESC) AS turn FROM articles")
@@ -155,9 +155,10 @@ def pending_queue_whole(spark, sf_dir):
     return S.numbered(articles(spark, sf_dir), *order, name="turn").select("media", "article_id", "turn")
 
 
-@query("t08_byte_order", f"{TX} SELECT title, row_number() OVER (ORDER BY encode(title), article_id) AS place FROM texts ORDER BY place LIMIT 300")
+@query("t08_byte_order", f"{TX} SELECT title, row_number() OVER (ORDER BY encode(title), article_id) AS place FROM texts")
 def byte_order(spark, sf_dir):
-    return texts(spark, sf_dir).orderBy("title", "article_id").limit(300).select("title", F.row_number().over(Window.orderBy("title", "article_id")).cast("long").alias("place"))
+    """All titles in byte order."""
+    return byte_order_whole(spark, sf_dir)
 
 
 @query("t08_byte_order_whole", f"{TX} SELECT title, row_number() OVER (ORDER BY encode(title), article_id) AS place FROM texts")
@@ -188,16 +189,7 @@ def title_tagging(spark, sf_dir):
     return h.groupBy("article_id").agg(F.array_join(F.transform(order, lambda x: x["tag"]), ",").alias("tags"))
 
 
-@query("y02_medoid", "WITH v AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS n FROM embeddings WHERE vec_id < 200), s AS (SELECT x.label, x.vec_id FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2])) / (x.n * y.n) >= 0.2), c AS (SELECT label, vec_id, count(*) AS votes FROM s GROUP BY ALL) SELECT label, vec_id, votes FROM c QUALIFY row_number() OVER (PARTITION BY label ORDER BY votes DESC, vec_id) = 1")
-def medoid(spark, sf_dir):
-    """Of each label's first vectors the one that most others agree with (the id range is the fixed set of options)."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 200").withColumn("n", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    x, y = v.select("label", F.col("vec_id"), F.col("embedding").alias("ex"), F.col("n").alias("nx")), v.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("ey"), F.col("n").alias("ny"))
-    s = x.join(y, "label").where((F.col("vec_id") != F.col("other")) & (dot(F.col("ex"), F.col("ey")) / (F.col("nx") * F.col("ny")) >= 0.2))
-    return S.capped(s.groupBy("label", "vec_id").agg(F.count(F.lit(1)).alias("votes")), ["label"], [F.desc("votes"), F.col("vec_id")], 1).select("label", "vec_id", "votes")
-
-
+@query("y02_medoid")
 @query("y02_medoid_whole")
 def medoid_whole(spark, sf_dir):
     """Of all vectors of each label the one that most others of the label agree with; without SQL, as a join by label alone is too slow there."""
@@ -213,9 +205,9 @@ def nearest_hour(spark, sf_dir):
     return h.join(a, "section").where(F.col("hour").between(F.col("anchor") - two, F.col("anchor") + two)).select("section", "hour")
 
 
-@query("y11_identity_review", "WITH m AS (SELECT l_partkey % 400 AS grp, l_suppkey AS member, sha256(l_returnflag || l_linestatus) AS payload FROM lineitem WHERE l_orderkey % 40 = 0) SELECT grp, min(member) AS canonical, count(DISTINCT payload) AS payloads, CASE WHEN count(DISTINCT payload) = 1 THEN 'equivalent' ELSE 'conflict' END AS verdict FROM m GROUP BY grp")
+@query("y11_identity_review", "WITH m AS (SELECT l_partkey % 400 AS grp, l_suppkey AS member, sha256(l_returnflag || l_linestatus) AS payload FROM lineitem) SELECT grp, min(member) AS canonical, count(DISTINCT payload) AS payloads, CASE WHEN count(DISTINCT payload) = 1 THEN 'equivalent' ELSE 'conflict' END AS verdict FROM m GROUP BY grp")
 def identity_review(spark, sf_dir):
-    m = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select((F.col("l_partkey") % 400).alias("grp"), F.col("l_suppkey").alias("member"), F.sha2(F.concat("l_returnflag", "l_linestatus"), 256).alias("payload"))
+    m = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 400).alias("grp"), F.col("l_suppkey").alias("member"), F.sha2(F.concat("l_returnflag", "l_linestatus"), 256).alias("payload"))
     k = F.count_distinct("payload")
     return m.groupBy("grp").agg(F.min("member").alias("canonical"), k.alias("payloads"), F.when(k == 1, "equivalent").otherwise("conflict").alias("verdict"))
 
@@ -228,10 +220,10 @@ def identity_review_whole(spark, sf_dir):
     return m.groupBy("grp").agg(F.min("member").alias("canonical"), k.alias("payloads"), F.when(k == 1, "equivalent").otherwise("conflict").alias("verdict"))
 
 
-@query("y19_cohesion", "WITH p AS (SELECT DISTINCT p_type, p_brand FROM part WHERE p_size < 10), g AS (SELECT DISTINCT p_type, substr(lower(p_type), i, 2) AS b FROM (SELECT p_type, unnest(range(1, length(p_type))) AS i FROM (SELECT DISTINCT p_type FROM p))), c AS (SELECT p_type, count(*) AS n FROM g GROUP BY 1), d AS (SELECT x.p_type AS a, y.p_type AS b, count(*) AS k FROM g x JOIN g y ON x.b = y.b AND x.p_type < y.p_type GROUP BY ALL), q AS (SELECT x.p_brand, x.p_type AS a, y.p_type AS b FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_type < y.p_type) SELECT p_brand, count(*) AS pairs, round(avg(coalesce(k / (ca.n + cb.n - k)::DOUBLE, 0)), 6) AS cohesion FROM q LEFT JOIN d USING (a, b) JOIN c ca ON ca.p_type = a JOIN c cb ON cb.p_type = b GROUP BY p_brand")
+@query("y19_cohesion", "WITH p AS (SELECT DISTINCT p_type, p_brand FROM part), g AS (SELECT DISTINCT p_type, substr(lower(p_type), i, 2) AS b FROM (SELECT p_type, unnest(range(1, length(p_type))) AS i FROM (SELECT DISTINCT p_type FROM p))), c AS (SELECT p_type, count(*) AS n FROM g GROUP BY 1), d AS (SELECT x.p_type AS a, y.p_type AS b, count(*) AS k FROM g x JOIN g y ON x.b = y.b AND x.p_type < y.p_type GROUP BY ALL), q AS (SELECT x.p_brand, x.p_type AS a, y.p_type AS b FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_type < y.p_type) SELECT p_brand, count(*) AS pairs, round(avg(coalesce(k / (ca.n + cb.n - k)::DOUBLE, 0)), 6) AS cohesion FROM q LEFT JOIN d USING (a, b) JOIN c ca ON ca.p_type = a JOIN c cb ON cb.p_type = b GROUP BY p_brand")
 def cohesion(spark, sf_dir):
     """Mean Jaccard of the bigram sets of a group's labels."""
-    p = table(spark, sf_dir, "part").where("p_size < 10").select("p_brand", "p_type").distinct().withColumn("s", X.shingles(F.lower("p_type"), 2))
+    p = table(spark, sf_dir, "part").select("p_brand", "p_type").distinct().withColumn("s", X.shingles(F.lower("p_type"), 2))
     q = p.toDF("p_brand", "a", "sa").join(p.toDF("p_brand", "b", "sb"), "p_brand").where("a < b")
     both = F.size(F.array_intersect("sa", "sb"))
     return q.groupBy("p_brand").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(both / (F.size("sa") + F.size("sb") - both)), 6).alias("cohesion"))

@@ -117,9 +117,9 @@ def log_edge_width(spark, sf_dir):
     return c.crossJoin(F.broadcast(c.agg(F.max("c").alias("m")))).select("a", "b", F.round(1 + 7 * F.ln("c") / F.ln("m"), 9).alias("width"))  # one row
 
 
-@query("k29_round_and_micro", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS price, CAST(round(l_discount * 1e6) AS BIGINT) AS micro FROM lineitem WHERE l_orderkey < 2000")
+@query("k29_round_and_micro", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS price, CAST(round(l_discount * 1e6) AS BIGINT) AS micro FROM lineitem")
 def round_and_micro(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 6).alias("price"), F.round(F.col("l_discount") * 1e6).cast("long").alias("micro"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 6).alias("price"), F.round(F.col("l_discount") * 1e6).cast("long").alias("micro"))
 
 
 @query("k29_round_and_micro_whole")
@@ -195,9 +195,9 @@ def time_differences(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", s.alias("seconds"), F.floor(s / 300).alias("bucket"))
 
 
-@query("x01_body_normalisation", "SELECT doc_id, sha256(lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'))) AS digest FROM documents WHERE lang = 'en'")
+@query("x01_body_normalisation", "SELECT doc_id, sha256(lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'))) AS digest FROM documents")
 def body_normalisation(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(X.normalised(F.col("text")), 256).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalised(F.col("text")), 256).alias("digest"))
 
 
 @query("x01_body_normalisation_whole")
@@ -206,12 +206,12 @@ def body_normalisation_whole(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalised(F.col("text")), 256).alias("digest"))
 
 
-SHINGLES_SQL = "n AS (SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS t FROM documents WHERE lang = 'en'), s AS (SELECT DISTINCT doc_id, substr(t, i, 5) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 3)) AS i FROM n WHERE length(t) >= 5))"
+SHINGLES_SQL = "n AS (SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS t FROM documents), s AS (SELECT DISTINCT doc_id, substr(t, i, 5) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 3)) AS i FROM n WHERE length(t) >= 5))"
 
 
 @query("x02_shingle_counts", f"WITH {SHINGLES_SQL}, c AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1) SELECT doc_id, coalesce(k, 0) AS shingles FROM n LEFT JOIN c USING (doc_id)")
 def shingle_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.size(X.shingles(X.normalised(F.col("text")))).cast("long").alias("shingles"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.shingles(X.normalised(F.col("text")))).cast("long").alias("shingles"))
 
 
 @query("x02_shingle_counts_whole")
@@ -222,7 +222,7 @@ def shingle_counts_whole(spark, sf_dir):
 
 @query("x03_eligibility", f"WITH {SHINGLES_SQL}, c AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1) SELECT doc_id FROM n JOIN c USING (doc_id) WHERE length(t) >= 200 AND k >= 100")
 def eligibility(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.normalised(F.col("text")).alias("t")).where(F.length("t") >= 200)
+    t = table(spark, sf_dir, "documents").select("doc_id", X.normalised(F.col("text")).alias("t")).where(F.length("t") >= 200)
     return t.where(F.size(X.shingles(F.col("t"))) >= 100).select("doc_id")
 
 
