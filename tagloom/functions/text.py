@@ -77,3 +77,20 @@ def url_date(url: Column) -> Column:
 
 def clip(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n - 1)), F.lit("…"))).otherwise(text)
+
+
+def text_date(text: Column) -> Column:
+    """A real date stated in text: 2024-01-31, 2024/1/31, 2024年1月31日 or Jan 31, 2024."""
+    forms = ((r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)", "yyyy-MM-dd"), (r"(?<!\d)\d{4}/\d{1,2}/\d{1,2}(?!\d)", "yyyy/M/d"), (r"(?<!\d)\d{4}年\d{1,2}月\d{1,2}日", "yyyy年M月d日"), (r"\b[A-Z][a-z]{2} \d{1,2}, \d{4}(?!\d)", "MMM d, yyyy"))
+    return F.coalesce(*[F.try_to_date(F.regexp_extract(text, p, 0), f) for p, f in forms])
+
+
+def credit_kind(credit: Column) -> Column:
+    """desk, organization, person or unknown."""
+    return (
+        F.when(credit == "", "unknown")
+        .when(F.rlike(credit, F.lit("(?i)desk$")), "desk")
+        .when(F.rlike(credit, F.lit("(?i)institute|supplier")), "organization")
+        .when(F.rlike(credit, F.lit("^(By )?[A-Z][a-z]+ [A-Z]")), "person")
+        .otherwise("unknown")
+    )

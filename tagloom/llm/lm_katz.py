@@ -73,6 +73,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows one by one, as a batch of chunks is large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+
+
 def _deal(group: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(group.astype(np.uint32), kind="stable")
     cuts = np.searchsorted(group[order], np.arange(n + 1))
@@ -82,11 +89,10 @@ def _deal(group: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _ask_words(buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                vocab, counts = np.frombuffer(r["vocab"], U8), np.frombuffer(r["counts"], np.uint32)
-                got = [(g, r["chunk"], binary(vocab[p]), binary(counts[p])) for g, p in _deal(vocab % U8(buckets), buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "grams", "counts"])
+        for r in _each(batches):
+            vocab, counts = np.frombuffer(r["vocab"], U8), np.frombuffer(r["counts"], np.uint32)
+            got = [(g, r["chunk"], binary(vocab[p]), binary(counts[p])) for g, p in _deal(vocab % U8(buckets), buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "grams", "counts"])
 
     return rows
 
@@ -200,32 +206,36 @@ class Chunk:
         for g, p in _deal(vocab % U8(buckets), buckets):
             number[p] = told[g]
         order = np.argsort(number, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        number = number[order]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        number = self.number = number[order]
         at = rank[np.frombuffer(row["tokens"], np.uint32)]
         self.size = np.frombuffer(row["sizes"], np.int32)
         self.flags = np.frombuffer(row["flags"], np.uint8)
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        before = np.concatenate([[0], at[:-1]])
+        before = np.concatenate([at[:1], at[:-1]])
         before[self.first] = rank[-1]
-        self.token, self.train = number[at], np.repeat(self.flags & 1, self.size) == 1
-        known = number[before] != UNKNOWN
-        pairs, where = np.unique(before[known].astype(U8) << U8(32) | at[known].astype(U8), return_inverse=True)
-        self.place = np.full(len(at), -1, np.int64)
+        self.at, self.train = at, np.repeat(self.flags & 1, self.size) == 1
+        known = (number != UNKNOWN)[before]
+        key = before.astype(U8)
+        del before
+        key <<= U8(32)
+        key |= at.astype(U8)
+        pairs, where = np.unique(key[known], return_inverse=True)
+        del key
+        self.place = np.full(len(at), -1, np.int32)
         self.place[known] = where
         self.context, self.word = number[(pairs >> U8(32)).astype(np.int64)], number[(pairs & U8(0xFFFFFFFF)).astype(np.int64)]
 
 
 def _ask_pairs(uni: Unigrams):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                c = Chunk(r, uni.buckets)
-                counts = np.bincount(c.place[c.train & (c.place >= 0)], minlength=len(c.word)).astype(np.uint32)
-                got = [(g, r["chunk"], _planes(c.context[p]), _planes(c.word[p]), binary(counts[p])) for g, p in _deal(uni.pair_bucket(c.context, c.word), uni.buckets)]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "contexts", "grams", "counts"])
+        for r in _each(batches):
+            c = Chunk(r, uni.buckets)
+            counts = np.bincount(c.place[c.train & (c.place >= 0)], minlength=len(c.word)).astype(np.uint32)
+            got = [(g, r["chunk"], _planes(c.context[p]), _planes(c.word[p]), binary(counts[p])) for g, p in _deal(uni.pair_bucket(c.context, c.word), uni.buckets)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "contexts", "grams", "counts"])
 
     return rows
 
@@ -286,38 +296,38 @@ def _scores(uni: Unigrams, split: tuple[np.ndarray, np.ndarray], d: np.ndarray):
     """split: contexts dealt in parts and their summed rows of _context_sums."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                chunk = Chunk(r, uni.buckets)
-                told = {a["bucket"]: a for a in r["pairs"] or []}
-                seen = np.zeros(len(chunk.word), np.int64)
-                contexts, sums = [split[0]], [split[1]]
-                for g, p in _deal(uni.pair_bucket(chunk.context, chunk.word), uni.buckets):
-                    seen[p] = _from_planes(told[g]["counts"]).astype(np.int64)
-                    contexts.append(np.frombuffer(told[g]["grams"], U8))
-                    sums.append(np.frombuffer(told[g]["extra"], float).reshape(-1, TOP + 2))
-                contexts, sums = np.concatenate(contexts), np.concatenate(sums)
-                order = np.argsort(contexts)
-                contexts, sums = contexts[order], sums[order]
-                of = uni.count(contexts).astype(float)
-                taken = (sums[:, :TOP] * (d[1:] * np.arange(1, TOP + 1))).sum(axis=1) + (1 - REST) * sums[:, TOP]
-                back = np.where(of > 0, (1 - taken / np.maximum(of, 1)) / (1 - sums[:, TOP + 1]), 1.0)
-                p = np.where(seen <= TOP, d[np.minimum(seen, TOP)], 1 - REST) * seen / np.maximum(uni.count(chunk.context), 1)
-                unseen = np.flatnonzero(seen == 0)
-                if len(unseen):
-                    p[unseen] = uni.p(chunk.word[unseen]) * back[np.searchsorted(contexts, chunk.context[unseen])]
-                lone = chunk.place < 0
-                log = np.empty(len(chunk.token))
-                log[~lone] = np.log10(p)[chunk.place[~lone]]
-                log[lone] = np.log10(uni.p(chunk.token[lone]))
-                c = uni.count(chunk.token)
-                base = np.log10((c + 1) / (uni.total + uni.known + 1))
-                ids = pa.array(np.frombuffer(r["ids"], np.int64), mask=(chunk.flags & 2) == 2)
-                add = lambda x: pa.array(np.add.reduceat(x, chunk.first))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array((chunk.flags & 1) == 0), pa.array(chunk.size.astype(np.int64)), add((c > 0).astype(np.int64)), pa.array(np.full(len(chunk.size), uni.total)), add(base), add(log)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for r in _each(batches):
+            chunk = Chunk(r, uni.buckets)
+            told = {a["bucket"]: a for a in r["pairs"] or []}
+            seen = np.zeros(len(chunk.word), np.int64)
+            contexts, sums = [split[0]], [split[1]]
+            for g, p in _deal(uni.pair_bucket(chunk.context, chunk.word), uni.buckets):
+                seen[p] = _from_planes(told[g]["counts"]).astype(np.int64)
+                contexts.append(np.frombuffer(told[g]["grams"], U8))
+                sums.append(np.frombuffer(told[g]["extra"], float).reshape(-1, TOP + 2))
+            contexts, sums = np.concatenate(contexts), np.concatenate(sums)
+            order = np.argsort(contexts)
+            contexts, sums = contexts[order], sums[order]
+            of = uni.count(contexts).astype(float)
+            taken = (sums[:, :TOP] * (d[1:] * np.arange(1, TOP + 1))).sum(axis=1) + (1 - REST) * sums[:, TOP]
+            back = np.where(of > 0, (1 - taken / np.maximum(of, 1)) / (1 - sums[:, TOP + 1]), 1.0)
+            p = np.where(seen <= TOP, d[np.minimum(seen, TOP)], 1 - REST) * seen / np.maximum(uni.count(chunk.context), 1)
+            unseen = np.flatnonzero(seen == 0)
+            if len(unseen):
+                p[unseen] = uni.p(chunk.word[unseen]) * back[np.searchsorted(contexts, chunk.context[unseen])]
+            lone = chunk.place < 0
+            log = np.empty(len(chunk.at))
+            log[~lone] = np.log10(p)[chunk.place[~lone]]
+            log[lone] = np.log10(uni.p(chunk.number))[chunk.at[lone]]
+            c = uni.count(chunk.number)
+            base = np.log10((c + 1) / (uni.total + uni.known + 1))[chunk.at]
+            c = (c > 0)[chunk.at]
+            ids = pa.array(np.frombuffer(r["ids"], np.int64), mask=(chunk.flags & 2) == 2)
+            add = lambda x: pa.array(np.add.reduceat(x, chunk.first))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array((chunk.flags & 1) == 0), pa.array(chunk.size.astype(np.int64)), add(c.astype(np.int64)), pa.array(np.full(len(chunk.size), uni.total)), add(base), add(log)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return rows
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("ranking", "search", "series", "coverage", "textual", "graphs", "metrics", "sessions", "stories")
+MODULES = ("language", "ranking", "search", "series", "coverage", "textual", "graphs", "similarity", "metrics", "sessions", "stories")
 
 
 def load() -> None:

@@ -147,25 +147,6 @@ def daily_relations(spark, sf_dir):
     return pairs(spark, sf_dir).select(F.explode(ends).alias("e")).groupBy(F.to_date("e.at").alias("day")).agg(F.count_distinct("e.article").alias("articles"))
 
 
-def shingle_sets(spark, sf_dir):
-    """The 5-character shingle sets of the eligible texts (at least 200 characters and 100 shingles)."""
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.normalised(F.col("text")).alias("t")).where(F.length("t") >= 200)
-    return t.select("id", X.shingles(F.col("t")).alias("members")).where(F.size("members") >= 100)
-
-
-@query("j12_band_candidates")
-def band_candidates(spark, sf_dir):
-    """Candidate pairs of the MinHash bands over all eligible texts; recall is tested against exact pairs."""
-    return G.band_pairs(G.minhash(shingle_sets(spark, sf_dir)))
-
-
-@query("x08_exact_dice", "WITH n AS (SELECT p_partkey AS id, lower(regexp_replace(p_name || p_type || p_brand, '[^\\p{L}\\p{N}]', '', 'g')) AS t FROM part WHERE p_partkey <= 600), s AS (SELECT DISTINCT id, substr(t, i, 5) AS g FROM (SELECT id, t, unnest(range(1, length(t) - 3)) AS i FROM n)), c AS (SELECT id, count(*) AS n FROM s GROUP BY id), b AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY ALL) SELECT a, b, shared, round(2 * shared / (ca.n + cb.n)::DOUBLE, 9) AS dice, round(shared / least(ca.n, cb.n)::DOUBLE, 9) AS containment FROM b JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE shared >= 10 AND 2 * shared / (ca.n + cb.n)::DOUBLE >= 0.7")
-def exact_dice(spark, sf_dir):
-    """Exact Dice of short labels; the parts' key range is the fixed set of this query."""
-    t = table(spark, sf_dir, "part").where("p_partkey <= 600").select(F.col("p_partkey").alias("id"), X.normalised(F.concat("p_name", "p_type", "p_brand")).alias("t"))
-    return G.dice_pairs(t.select("id", X.shingles(F.col("t")).alias("members")), 10, 0.7)
-
-
 @query("j16_thread_match", f"{B}, ev AS (SELECT media AS event, tag FROM baskets WHERE published_at >= TIMESTAMP '1998-01-02' AND published_at < TIMESTAMP '1998-01-04' GROUP BY ALL), th AS (SELECT media AS thread, tag, max(published_at) AS last_at FROM baskets WHERE published_at >= TIMESTAMP '1998-01-01' AND published_at < TIMESTAMP '1998-01-02' GROUP BY ALL), lt AS (SELECT thread, max(last_at) AS last_at FROM th GROUP BY thread), m AS (SELECT event, thread, count(*) AS hits FROM ev JOIN th USING (tag) GROUP BY ALL HAVING count(*) >= 2) SELECT event, thread, hits FROM m JOIN lt USING (thread) QUALIFY row_number() OVER (PARTITION BY event ORDER BY hits DESC, last_at DESC, thread) = 1")
 def thread_match(spark, sf_dir):
     """Each event's thread: at least two common tags, most hits first, then the most recent, then the older."""
