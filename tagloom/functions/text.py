@@ -94,3 +94,22 @@ def credit_kind(credit: Column) -> Column:
         .when(F.rlike(credit, F.lit("^(By )?[A-Z][a-z]+ [A-Z]")), "person")
         .otherwise("unknown")
     )
+
+
+#: What tells of a post on a platform, and who wrote it.
+_POST = r"(?i)(?:posted|wrote|shared [a-z ]+) on (facebook|instagram|youtube)"
+_POST_IN = r"(?i)in an? (threads|x) post"
+_POSTER = r"(?:^|, )(Mayor|Singer|actor|Minister) ([A-Z][a-z]+)"
+
+
+def social_post(text: Column) -> list[Column]:
+    """social, platform, poster and role of a text; the last three null where it doesn't say."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    platform = F.lower(F.concat(F.regexp_extract(text, _POST, 1), F.regexp_extract(text, _POST_IN, 1)))
+    return [(platform != "").alias("social"), some(platform).alias("platform"), some(F.regexp_extract(text, _POSTER, 2)).alias("poster"), some(F.lower(F.regexp_extract(text, _POSTER, 1))).alias("role")]
+
+
+def byline_names(credit: Column) -> Column:
+    """The names of persons in a credit line, in order."""
+    parts = F.transform(F.split(credit, " and |[/;,]"), lambda p: F.trim(F.regexp_replace(F.trim(p), "^(By|Reporter) ", "")))
+    return F.filter(parts, lambda p: F.rlike(p, F.lit("^[A-Z][a-z]+ [A-Z][a-z]+$")) & ~F.rlike(p, F.lit("Desk$")))

@@ -106,12 +106,17 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """The bytes of 64-bit numbers by place, which compress better."""
-    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """The bytes of 64-bit numbers by place, which compress better, without the high ones that all are 0; how many come first."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T
+    used = max(1, int(planes.any(axis=1).nonzero()[0].max(initial=0)) + 1)
+    return bytes([used]) + planes[:used].tobytes()
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(U8).ravel()
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view(U8).ravel()
 
 
 def number_words(bucket: int, counts: np.ndarray) -> np.ndarray:
@@ -228,14 +233,20 @@ class Chunk:
         self.context, self.word = number[(pairs >> U8(32)).astype(np.int64)], number[(pairs & U8(0xFFFFFFFF)).astype(np.int64)]
 
 
+def _runs(contexts: np.ndarray) -> tuple[bytes, bytes]:
+    """Each run of equal contexts once, and their lengths."""
+    edge = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+    return _planes(contexts[edge]), _planes(np.diff(np.append(edge, len(contexts))))
+
+
 def _ask_pairs(uni: Unigrams):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each(batches):
             c = Chunk(r, uni.buckets)
-            counts = np.bincount(c.place[c.train & (c.place >= 0)], minlength=len(c.word)).astype(np.uint32)
-            got = [(g, r["chunk"], _planes(c.context[p]), _planes(c.word[p]), binary(counts[p])) for g, p in _deal(uni.pair_bucket(c.context, c.word), uni.buckets)]
+            counts = np.bincount(c.place[c.train & (c.place >= 0)], minlength=len(c.word))
+            got = [(g, r["chunk"], *_runs(c.context[p]), _planes(c.word[p]), _planes(counts[p])) for g, p in _deal(uni.pair_bucket(c.context, c.word), uni.buckets)]
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "contexts", "grams", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "chunk", "contexts", "runs", "grams", "counts"])
 
     return rows
 
@@ -256,10 +267,13 @@ def _count_pairs(uni: Unigrams):
 
     def bucket(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        sizes = [len(r["grams"]) // 8 for r in rows]
+        asked = [_from_planes(r["grams"]) for r in rows]
+        sizes = [len(x) for x in asked]
         contexts, c = np.unique(np.concatenate([_from_planes(r["contexts"]) for r in rows]), return_inverse=True)
-        vocab, w = np.unique(np.concatenate([_from_planes(r["grams"]) for r in rows]), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64)
+        c = np.repeat(c, np.concatenate([_from_planes(r["runs"]) for r in rows]).astype(np.int64))
+        vocab, w = np.unique(np.concatenate(asked), return_inverse=True)
+        del asked
+        counts = np.concatenate([_from_planes(r["counts"]) for r in rows]).astype(np.int64)
         known, where = np.unique(c.astype(U8) << U8(32) | w.astype(U8), return_inverse=True)
         total = np.bincount(where, weights=counts, minlength=len(known)).astype(np.int64)
         seen = total > 0
@@ -353,7 +367,7 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
 
     words_told = unigrams.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "grams")).alias("words"))
     numbered = chunks.join(words_told, "chunk")
-    asked = numbered.select("chunk", "vocab", "tokens", "sizes", "flags", "words").mapInArrow(_ask_pairs(uni), "bucket int, chunk long, contexts binary, grams binary, counts binary")
+    asked = numbered.select("chunk", "vocab", "tokens", "sizes", "flags", "words").mapInArrow(_ask_pairs(uni), "bucket int, chunk long, contexts binary, runs binary, grams binary, counts binary")
     bigrams = stash.put(asked.groupBy("bucket").applyInArrow(_count_pairs(uni), _ANSWER), "bigrams")
     numbers = sum((np.frombuffer(r["extra"], np.int64) for r in bigrams.where("chunk is null").select("extra").collect()), np.zeros(TOP + 3, np.int64))
     parts = bigrams.where("chunk = -1").select("grams", "extra").mapInArrow(_split_sums, "h long, " + ", ".join(f"{c} double" for c in _SUMS))

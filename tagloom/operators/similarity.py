@@ -58,26 +58,34 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.columns[0], batch.column(1).to_pylist()
         sets = [shingle_hashes(t) for t in texts]
-        flat = np.concatenate([sketch(s) for s in sets]).astype(np.int64) if sets else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, PERMUTATIONS), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), lists], names=["id", "shingles", "sketch"])
+        packed = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), packed], names=["id", "shingles", "sketch"])
 
 
 def sketches(texts: DataFrame, least_shingles: int = 100) -> DataFrame:
-    """id, shingles (how many distinct), sketch of each text (id, t: normalised) with enough of them."""
+    """id, shingles (how many distinct), sketch (PERMUTATIONS 32-bit numbers) of each text (id, t: normalised) with enough of them."""
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "t").where("t is not null").mapInArrow(_sketches, f"id {kind}, shingles long, sketch array<bigint>").where(F.col("shingles") >= least_shingles)
+    return texts.select("id", "t").where("t is not null").mapInArrow(_sketches, f"id {kind}, shingles long, sketch binary").where(F.col("shingles") >= least_shingles)
 
 
 def band_keys(sketched: DataFrame) -> DataFrame:
     """Rows of ``sketched`` for each band, with its key: the hash of the band's number and values."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sketch", i * ROWS + 1, ROWS)))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * 4 * ROWS + 1, F.lit(4 * ROWS))))
     return sketched.select("*", F.posexplode(keys).alias("band", "key"))
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """The share of equal places of two sketches, which estimates the Jaccard similarity."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / PERMUTATIONS
+def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS) for k in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(axis=1))], names=["a", "b", "jaccard"])
+
+
+def estimates(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """a, b, jaccard: the share of equal places of the sketches of pairs (a, b), which estimates the Jaccard similarity."""
+    of = sketched.select("id", "sketch")
+    both = pairs.join(of.toDF("a", "sa"), "a").join(of.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    kind = pairs.schema["a"].dataType.simpleString()
+    return both.mapInArrow(_estimates, f"a {kind}, b {kind}, jaccard double")
 
 
 def candidates(sketched: DataFrame, days: int = 7, least: float = 0.2, queries: DataFrame | None = None) -> DataFrame:
@@ -93,9 +101,7 @@ def candidates(sketched: DataFrame, days: int = 7, least: float = 0.2, queries:
     theirs = band_keys(sketched.withColumn("slot", slot)).select("key", "slot", F.col("id").alias("y"), F.col("at").alias("ty"))
     within = F.abs(F.unix_seconds(F.col("tx").cast("timestamp")) - F.unix_seconds(F.col("ty").cast("timestamp"))) <= 86400 * days
     pairs = mine.join(theirs, ["key", "slot"]).where((F.col("x") != F.col("y")) & within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    of = sketched.select("id", "sketch")
-    both = pairs.join(of.toDF("a", "sa"), "a").join(of.toDF("b", "sb"), "b")
-    return both.select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= least)
+    return estimates(pairs, sketched).where(F.col("jaccard") >= least)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("language", "ranking", "search", "series", "coverage", "textual", "graphs", "events", "similarity", "metrics", "sessions", "stories")
+MODULES = ("language", "ranking", "search", "series", "coverage", "textual", "graphs", "events", "similarity", "headlines", "extraction", "metrics", "sessions", "stories", "composites")
 
 
 def load() -> None:
