@@ -102,7 +102,7 @@ def test_counts_beyond_32_bits():
     numbers = _from_planes(told[0]["grams"])
     assert counts_of(numbers, 0).tolist() == [2 * (2**32 - 1), 2] and np.frombuffer(model["extra"], np.int64)[-2] == 2 * 2**32
     uni = Unigrams(np.frombuffer(model["extra"], np.int64), 16)
-    pairs = asked.select(["bucket", "chunk", "counts"]).append_column("contexts", pa.array([_planes(numbers)] * 2)).append_column("grams", pa.array([_planes(numbers[::-1])] * 2))
+    pairs = asked.select(["bucket", "chunk"]).append_column("counts", pa.array([_planes(most.astype(np.int64))] * 2)).append_column("contexts", pa.array([_planes(numbers)] * 2)).append_column("runs", pa.array([_planes(np.ones(2, np.int64))] * 2)).append_column("grams", pa.array([_planes(numbers[::-1])] * 2))
     model, *told = _count_pairs(uni)(pairs).to_pylist()
     assert _from_planes(model["counts"]).tolist() == [2 * (2**32 - 1), 2] or _from_planes(model["counts"]).tolist() == [2, 2 * (2**32 - 1)]
     assert all(_from_planes(r["counts"]).tolist() == [2 * (2**32 - 1), 2] for r in told if r["chunk"] >= 0)
