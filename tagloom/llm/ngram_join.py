@@ -281,7 +281,10 @@ def _link_classes(reps: DataFrame, percent: int, stash: Stash) -> DataFrame:
         pivot = F.min_by(F.struct("rid", "n", "pos", "c"), first)
         lists = member.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members"), F.max("salts").alias("salts"), pivot.alias("y"))
         lists = stash.put(lists.where("low < high").select("k", "members", "salts", "y"), "split")
-        exhaustive = rounds > 1 and (rounds > 6 or not grew or _split_pairs(member) <= 16 * rows)
+        most = lists.agg(F.sum(F.col("members") * (F.col("members") - 1) / 2)).first()[0]
+        if most is None:  # no list is split
+            break
+        exhaustive = rounds > 1 and (rounds > 6 or not grew or most <= 16 * rows or _split_pairs(member) <= 16 * rows)
         x = F.struct("rid", "n", "pos", "c")
         if exhaustive:
             star = _block_pairs(member, lists)

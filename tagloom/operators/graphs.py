@@ -135,3 +135,34 @@ def medoids(vectors: DataFrame, least: float, block_rows: int = 1000) -> DataFra
     votes = votes.groupBy("label", "vec_id").agg(F.sum("n").alias("votes")).where("votes > 0")
     best = F.max_by(F.struct("vec_id", "votes"), F.struct("votes", -F.col("vec_id"))).alias("best")
     return votes.groupBy("label").agg(best).select("label", "best.vec_id", "best.votes")
+
+
+def _cosines(least: float):
+    def block(_, frame):
+        left = np.array(frame["left"].to_pylist(), bool)
+        ids = frame["vec_id"].to_numpy()
+        vectors = np.array(frame["embedding"].to_pylist(), float).reshape(len(ids), -1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            norm = np.sqrt((vectors * vectors).sum(axis=1))
+            x, y = np.flatnonzero(left), np.flatnonzero(~left)
+            cosine = (vectors[x] @ vectors[y].T) / (norm[x][:, None] * norm[y])
+        i, j = np.nonzero((cosine >= least) & (ids[x][:, None] != ids[y]))
+        return pa.table({"a": pa.array(ids[x][i], frame["vec_id"].type), "b": pa.array(ids[y][j], frame["vec_id"].type), "cosine": pa.array(cosine[i, j])})
+
+    return block
+
+
+def cosine_pairs(queries: DataFrame, vectors: DataFrame, least: float, block_rows: int = 2000) -> DataFrame:
+    """a, b, cosine of each of ``queries`` with each other of ``vectors`` (vec_id, embedding) of at least the cosine ``least``.
+
+    Both sides are dealt to blocks of about ``block_rows``; a task multiplies one pair of blocks. Rows with
+    a null id, vector or component are left out, as are vectors of another length than the query's.
+    """
+    whole = lambda f: f.where("vec_id is not null and embedding is not null and not exists(embedding, e -> e is null)").select("vec_id", F.transform("embedding", lambda e: e.cast("double")).alias("embedding"), F.size("embedding").alias("size"))
+    q, v = whole(queries), whole(vectors)
+    x, y = (max(1, -(-f.count() // block_rows)) for f in (q, v))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = q.select("size", "vec_id", "embedding", F.lit(True).alias("left"), own(x).alias("x"), other(y).alias("y")).union(v.select("size", "vec_id", "embedding", F.lit(False), other(x), own(y)))
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    return sides.groupBy("size", "x", "y").applyInArrow(_cosines(least), f"a {kind}, b {kind}, cosine double")

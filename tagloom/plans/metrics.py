@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagloom.catalog import query
+from tagloom.operators import graphs as G
 from tagloom.operators import search as S
 from tagloom.sources.tables import ARTICLES_SQL, STREAM_SQL, articles, stream, table
 
@@ -69,12 +70,9 @@ def visits_per_article(spark, sf_dir):
 
 @query("y01_vector_cosine", "WITH e AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS norm FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0) SELECT q.vec_id AS a, e.vec_id AS b, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2])) / (q.norm * e.norm), 6) AS cosine FROM q JOIN e ON q.vec_id <> e.vec_id WHERE list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2])) / (q.norm * e.norm) >= 0.6")
 def vector_cosine(spark, sf_dir):
-    """The stated queries (ids divisible by 50) against all vectors."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    q = e.where("vec_id % 50 = 0").toDF("a", "va", "na")
-    hit = q.join(e.toDF("b", "vb", "nb"), F.col("a") != F.col("b")).withColumn("c", dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb")))
-    return hit.where("c >= 0.6").select("a", "b", F.round("c", 6).alias("cosine"))
+    """The stated queries (ids divisible by 50) against all vectors, by products of blocks."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return G.cosine_pairs(e.where("vec_id % 50 = 0"), e, 0.6).withColumn("cosine", F.round("cosine", 6))
 
 
 @query("y03_clamped_score", "SELECT l_orderkey, l_linenumber, round((0.5 * greatest(0, least(1, l_quantity / 40)) + 0.3 * greatest(0, least(1, l_discount * 12)) + 0.2 * greatest(0, least(1, l_tax * 10 - 0.1))) * CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE 1 END, 6)::DOUBLE AS score FROM lineitem")

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
+from tagloom.operators import graphs as G
 from tagloom.operators import headlines as H
 from tagloom.operators import similarity as N
 
@@ -123,3 +124,14 @@ def test_common_characters_and_brackets(spark):
         assert [a[i] for i in sorted(x)] == [b[i] for i in sorted(y)] and len(x) == lcs(a, b)
     got = spark.createDataFrame([("price rises", "prices rise"), (None, "a")], "x string, y string").select(H.headline_diff("x", "y").alias("d")).select("d.*").collect()
     assert got[0].left.replace("[", "").replace("]", "") == "price rises" and got[0].right.replace("[", "").replace("]", "") == "prices rise" and got[1].right == "a"
+
+
+def test_cosine_pairs_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(size=6).tolist()) for i in range(70)] + [(100, None), (101, [0.0] * 6), (102, [1.0, 2.0])]
+    f = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    cosine = lambda x, y: float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+    want = {(a, b) for a, x in vectors[:70:5] for b, y in vectors[:70] if a != b and cosine(x, y) >= 0.5}
+    for size in (7, 2000):
+        got = {(r.a, r.b): r.cosine for r in G.cosine_pairs(f.where("vec_id % 5 = 0"), f, 0.5, size).collect()}
+        assert set(got) == want and all(abs(c - cosine(vectors[a][1], vectors[b][1])) < 1e-9 for (a, b), c in got.items())
