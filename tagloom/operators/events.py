@@ -14,15 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.graphs import components
-
-
-def settle(frame: DataFrame) -> DataFrame:
-    """The frame cut from its lineage: checkpointed where ``spark.checkpoint.dir`` is set, else persisted."""
-    spark = frame.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint() if spark.sparkContext.getCheckpointDir() else frame.persist()
+from tagloom.sources.sinks import settle
 
 
 def alias_tags(graph: DataFrame, share: float = 0.3) -> DataFrame:

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.sources.sinks import settle
+
 
 def tag_graph(tags: DataFrame) -> DataFrame:
     """a, b, shared, na, nb for each ordered pair of tags of one article (article_id, tag, distinct)."""
@@ -26,24 +28,19 @@ def together_edges(graph: DataFrame, share: float = 0.2) -> DataFrame:
     return graph.where((F.col("a") < F.col("b")) & (F.col("shared") >= share * F.least("na", "nb"))).select("a", "b")
 
 
-def components(edges: DataFrame, checkpoint: bool = True, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """id, component: the least id that the undirected edges (a, b) reach.
 
     Labels spread by minimum and jump along themselves, so the rounds grow with the logarithm of the
-    diameter. Each round is checkpointed where spark.checkpoint.dir is set, cached otherwise.
+    diameter. Each round is written out, so that a lost executor costs no more than the round.
     """
-    spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    keep = (lambda x: x.checkpoint()) if checkpoint and spark.sparkContext.getCheckpointDir() else (lambda x: x.persist())
-    both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
+    both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
     for _ in range(rounds):
         near = both.join(labels.toDF("b", "near"), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         hop = labels.join(near, "id").select("id", F.least("component", "near").alias("hop"), "component")
         after = hop.select(F.col("id").alias("hop"), F.col("hop").alias("far"))
-        step = keep(hop.join(after, "hop", "left").select("id", F.coalesce("far", "hop").alias("new"), "component"))
+        step = settle(hop.join(after, "hop", "left").select("id", F.coalesce("far", "hop").alias("new"), "component"))
         labels = step.select("id", F.col("new").alias("component"))
         if step.where("new <> component").isEmpty():
             return labels

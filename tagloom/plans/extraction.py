@@ -45,6 +45,34 @@ def titled_links(spark, sf_dir):
     return p.where(F.length("title") >= 4).groupBy("page_id", "href", "title").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s08_article_cascade", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 < 4 THEN 'x' || (o_orderkey % 7) || ',y' || (o_custkey % 11) ELSE '' END AS keywords, CASE o_orderkey % 5 WHEN 0 THEN 'meta' WHEN 1 THEN 'meta' WHEN 2 THEN 'article:tag' WHEN 3 THEN 'json-ld' ELSE 'none' END AS step, 'https://x.example.org/' || o_orderkey AS canonical, CASE WHEN o_orderkey % 5 = 3 THEN o_orderkey || '.png' END AS image FROM orders")
+def article_cascade(spark, sf_dir):
+    """Keywords of pages by the first step that has some (meta, article:tag, JSON-LD), the canonical address and the image; attributes in any order."""
+    key, lit = F.col("o_orderkey").cast("string"), F.lit
+    a, b = F.concat(lit("x"), (F.col("o_orderkey") % 7).cast("string")), F.concat(lit("y"), (F.col("o_custkey") % 11).cast("string"))
+    k = F.col("o_orderkey") % 5
+    head = (
+        F.when(k == 0, F.concat(lit('<meta name="keywords" content="'), a, lit(", "), b, lit('">')))
+        .when(k == 1, F.concat(lit("<meta content='"), a, lit(","), b, lit("' name='keywords'/>")))
+        .when(k == 2, F.concat(lit('<meta property="article:tag" content="'), a, lit('"><meta content="'), b, lit('" property="article:tag">')))
+        .when(k == 3, F.concat(lit('<script type="application/ld+json">{"keywords": ["'), a, lit('", "'), b, lit('"], "image": "'), key, lit('.png"}</script>')))
+        .otherwise('<meta name="keywords" content="">')
+    )
+    link = F.when(k % 2 == 0, F.concat(lit('<link rel="canonical" href="https://x.example.org/'), key, lit('">'))).otherwise(F.concat(lit("<link href='https://x.example.org/"), key, lit("' rel='canonical'>")))
+    page = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(lit("<head>"), head, link, lit("</head>")).alias("html"))
+    tags = page.select("id", F.regexp_extract_all("html", lit(r"<(?:meta|link)\s[^>]*>"), 0).alias("tags"), F.from_json(F.regexp_extract("html", r'(?s)<script type="application/ld\+json">(.*?)</script>', 1), "keywords array<string>, image string").alias("ld"))
+    value = lambda t, name: F.regexp_extract(t, rf"\b{name}\s*=\s*[\"']([^\"']*)", 1)
+    words = lambda x: F.filter(F.transform(x, F.trim), lambda w: w != "")
+    meta = words(F.flatten(F.transform(F.filter("tags", lambda t: value(t, "name") == "keywords"), lambda t: F.split(value(t, "content"), ","))))
+    article = words(F.transform(F.filter("tags", lambda t: value(t, "property") == "article:tag"), lambda t: value(t, "content")))
+    canonical = F.get(F.transform(F.filter("tags", lambda t: value(t, "rel") == "canonical"), lambda t: value(t, "href")), F.lit(0))
+    found = tags.select("id", meta.alias("m"), article.alias("a"), F.col("ld.keywords").alias("j"), canonical.alias("canonical"), F.col("ld.image").alias("image"))
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    keywords = F.when(some("m"), F.col("m")).when(some("a"), F.col("a")).when(some("j"), F.col("j"))
+    step = F.when(some("m"), "meta").when(some("a"), "article:tag").when(some("j"), "json-ld").otherwise("none")
+    return found.select("id", F.coalesce(F.array_join(keywords, ","), F.lit("")).alias("keywords"), step.alias("step"), "canonical", "image")
+
+
 @query("s09_body_status", "WITH b AS (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS a, html FROM pages), t AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS body FROM b) SELECT page_id, length(body)::INT AS chars, CASE WHEN html IS NULL OR regexp_matches(html, '(?i)access denied|captcha') THEN 'blocked' WHEN body = '' THEN 'missing' WHEN length(body) < 200 THEN 'short' ELSE 'ok' END AS status FROM t")
 def body_status(spark, sf_dir):
     """The article's text without markup, and whether it is enough."""

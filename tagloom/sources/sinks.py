@@ -19,6 +19,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tagloom-{uuid.uuid4().hex}"
 
 
+def settle(frame: DataFrame) -> DataFrame:
+    """The rows written to a scratch folder and read again: no lineage, and nothing to compute anew when an executor is lost."""
+    path = scratch(frame.sparkSession)
+    frame.write.mode("overwrite").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def _files(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,6 +56,42 @@ def statistics_by_tag(articles: DataFrame) -> DataFrame:
     return rows.groupBy("tag").applyInPandasWithState(_fold, "tag string, first_hour long, last_hour long, hours_count long, max_count long", "first long, last long, hours long, best long", "update", GroupStateTimeout.NoTimeout)
 
 
+#: A thread keeps so many of its newest hours.
+KEPT_HOURS = 24 * 60
+
+
+def _thread(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    history: dict[str, dict[str, float]] = json.loads(state.get[0]) if state.exists else {}
+    for rows in batches:
+        for hour, tag, score in zip(rows["hour"].dt.strftime("%Y-%m-%d %H"), rows["tag"], rows["score"]):
+            of = history.setdefault(hour, {})
+            of[tag] = max(float(score), of.get(tag, float("-inf")))
+    newest = sorted(history, reverse=True)
+    history = {h: history[h] for h in newest[:KEPT_HOURS]}
+    state.update((json.dumps(history),))
+    tags = list(dict.fromkeys(t for h in newest[:24] for t in sorted(history[h])))[:4]
+    count: dict[str, int] = {}
+    for of in history.values():
+        for t in of:
+            count[t] = count.get(t, 0) + 1
+    major = sorted(count, key=lambda t: (-count[t], t))[:5]
+    best = min((-s, h, t) for h, of in history.items() for t, s in of.items())
+    yield pd.DataFrame({"thread": [key[0]], "hours": [len(history)], "max_score": [-best[0]], "max_tag": [best[2]], "all_tags": [",".join(tags)], "major_tags": [",".join(major)]})
+
+
+def thread_states(rows: DataFrame) -> DataFrame:
+    """What each thread holds after every batch of rows (thread, hour, tag, score): hours, best score and its tag, the tags of its newest
+    24 hours (four at most) and its most frequent ones (five at most). An hour's tag counts by its best score."""
+    flat = rows.select("thread", F.col("hour").cast("timestamp").alias("hour"), "tag", F.col("score").cast("double").alias("score"))
+    schema = "thread long, hours long, max_score double, max_tag string, all_tags string, major_tags string"
+    return flat.groupBy("thread").applyInPandasWithState(_thread, schema, "history string", "update", GroupStateTimeout.NoTimeout)
+
+
+def index_batches(texts: DataFrame, sink, checkpoint: str):
+    """Runs ``sink(batch, batch_id)`` over each micro-batch of new texts once (the checkpoint is the marker of what is done) and returns the query."""
+    return texts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_once(frame: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all that is there now, into a memory table (for tests and small results)."""
     q = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom import catalog
 from tagloom.sources.tables import stream
 from tagloom.streaming import windows as W
 
@@ -37,3 +38,21 @@ def test_statistics(spark, live, tmp_path):
     h = stream(spark, SF).groupBy("tag", F.date_trunc("hour", "published_at").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     want = h.groupBy("tag").agg(F.count(F.lit(1)).alias("hours_count"), F.max("n").alias("max_count"))
     assert same(got.select("tag", "hours_count", "max_count"), want)
+
+
+def test_thread_states(spark, live, tmp_path):
+    rows = lambda f: f.select(F.col("user_id").alias("thread"), F.date_trunc("hour", "published_at").alias("hour"), F.col("section").alias("tag"), F.col("value").alias("score"))
+    got = W.run_once(W.thread_states(rows(live)), "threads", "update", str(tmp_path))
+    want = catalog.queries()["r08_thread_state"](spark, SF).withColumnRenamed("user_id", "thread")
+    assert same(got, want)
+
+
+def test_each_new_text_is_indexed_once(spark, tmp_path):
+    folder, done = str(tmp_path / "texts"), []
+    frame = spark.createDataFrame([(i, "t") for i in range(5)], "id long, t string")
+    read = lambda: spark.readStream.schema(frame.schema).parquet(folder)
+    sink = lambda batch, _: done.extend(r.id for r in batch.collect())
+    for part in (frame.where("id < 3"), frame.where("id >= 3")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        W.index_batches(read(), sink, str(tmp_path / "marker")).awaitTermination()
+    assert sorted(done) == list(range(5))
