@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.sources.sinks import settle
+
 PERMUTATIONS, BANDS, ROWS, SIZE = 128, 64, 2, 5
 _U8 = np.uint64
 _PRIME = _U8(0x100000001B3)
@@ -88,31 +90,37 @@ def estimates(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return both.mapInArrow(_estimates, f"a {kind}, b {kind}, jaccard double")
 
 
-def candidates(sketched: DataFrame, days: int = 7, least: float = 0.2, queries: DataFrame | None = None) -> DataFrame:
+def candidates(sketched: DataFrame, days: int = 7, least: float = 0.2, queries: DataFrame | None = None, least_bands: int = 1) -> DataFrame:
     """a, b, jaccard of pairs of texts (id, at, sketch) within ``days`` that agree in a band and whose estimate is at least ``least``.
 
+    With ``least_bands`` = 2 pairs that agree in one band only, most of which are unlike, aren't estimated; of those with
+    a Dice of 0.5 that leaves out less than one in a hundred.
+
     a < b. Time is cut in slots of ``days``, and a text meets those of its own and the next slot. With
     ``queries`` (the rows of ``sketched`` to look up) only pairs with one of them are made.
     """
+    sketched = settle(sketched)
     slot = F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / (86400 * days))
-    mine = band_keys((sketched if queries is None else queries).withColumn("slot", slot)).select("key", "slot", F.col("id").alias("x"), F.col("at").alias("tx"))
+    mine = band_keys((sketched if queries is None else queries).withColumn("slot", slot)).select("band", "key", "slot", F.col("id").alias("x"), F.col("at").alias("tx"))
     near = F.array("slot", F.col("slot") + 1) if queries is None else F.array(F.col("slot") - 1, "slot", F.col("slot") + 1)
     mine = mine.withColumn("slot", F.explode(near))
     theirs = band_keys(sketched.withColumn("slot", slot)).select("key", "slot", F.col("id").alias("y"), F.col("at").alias("ty"))
     within = F.abs(F.unix_seconds(F.col("tx").cast("timestamp")) - F.unix_seconds(F.col("ty").cast("timestamp"))) <= 86400 * days
-    pairs = mine.join(theirs, ["key", "slot"]).where((F.col("x") != F.col("y")) & within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = mine.join(theirs, ["key", "slot"]).where((F.col("x") != F.col("y")) & within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "band")
+    pairs = met.select("a", "b").distinct() if least_bands == 1 else met.groupBy("a", "b").agg(F.count_distinct("band").alias("n")).where(F.col("n") >= least_bands).select("a", "b")
     return estimates(pairs, sketched).where(F.col("jaccard") >= least)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shared, na, nb = [], [], []
+        shared, na, nb, same = [], [], [], []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            same.append(x == y)
             hx, hy = shingle_hashes(x), shingle_hashes(y)
             shared.append(len(np.intersect1d(hx, hy, assume_unique=True)))
             na.append(len(hx))
             nb.append(len(hy))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (shared, na, nb))], names=["a", "b", "shared", "na", "nb"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (shared, na, nb)), pa.array(same, pa.bool_())], names=["a", "b", "shared", "na", "nb", "same"])
 
 
 def measured(pairs: DataFrame, texts: DataFrame, least_shared: int = 100, least_dice: float = 0.5) -> DataFrame:
@@ -123,11 +131,10 @@ def measured(pairs: DataFrame, texts: DataFrame, least_shared: int = 100, least_
     of = texts.select("id", "t")
     both = pairs.select("a", "b").join(of.toDF("a", "ta"), "a").join(of.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     kind = pairs.schema["a"].dataType.simpleString()
-    same = both.where("ta = tb").select("a", "b", F.lit("identical").alias("kind"))
-    counted = both.mapInArrow(_measure, f"a {kind}, b {kind}, shared long, na long, nb long").join(same, ["a", "b"], "left")
+    counted = both.mapInArrow(_measure, f"a {kind}, b {kind}, shared long, na long, nb long, same boolean")
     dice = 2 * F.col("shared") / (F.col("na") + F.col("nb"))
     found = counted.where((F.col("shared") >= least_shared) & (dice >= least_dice))
-    return found.select("a", "b", "shared", F.round(dice, 9).alias("dice"), F.round(F.col("shared") / F.least("na", "nb"), 9).alias("containment"), F.coalesce("kind", F.lit("high")).alias("kind"))
+    return found.select("a", "b", "shared", F.round(dice, 9).alias("dice"), F.round(F.col("shared") / F.least("na", "nb"), 9).alias("containment"), F.when(F.col("same"), "identical").otherwise("high").alias("kind"))
 
 
 #: Lengths of the passages that are looked for, and the step between them.

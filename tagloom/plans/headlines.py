@@ -7,8 +7,7 @@ from tagloom.catalog import query
 from tagloom.functions import text as X
 from tagloom.operators import headlines as H
 from tagloom.operators import search as S
-from tagloom.operators import similarity as N
-from tagloom.plans.similarity import bodies, sketched
+from tagloom.plans.similarity import bodies, near
 from tagloom.sources.tables import BASKETS_SQL, TEXTS_SQL, baskets, table, texts
 
 TX, B = f"WITH {TEXTS_SQL}", f"WITH {BASKETS_SQL}"
@@ -49,9 +48,8 @@ def headline_diff(spark, sf_dir):
 @query("x22_token_diff")
 def token_diff(spark, sf_dir):
     """Words that near-duplicate texts removed and added, for pairs with null where over 15 % of the words change."""
-    near = N.measured(N.candidates(sketched(spark, sf_dir)), bodies(spark, sf_dir)).select("a", "b")
     t = bodies(spark, sf_dir).select("id", "body")
-    both = near.join(t.toDF("a", "x"), "a").join(t.toDF("b", "y"), "b")
+    both = near(spark, sf_dir).select("a", "b").join(t.toDF("a", "x"), "a").join(t.toDF("b", "y"), "b")
     return both.select("a", "b", H.token_diff("x", "y").alias("d")).select("a", "b", "d.removed", "d.added", "d.hunks")
 
 

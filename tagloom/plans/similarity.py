@@ -49,21 +49,25 @@ def jaccard_estimate(spark, sf_dir):
     return N.candidates(sketched(spark, sf_dir))
 
 
+def near(spark, sf_dir):
+    """The near-duplicate pairs: at least 100 shared shingles and a Dice of 0.5."""
+    return N.measured(N.candidates(sketched(spark, sf_dir), least_bands=2), bodies(spark, sf_dir))
+
+
 @query("x08_exact_dice")
 def exact_dice(spark, sf_dir):
-    """Exact Dice and containment of the candidate pairs: at least 100 shared shingles and a Dice of 0.5."""
-    return N.measured(N.candidates(sketched(spark, sf_dir)), bodies(spark, sf_dir)).drop("kind")
+    """Exact Dice and containment of the near-duplicate pairs."""
+    return near(spark, sf_dir).drop("kind")
 
 
 @query("x09_shared_passage")
 def shared_passage(spark, sf_dir):
-    near = N.measured(N.candidates(sketched(spark, sf_dir)), bodies(spark, sf_dir))
-    return N.evidence(near, bodies(spark, sf_dir))
+    return N.evidence(near(spark, sf_dir), bodies(spark, sf_dir))
 
 
 @query("x10_pair_kind")
 def pair_kind(spark, sf_dir):
-    return N.measured(N.candidates(sketched(spark, sf_dir)), bodies(spark, sf_dir)).select("a", "b", "kind")
+    return near(spark, sf_dir).select("a", "b", "kind")
 
 
 @query("x11_incremental_index")
