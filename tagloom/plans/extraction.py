@@ -62,7 +62,7 @@ def article_cascade(spark, sf_dir):
     page = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(lit("<head>"), head, link, lit("</head>")).alias("html"))
     tags = page.select("id", F.regexp_extract_all("html", lit(r"<(?:meta|link)\s[^>]*>"), 0).alias("tags"), F.from_json(F.regexp_extract("html", r'(?s)<script type="application/ld\+json">(.*?)</script>', 1), "keywords array<string>, image string").alias("ld"))
     value = lambda t, name: F.regexp_extract(t, rf"\b{name}\s*=\s*[\"']([^\"']*)", 1)
-    words = lambda x: F.filter(F.transform(x, F.trim), lambda w: w != "")
+    words = lambda x: F.filter(F.transform(x, lambda w: F.trim(w)), lambda w: w != "")
     meta = words(F.flatten(F.transform(F.filter("tags", lambda t: value(t, "name") == "keywords"), lambda t: F.split(value(t, "content"), ","))))
     article = words(F.transform(F.filter("tags", lambda t: value(t, "property") == "article:tag"), lambda t: value(t, "content")))
     canonical = F.get(F.transform(F.filter("tags", lambda t: value(t, "rel") == "canonical"), lambda t: value(t, "href")), F.lit(0))
