@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from tagloom.catalog import query
 from tagloom.functions import schedule as T
@@ -113,7 +114,7 @@ def upsert_values(spark, sf_dir):
 ENTITIES_SQL = "replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&#39;', ''''), '&amp;', '&')"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     """Named and numeric character references, twice where a reference was itself encoded."""
 
@@ -140,7 +141,7 @@ def normalise_tag(spark, sf_dir):
     return t.select("page_id", F.trim(F.regexp_replace(F.regexp_replace("t", r"<[^>]*>|[\[\]【】]", ""), r"[ \t\n]+", " ")).alias("tag"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
     """A link as the absolute URL it names on its page; null where it names none."""
 
