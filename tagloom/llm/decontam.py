@@ -23,7 +23,7 @@ from tagloom.llm.common import U8, Stash, slices
 
 Q = 8
 #: So many (hit, place in an item) entries are expanded at once.
-ENTRIES = 4 << 20
+ENTRIES = 1 << 19
 _SIEVE_BITS = 22
 _FACTOR = U8(0x9E3779B97F4A7C15)
 
