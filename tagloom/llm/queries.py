@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.llm.annulus import cluster_vectors, clusters_sql
 from tagloom.llm.decontam import find_leaks
 from tagloom.llm.html_main import extract_main_text
 from tagloom.llm.langid import identify_languages
@@ -69,10 +70,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt="2:")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id)
+        for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id, op11_centroid_clustering)
     }
 
 
@@ -88,4 +93,4 @@ FROM m GROUP BY doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP_SQL, "op7_source_mixing": MIX_SQL}
+    return {"op5_line_dedup": LINE_DEDUP_SQL, "op7_source_mixing": MIX_SQL, "op11_centroid_clustering": clusters_sql()}
