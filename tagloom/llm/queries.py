@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.annulus import cluster_vectors, clusters_sql
+from tagloom.llm.common import Stash
 from tagloom.llm.decontam import find_leaks
 from tagloom.llm.html_main import extract_main_text
 from tagloom.llm.langid import identify_languages
@@ -15,6 +17,7 @@ from tagloom.llm.mixing import MIX_SQL, mix_sources
 from tagloom.llm.ngram_join import ngram_jaccard_groups
 from tagloom.llm.quality_cotrain import score_quality
 from tagloom.llm.quality_rules import judge_quality
+from tagloom.llm.token_files import read_token_ids, write_token_ids
 from tagloom.llm.toxicity import score_toxicity
 
 
@@ -74,10 +77,16 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt="2:")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Stash(spark).root}/ids"
+    write_token_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_token_ids(spark, path, ("doc_id", "start", "n_tokens", "ids_crc32"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id, op11_centroid_clustering)
+        for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id, op11_centroid_clustering, op12_token_files)
     }
 
 
