@@ -145,13 +145,13 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each run of bytes outside ``[\\x20\\x09-\\x0D]``."""
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes outside ``[\\x20\\x09-\\x0D]``, or of those that are ``inside``."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = ~SPACE[data]
+    word = ~SPACE[data] if inside is None else inside
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     start, end = word.copy(), word.copy()

@@ -17,6 +17,7 @@ from tagloom.llm.mixing import MIX_SQL, mix_sources
 from tagloom.llm.ngram_join import ngram_jaccard_groups
 from tagloom.llm.quality_cotrain import score_quality
 from tagloom.llm.quality_rules import judge_quality
+from tagloom.llm.ranked_search import SEARCH_SQL, search_documents
 from tagloom.llm.token_files import read_token_ids, write_token_ids
 from tagloom.llm.toxicity import score_toxicity
 
@@ -83,10 +84,14 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_ids(spark, path, ("doc_id", "start", "n_tokens", "ids_crc32"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id, op11_centroid_clustering, op12_token_files)
+        for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_benchmark_decontamination, op5_line_dedup, op6_quality_classifier, op7_source_mixing, op8_quality_rules, op9_html_extraction, op10_language_id, op11_centroid_clustering, op12_token_files, op13_ranked_search)
     }
 
 
@@ -102,4 +107,4 @@ FROM m GROUP BY doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP_SQL, "op7_source_mixing": MIX_SQL, "op11_centroid_clustering": clusters_sql()}
+    return {"op5_line_dedup": LINE_DEDUP_SQL, "op7_source_mixing": MIX_SQL, "op11_centroid_clustering": clusters_sql(), "op13_ranked_search": SEARCH_SQL}
