@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track.
-TRACKERS = ("utm_[a-z]+", "ref", "fbclid", "gclid", "from", "source")
+#: Query parameters that only track, in any case.
+TRACKERS = ("utm_[a-z0-9_]+", "fbclid", "gclid", "dclid", "yclid", "igshid", "mc_cid", "mc_eid", "_ga", "spm", "rec")
 
 
 def split_legacy_tags(tags: Column) -> Column:
@@ -34,19 +36,67 @@ def host(url: Column) -> Column:
     return F.lower(F.substring_index(F.substring_index(F.regexp_replace(url, "^[a-zA-Z]+://", ""), "/", 1), ":", 1))
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip_tracking(url: Column) -> Column:
-    """The URL without fragment and tracking parameters."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    less = F.regexp_replace(bare, f"([?&])(?:{'|'.join(TRACKERS)})=[^&]*", "$1")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(less, "([?&])&+", "$1"), "[?&]+$", ""), r"\?&", "?")
-
-
-def url_key(url: Column) -> Column:
-    """host and path that name an article: no scheme, www, m, tracking, default port or trailing slash."""
-    less = F.regexp_replace(strip_tracking(url), "^[a-zA-Z]+://", "")
-    place = F.regexp_replace(F.lower(F.substring_index(less, "/", 1)), "^(?:www|m)\\.|:(?:80|443)$", "")
-    path = F.regexp_replace(F.substring(less, F.length(F.substring_index(less, "/", 1)) + 1, F.length(less)), "(?:\\.html?|/)$", "")
-    return F.concat(place, path)
+    """The URL without fragment, tracking parameters and empty parts of the query."""
+    bare = F.regexp_replace(url, "(?s)#.*$", "")
+    base = F.substring_index(bare, "?", 1)
+    parts = F.split(F.substring(bare, F.length(base) + 2, F.length(bare)), "&")
+    kept = F.filter(parts, lambda x: (x != "") & ~F.rlike(x, F.lit(f"(?i)^(?:{'|'.join(TRACKERS)})(?:=|$)")))
+    return F.concat(base, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+
+
+def url_key(url: Column, article_id: str | None = None) -> Column:
+    """What names an article: host, path without slashes at its end, and query, without scheme, default port, fragment and tracking; 512 characters at most.
+
+    Where the pattern ``article_id`` finds an id in path and query, host and id do.
+    """
+
+    def key(less: Column) -> Column:
+        place = F.regexp_extract(less, "^[^/?]*", 0)
+        rest = F.substring(less, F.length(place) + 1, F.length(less))
+        path = F.substring_index(rest, "?", 1)
+        return F.concat(F.regexp_replace(F.lower(place), ":(?:80|443)$", ""), F.regexp_replace(path, "/+$", ""), F.substring(rest, F.length(path) + 1, F.length(rest)))
+
+    scheme = "^[a-zA-Z][a-zA-Z0-9+.-]*://"
+    found = _with(F.regexp_replace(strip_tracking(url), scheme, ""), key)
+    if article_id:
+        whole = F.regexp_replace(F.regexp_replace(url, "(?s)#.*$", ""), scheme, "")
+        own = F.regexp_extract(F.regexp_replace(whole, "^[^/?]*", ""), article_id, 1)
+        found = F.when(own != "", F.concat(F.regexp_extract(F.lower(whole), "^[^/?:]*", 0), F.lit("#"), own)).otherwise(found)
+    return F.left(found, F.lit(512))
+
+
+def absolute(href: Column, base: Column) -> Column:
+    """The URL that a link names on the page ``base``: with its scheme, from the root, or beside the page; dots in the path are followed."""
+    link = F.trim(href)
+    bare = F.regexp_replace(base, "(?s)#.*$", "")
+    origin = F.regexp_extract(bare, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*", 0)
+    page = F.substring_index(bare, "?", 1)
+    folder = F.when(page == origin, F.concat(page, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
+    joined = (
+        F.when(F.rlike(link, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), link)
+        .when(link == "", bare)
+        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, "^[^:]*:", 0), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+        .when(F.startswith(link, F.lit("?")), F.concat(page, link))
+        .when(F.startswith(link, F.lit("#")), F.concat(bare, link))
+        .otherwise(F.concat(folder, link))
+    )
+    dots = "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)((?:/[^/?#]*)*/[.]{1,2}(?:/[^?#]*)?)(?![^?#])"
+
+    def walked(url: Column) -> Column:
+        path = F.regexp_extract(url, dots, 2)
+        steps = F.split(F.regexp_replace(path, "(/[.]{1,2})$", "$1/"), "/")
+        up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        kept = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.slice(steps, 1, 1), lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+        return F.when(F.rlike(url, F.lit(dots)), F.concat(F.regexp_extract(url, dots, 1), F.array_join(kept, "/"), F.regexp_replace(url, dots, ""))).otherwise(url)
+
+    return _with(joined, walked)
 
 
 def strip_title_suffix(title: Column) -> Column:

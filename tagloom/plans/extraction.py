@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagloom.catalog import query
+from tagloom.operators import bodies as BODY
 from tagloom.operators import events as E
 from tagloom.sources import sinks as K
 from tagloom.sources.tables import ARTICLES_SQL, BASKETS_SQL, articles, baskets, table
@@ -83,6 +84,12 @@ def body_status(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "html", body.alias("body")).select("page_id", F.length("body").alias("chars"), status.alias("status"))
 
 
+@query("s09_article_bodies")
+def article_bodies(spark, sf_dir):
+    """The article of every page with where it comes from, and whether it is whole; tested by brute force."""
+    return BODY.article_bodies(table(spark, sf_dir, "pages"))
+
+
 @query("s13_embedded_listing", "WITH l AS (SELECT page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>') AS items FROM pages), i AS (SELECT page_id, generate_subscripts(items, 1) AS place, unnest(items) AS item FROM l) SELECT page_id, place::INT AS place, regexp_extract(item, 'href=\"([^\"]*)\"', 1) AS href, regexp_extract(item, '>([^<]+)</a>', 1) AS title FROM i")
 def embedded_listing(spark, sf_dir):
     """The entries of a page's lists, in order."""

@@ -160,9 +160,9 @@ def resolved_links(spark, sf_dir):
     return links.groupBy("page_id", "url", "href").agg(F.count(F.lit(1)).alias("n")).select("page_id", "href", resolve_url("url", "href").alias("target"), "n")
 
 
-@query("k11_trackers", "SELECT page_id, len(regexp_extract_all(url, '[?&](?:utm_[a-z]+|ref|fbclid|gclid|from|source)=[^&#]*'))::INT AS trackers, regexp_matches(url, '[?&](?:utm_[a-z]+|ref|fbclid|gclid|from|source)=') AS tracked FROM pages")
+@query("k11_trackers", "SELECT page_id, len(regexp_extract_all(url, '(?i)[?&](?:utm_[a-z0-9_]+|fbclid|gclid|dclid|yclid|igshid|mc_cid|mc_eid|_ga|spm|rec)=[^&#]*'))::INT AS trackers, regexp_matches(url, '(?i)[?&](?:utm_[a-z0-9_]+|fbclid|gclid|dclid|yclid|igshid|mc_cid|mc_eid|_ga|spm|rec)=') AS tracked FROM pages")
 def trackers(spark, sf_dir):
-    found = f"[?&](?:{'|'.join(X.TRACKERS)})="
+    found = f"(?i)[?&](?:{'|'.join(X.TRACKERS)})="
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("url", F.lit(found + "[^&#]*")).alias("trackers"), F.rlike("url", F.lit(found)).alias("tracked"))
 
 

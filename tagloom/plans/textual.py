@@ -37,15 +37,22 @@ def between(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.between(F.col("html"), "<h1>", "</h1>").alias("head"))
 
 
-STRIP_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:utm_[a-z]+|ref|fbclid|gclid|from|source)=[^&]*', '\1', 'g'), '([?&])&+', '\1', 'g'), '[?&]+$', ''), '\?&', '?', 'g')"
+TRACKERS_SQL = "utm_[a-z0-9_]+|fbclid|gclid|dclid|yclid|igshid|mc_cid|mc_eid|_ga|spm|rec"
+STRIP_SQL = f"""b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
+q AS (SELECT page_id, split_part(u, '?', 1) AS base, list_filter(string_split(substr(u, length(split_part(u, '?', 1)) + 2), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(?:{TRACKERS_SQL})(?:=|$)')) AS kept FROM b),
+s AS (SELECT page_id, base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM q)"""
 
 
-@query("k08_url_key", f"WITH s AS (SELECT page_id, regexp_replace({STRIP_SQL}, '^[a-zA-Z]+://', '') AS u FROM pages) SELECT page_id, regexp_replace(lower(split_part(u, '/', 1)), '^(?:www|m)\\.|:(?:80|443)$', '', 'g') || regexp_replace(substr(u, length(split_part(u, '/', 1)) + 1), '(?:\\.html?|/)$', '') AS key FROM s")
+@query(
+    "k08_url_key",
+    f"""WITH {STRIP_SQL}, u AS (SELECT page_id, regexp_replace(url, '^[a-zA-Z]+://', '') AS u FROM s), h AS (SELECT page_id, regexp_extract(u, '^[^/?]*') AS host, u FROM u)
+SELECT page_id, left(regexp_replace(lower(host), ':(?:80|443)$', '') || rtrim(split_part(substr(u, length(host) + 1), '?', 1), '/') || CASE WHEN contains(u, '?') THEN '?' || split_part(u, '?', 2) ELSE '' END, 512) AS key FROM h""",
+)
 def url_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.url_key(F.col("url")).alias("key"))
 
 
-@query("k09_strip_tracking", f"SELECT page_id, {STRIP_SQL} AS url FROM pages")
+@query("k09_strip_tracking", f"WITH {STRIP_SQL} SELECT page_id, url FROM s")
 def strip_tracking(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.strip_tracking(F.col("url")).alias("url"))
 

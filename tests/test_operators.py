@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import unicodedata
+from urllib.parse import urljoin
 
 import duckdb
 import pytest
@@ -22,7 +23,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = (
     "a01_tag_ranking a04_burst a05_basis_reprojection a06_window_pool a07_pool_manifest w09_rank_trails s18_upsert_merge f07_media_set_algebra j10_either_end j11_time_band_join "
     "t04_keyset_page u05_snapshot_changes w04_moving_average w05_moving_score a19_distinctive_terms a22_tag_history a27_vocabulary_tiers r01_sliding_ranking a14_facets a15_camp_coverage "
-    "a54_whole_percentages a59_race_rounds w11_diverse_picks k01_split_legacy_tags k08_url_key x16_title_dice s10_published_time_cascade g19_tree_descendants y26_series_runs "
+    "a54_whole_percentages a59_race_rounds w11_diverse_picks k01_split_legacy_tags k08_url_key k09_strip_tracking k11_trackers x16_title_dice s10_published_time_cascade g19_tree_descendants y26_series_runs "
     "c04_json_search c05_json_extract k03_normalise_tag k20_text_date k34_nested_history g06_hubs g07_bridge_cut g13_stories g14_folded_reports r08_thread_state r09_thread_links w15_period_picks x20_comparison_pair "
     "x24_longest_terms x14_attributions s06_feed_formats s17_snapshot_upsert s20_replaced_range y15_robots_rules q01_ranking q03_article_search q07_events q10_media_page q13_related_article q16_tag_groups"
 ).split()
@@ -79,7 +80,26 @@ def test_whole_percentages(spark):
 def test_text_functions(spark):
     one = spark.createDataFrame([("https://www.Example.com:443/a/b.html?utm_source=x&id=7&ref=y#top", "[ab][c][][de]", "<p>a <b>b</b></p>", "Word", "/2024/02/30/x", "/n20240229.html")], "url string, tags string, html string, w string, bad string, good string")
     got = one.select(X.url_key(F.col("url")), X.split_legacy_tags(F.col("tags")), X.strip_tags(F.col("html")), X.shingles(F.col("w"), 2), X.url_date(F.col("bad")), X.url_date(F.col("good")).cast("string"), X.between(F.col("html"), "<b>", "</b>")).first()
-    assert tuple(got) == ("example.com/a/b.html?id=7", ["ab", "de"], "a b", ["Wo", "or", "rd"], None, "2024-02-29", "b")
+    assert tuple(got) == ("www.example.com/a/b.html?id=7&ref=y", ["ab", "de"], "a b", ["Wo", "or", "rd"], None, "2024-02-29", "b")
+
+
+def test_urls(spark):
+    keys = {
+        "http://Host.TW:80/a/b/?UTM_Source=x&_ga=1&from=home&spm=2#z": "host.tw/a/b?from=home", "https://m.host.tw/a.html": "m.host.tw/a.html", "https://h.tw:8080//": "h.tw:8080", "https://h.tw?rec=1": "h.tw",
+        "https://h.tw/d.php?sn=1&&mc_cid=2&refx=3": "h.tw/d.php?sn=1&refx=3", "https://h.tw/" + "x" * 600: "h.tw/" + "x" * 507,
+    }
+    frame = spark.createDataFrame([(u, k) for u, k in keys.items()], "u string, k string")
+    assert [r[0] for r in frame.where(X.url_key(F.col("u")) != F.col("k")).select(X.url_key(F.col("u"))).collect()] == []
+    ids = spark.createDataFrame([("https://H.tw:81/news/123456?x=1",), ("https://h.tw/about",)], "u string").select(X.url_key(F.col("u"), r"/news/(\d+)").alias("k"))
+    assert [r.k for r in ids.collect()] == ["h.tw#123456", "h.tw/about"]
+    base = "https://h.tw/a/b/c.html?x=1#y"
+    links = ["", "d", "./d", "../d", "../../../d", "/d?e", "//o.tw/d", "?q", "#z", "http://o.tw/a/../b/./c", "mailto:x", "..", "e/../f#g", " d "]
+    got = spark.createDataFrame([(i, h) for i, h in enumerate(links)], "i int, h string").select("i", X.absolute(F.col("h"), F.lit(base)).alias("u")).orderBy("i").collect()
+    want = [urljoin(base, h.strip()) for h in links]
+    want[0] = "https://h.tw/a/b/c.html?x=1"
+    want[8] = "https://h.tw/a/b/c.html?x=1#z"
+    want[9] = "http://o.tw/b/c"
+    assert [r.u for r in got] == want
 
 
 @pytest.mark.parametrize("name", CHECKED)
