@@ -207,7 +207,7 @@ def _chosen(page: DataFrame, candidates: str, chosen: str) -> DataFrame:
     page = page.withColumn("same", F.when(F.col("first.source") == "ld+json", F.col("first.same")))
     page = page.withColumn("bare", F.aggregate("headlines", F.col("same"), lambda t, h: F.when((h != "") & F.startswith(t, h), F.substring(t, F.length(h) + 1, F.length(t))).otherwise(t)))
     page = page.withColumn("enough", F.length("same") + F.greatest(F.lit(40), F.ceil(F.length("same") * 0.1)))
-    more = lambda c: (c["source"] != "article") & (F.length(c["same"]) >= F.col("enough")) & F.contains(c["same"], F.col("same"))
+    more = lambda c: ~c["source"].isin("article", "scored") & (F.length(c["same"]) >= F.col("enough")) & F.contains(c["same"], F.col("same"))
     fits = F.filter(candidates, lambda c: (c["source"] != "ld+json") & ((c["same"] == F.col("same")) | ((F.col("bare") != "") & (c["same"] == F.col("bare"))) | more(c)))
     better = F.when(F.col("same").isNotNull(), F.get(fits, F.lit(0)))
     return page.withColumn(chosen, F.coalesce(better, F.col("first"))).drop("first", "same", "bare", "enough")

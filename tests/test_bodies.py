@@ -141,7 +141,7 @@ def brute(url, html, rule=None):
                 b = b[len(h) :] if h and b.startswith(h) else b
             for c in found:
                 d = same(c[1])
-                if c[0] != "ld+json" and (d == s or b and d == b or c[0] != "article" and len(d) >= len(s) + max(40, -(-len(s) // 10)) and s in d):
+                if c[0] != "ld+json" and (d == s or b and d == b or c[0] not in ("article", "scored") and len(d) >= len(s) + max(40, -(-len(s) // 10)) and s in d):
                     return c
         return first
 
