@@ -1,11 +1,13 @@
 """Near-duplicate texts: MinHash sketches, bands within a time window, Jaccard estimates, exact Dice, evidence and direction.
 
-Texts with the same normalised form are one class with one sketch. Bands are joined within the time
-window only, and a band that many classes share is dealt by time, so no list grows with the corpus.
+A sketch decides only which pairs are compared; what is told of a pair comes from the exact sets of its
+texts. Bands are joined within a time window. Here every copy meets every other; ``streaming.near_index``
+keeps one representative for equal texts instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.sources.sinks import settle
+from tagloom.sources.sinks import settle, spread
 
 PERMUTATIONS, BANDS, ROWS, SIZE = 128, 64, 2, 5
 _U8 = np.uint64
+#: One hash in so many is in a set's sample.
+SAMPLED = 8
 _PRIME = _U8(0x100000001B3)
 
 
@@ -29,7 +33,7 @@ def _spread(n: int, start: int) -> np.ndarray:
         return x ^ (x >> _U8(31))
 
 
-_FACTOR, _SHIFT = _spread(PERMUTATIONS, 3) | _U8(1), _spread(PERMUTATIONS, 5)
+_SEED = (_spread(PERMUTATIONS, 3) >> _U8(32)).astype(np.uint32)
 
 
 def shingle_hashes(text: str, size: int = SIZE) -> np.ndarray:
@@ -46,13 +50,21 @@ def shingle_hashes(text: str, size: int = SIZE) -> np.ndarray:
         return np.unique(h ^ (h >> _U8(32)))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser, in place (fixed values: two factors and three shifts)."""
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """For each permutation the least 32-bit image of the hashes."""
     found = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(hashes), 4096):
-            image = (hashes[at : at + 4096, None] * _FACTOR + _SHIFT) >> _U8(32)
-            found = np.minimum(found, image.min(axis=0).astype(np.uint32))
+    short = (hashes >> _U8(32)).astype(np.uint32)
+    for at in range(0, len(short), 512):  # what fits a core's cache
+        np.minimum(found, _mixed(short[at : at + 512, None] ^ _SEED).min(axis=0), out=found)
     return found
 
 
@@ -67,7 +79,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(texts: DataFrame, least_shingles: int = 100) -> DataFrame:
     """id, shingles (how many distinct), sketch (PERMUTATIONS 32-bit numbers) of each text (id, t: normalised) with enough of them."""
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "t").where("t is not null").mapInArrow(_sketches, f"id {kind}, shingles long, sketch binary").where(F.col("shingles") >= least_shingles)
+    return spread(texts.select("id", "t").where("t is not null")).mapInArrow(_sketches, f"id {kind}, shingles long, sketch binary").where(F.col("shingles") >= least_shingles)
 
 
 def band_keys(sketched: DataFrame) -> DataFrame:
@@ -111,32 +123,75 @@ def candidates(sketched: DataFrame, days: int = 7, least: float = 0.2, queries:
     return estimates(pairs, sketched).where(F.col("jaccard") >= least)
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_hashes(t) for t in batch.column(1).to_pylist()]
+        digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:16] for t in batch.column(1).to_pylist()]
+        packed = [pa.array([s.astype("<u8").tobytes() for s in some], pa.binary()) for some in (sets, [s[s % _U8(SAMPLED) == 0] for s in sets])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *packed, pa.array(digests, pa.binary())], names=["id", "n", "hashes", "sample", "digest"])
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """id, n, hashes (sorted, 8 bytes each), sample (those divisible by SAMPLED) and digest (of the text) of each text (id, t); null texts have none."""
+    kind = texts.schema["id"].dataType.simpleString()
+    return spread(texts.select("id", "t").where("t is not null")).mapInArrow(_sets, f"id {kind}, n long, hashes binary, sample binary, digest binary")
+
+
+def _shared(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """How many hashes the sorted sets of columns 2 and 3 have in common, and how many there are in both together."""
+    shared, union = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+    for i, pair in enumerate(zip(batch.column(2), batch.column(3))):
+        x, y = sorted((np.frombuffer(v.as_buffer(), "<u8") for v in pair), key=len)
+        shared[i] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum() if len(y) else 0
+        union[i] = len(x) + len(y) - shared[i]
+    return shared, union
+
+
+def _likely(jaccard: float):
+    """Pairs whose sampled sets don't rule out this similarity by five standard deviations."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared, union = _shared(batch)
+            union = np.maximum(union, 1)
+            keep = pa.array(shared / union >= jaccard - 5 * np.sqrt(jaccard * (1 - jaccard) / union))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    return rows
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shared, na, nb, same = [], [], [], []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            same.append(x == y)
-            hx, hy = shingle_hashes(x), shingle_hashes(y)
-            shared.append(len(np.intersect1d(hx, hy, assume_unique=True)))
-            na.append(len(hx))
-            nb.append(len(hy))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (shared, na, nb)), pa.array(same, pa.bool_())], names=["a", "b", "shared", "na", "nb", "same"])
+        shared, _ = _shared(batch)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1)), pa.array(shared, pa.int64()), *(batch.column(k) for k in (4, 5, 6))], names=["a", "b", "shared", "na", "nb", "same"])
 
 
-def measured(pairs: DataFrame, texts: DataFrame, least_shared: int = 100, least_dice: float = 0.5) -> DataFrame:
-    """a, b, shared, dice, containment, kind of pairs (a, b) by the exact shingle sets of their texts (id, t).
+def measured_sets(pairs: DataFrame, sets: DataFrame, least_shared: int = 100, least_dice: float = 0.5) -> DataFrame:
+    """a, b, shared, dice, containment, kind of pairs (a, b) by the exact shingle sets (id, n, hashes, digest) of their texts.
 
-    kind is *identical* where the normalised texts are equal, else *high*.
+    Pairs whose sizes rule out the least Dice aren't compared, nor those whose samples do (at five standard deviations:
+    fewer than one in a million of those that reach it). kind is *identical* where the digests are equal, else *high*.
     """
-    of = texts.select("id", "t")
-    both = pairs.select("a", "b").join(of.toDF("a", "ta"), "a").join(of.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     kind = pairs.schema["a"].dataType.simpleString()
-    counted = both.mapInArrow(_measure, f"a {kind}, b {kind}, shared long, na long, nb long, same boolean")
+    few = sets.select("id", "n", "sample")
+    near = pairs.select("a", "b").join(few.toDF("a", "na", "ha"), "a").join(few.toDF("b", "nb", "hb"), "b")
+    near = near.where((F.least("na", "nb") >= least_shared) & (2 * F.least("na", "nb") >= least_dice * (F.col("na") + F.col("nb"))))
+    likely = near.select("a", "b", "ha", "hb").mapInArrow(_likely(least_dice / (2 - least_dice)), f"a {kind}, b {kind}")
+    of = sets.select("id", "n", "hashes", "digest")
+    both = likely.join(of.toDF("a", "na", "ha", "da"), "a").join(of.toDF("b", "nb", "hb", "db"), "b")
+    counted = both.select("a", "b", "ha", "hb", "na", "nb", (F.col("da") == F.col("db")).alias("same")).mapInArrow(_measure, f"a {kind}, b {kind}, shared long, na long, nb long, same boolean")
     dice = 2 * F.col("shared") / (F.col("na") + F.col("nb"))
     found = counted.where((F.col("shared") >= least_shared) & (dice >= least_dice))
     return found.select("a", "b", "shared", F.round(dice, 9).alias("dice"), F.round(F.col("shared") / F.least("na", "nb"), 9).alias("containment"), F.when(F.col("same"), "identical").otherwise("high").alias("kind"))
 
 
+def measured(pairs: DataFrame, texts: DataFrame, least_shared: int = 100, least_dice: float = 0.5) -> DataFrame:
+    """``measured_sets`` of pairs of texts (id, t): a text that is in a pair is shingled once."""
+    pairs = settle(pairs.select("a", "b"))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return measured_sets(pairs, settle(shingle_sets(texts.join(met, "id", "left_semi"))), least_shared, least_dice)
+
+
 #: Lengths of the passages that are looked for, and the step between them.
 PASSAGES, STEP = (100, 60, 30, 20), 5
 

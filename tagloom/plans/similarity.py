@@ -7,7 +7,9 @@ from tagloom.functions import text as X
 from tagloom.operators import graphs as G
 from tagloom.operators import similarity as N
 from tagloom.plans.graphs import PAIRS_SQL, pairs
+from tagloom.sources.sinks import scratch, settle
 from tagloom.sources.tables import texts
+from tagloom.streaming import near_index as I
 
 
 def bodies(spark, sf_dir):
@@ -85,6 +87,30 @@ def index_marker(spark, sf_dir):
     return newest.select("id", "at", F.lit(True).alias("taken"))
 
 
+def stored_index(spark, sf_dir):
+    """An index to which three batches of the texts have been appended, the newest texts first."""
+    b = bodies(spark, sf_dir)
+    week = b.agg(F.max("at").alias("latest"))
+    age = F.timestamp_diff("WEEK", F.col("at"), F.col("latest"))
+    dealt = settle(b.crossJoin(F.broadcast(week)).withColumn("batch", F.least(age, F.lit(2))).select("id", "at", "t", "batch"))  # one row
+    index = I.NearIndex(spark, f"{scratch(spark)}/near")
+    for n in range(3):
+        index.append(dealt.where(F.col("batch") == n), n)
+    return index
+
+
+@query("r16_stored_index")
+def stored_pairs(spark, sf_dir):
+    """The near-duplicate pairs of representatives that three batches have found, each against what was there."""
+    return stored_index(spark, sf_dir).pairs()
+
+
+@query("x11_stored_members")
+def stored_members(spark, sf_dir):
+    """Which text of its week stands for each indexed text."""
+    return stored_index(spark, sf_dir).members()
+
+
 @query("x13_connection_direction", f"WITH {PAIRS_SQL}, d AS (SELECT a, b, CASE WHEN a % 5 = b % 5 THEN 'attributed' WHEN a % 3 = b % 3 THEN 'same-byline' ELSE 'unattributed' END AS kind, CASE WHEN (a + b) % 11 = 0 THEN 'unknown' WHEN abs(epoch(tb) - epoch(ta)) < 60 THEN 'same' WHEN tb > ta THEN 'first' ELSE 'second' END AS o FROM p) SELECT a, b, kind, CASE WHEN kind = 'attributed' THEN 'b-to-a' WHEN o = 'first' THEN 'a-to-b' WHEN o = 'second' THEN 'b-to-a' ELSE 'none' END AS direction FROM d")
 def connection_direction(spark, sf_dir):
     kind = G.relation_kind(F.col("a") % 5 == F.col("b") % 5, F.col("a") % 3 == F.col("b") % 3)

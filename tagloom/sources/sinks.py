@@ -26,6 +26,12 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame``, dealt anew where a scan gives fewer partitions than there are cores (a small table in one row group); for work that costs far more than a shuffle of its rows."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def _files(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
