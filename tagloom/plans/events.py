@@ -7,6 +7,7 @@ from tagloom.catalog import query
 from tagloom.operators import events as E
 from tagloom.operators import search as S
 from tagloom.plans.graphs import GRAPH_SQL, graph
+from tagloom.streaming import threads as LIVE
 from tagloom.sources.tables import STREAM_SQL, baskets, stream, table
 
 ST = f"WITH {STREAM_SQL}"
@@ -204,6 +205,30 @@ def thread_state(spark, sf_dir):
     return best.join(join(S.capped(newest, ["user_id"], [F.col("age"), F.col("section")], 4), "all_tags"), "user_id").join(join(S.capped(often, ["user_id"], [F.desc("k"), F.col("section")], 5), "major_tags"), "user_id")
 
 
+def hourly_events(spark, sf_dir):
+    """category, hour, rank, tags, scores: of each section and hour the twelve tags that most outlets had within a day, four to an event."""
+    hour = F.date_trunc("hour", "published_at").cast("timestamp_ntz")
+    hours = F.explode(F.sequence(hour, hour + F.expr("INTERVAL 23 HOURS"), F.expr("INTERVAL 1 HOUR")))
+    had = stream(spark, sf_dir).select("section", "media", "tag", hours.alias("hour"))
+    counts = had.groupBy("section", "hour", "tag").agg(F.count_distinct("media").alias("n"))
+    place = F.row_number().over(Window.partitionBy("section", "hour").orderBy(F.desc("n"), "tag")) - 1
+    top = counts.withColumn("place", place).where("place < 12")
+    groups = top.groupBy(F.col("section").alias("category"), "hour", F.expr("place div 4").cast("int").alias("rank")).agg(F.array_sort(F.collect_list(F.struct("place", "tag", F.col("n").cast("double").alias("score")))).alias("x"))
+    return groups.select("category", "hour", "rank", F.col("x.tag").alias("tags"), F.col("x.score").alias("scores"))
+
+
+@query("r08_live_threads")
+def live_threads(spark, sf_dir):
+    """What each thread holds after each of its events, as a stream with timers tells it."""
+    return LIVE.run_live_threads(hourly_events(spark, sf_dir)).where("kind IN ('start', 'event')").drop("other")
+
+
+@query("r09_live_links")
+def live_links(spark, sf_dir):
+    """Threads that go on in others, and threads that are forgotten, from the same stream."""
+    return LIVE.run_live_threads(hourly_events(spark, sf_dir)).where("kind IN ('link', 'end')").select("category", "kind", "hour", "thread", "other", "hours")
+
+
 @query("x19_related_threads", f"{THREADS_SQL}, x AS (SELECT id, day, unnest(majors[1:3]) AS major FROM th), p AS (SELECT a.id AS a, b.id AS b, count(*) AS hits FROM x a JOIN x b ON a.major = b.major AND b.day = a.day + 1 WHERE hash_bucket GROUP BY ALL), s AS (SELECT *, max(hits) OVER (PARTITION BY a) AS strongest FROM p) SELECT a, b, hits FROM s WHERE hits >= 2 OR hits >= 0.75 * strongest QUALIFY row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) <= 3".replace("WHERE hash_bucket ", ""))
 def related_threads(spark, sf_dir):
     """For each thread the three of the next day that share the most of its tags."""
