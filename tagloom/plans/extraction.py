@@ -4,8 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagloom.catalog import query
+from tagloom.functions import text as X
 from tagloom.operators import bodies as BODY
 from tagloom.operators import events as E
+from tagloom.operators import listings as L
 from tagloom.sources import sinks as K
 from tagloom.sources.tables import ARTICLES_SQL, BASKETS_SQL, articles, baskets, table
 
@@ -98,6 +100,24 @@ def embedded_listing(spark, sf_dir):
     return i.select("page_id", (F.col("at") + 1).alias("place"), F.regexp_extract("item", entry, 1).alias("href"), F.regexp_extract("item", entry, 2).alias("title"))
 
 
+@query("s13_listings")
+def listings(spark, sf_dir):
+    """The entries that every page lists: of JSON-LD, flat or other state of its scripts, or else of its links; tested on literal pages."""
+    return L.listings(table(spark, sf_dir, "pages"), own_site=False)
+
+
+@query("x38_story_groups")
+def story_groups(spark, sf_dir):
+    """The links of each page's own list, told from furniture by the other pages of its top domain. To each page is added a list of the next four pages with their headlines, half of them in known addresses."""
+    p = table(spark, sf_dir, "pages").withColumn("outlet", F.regexp_extract(X.host(F.col("url")), "[^.]+$", 0)).select("page_id", "outlet", "url", "html")
+    head = F.regexp_extract("html", "<h1>(.*?)</h1>", 1)
+    card = F.concat(F.lit('<div class="card"><a href="'), "url", F.lit('">'), head, F.lit('</a><a class="t" href="/tag/'), "outlet", F.lit('">tag</a></div>'))
+    shown = p.select(F.explode(F.sequence(F.col("page_id") - 4, F.col("page_id") - 1)).alias("page_id"), F.col("page_id").alias("n"), card.alias("card"))
+    cards = shown.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "card"))), lambda c: c["card"]), "").alias("cards"))
+    listed = p.join(cards, "page_id").withColumn("html", F.concat("html", F.lit("<main>"), "cards", F.lit("</main>"))).drop("cards")
+    return L.story_groups(listed, p.where("page_id % 2 = 0").select("outlet", X.url_key(F.col("url")).alias("key")))
+
+
 @query("x38_story_links", "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>')) AS a FROM pages), p AS (SELECT page_id, regexp_extract(a, '\"([^\"]*)\"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS title FROM l), f AS (SELECT href FROM p GROUP BY href HAVING count(DISTINCT page_id) > 5), g AS (SELECT page_id, CASE WHEN regexp_matches(href, '[.,!?]$') THEN 'marked' WHEN length(href) >= 8 THEN 'long' ELSE 'short' END AS shape, count(*) AS n, sum(length(title)) AS chars FROM p WHERE href NOT IN (SELECT href FROM f) GROUP BY ALL) SELECT page_id, shape, n, chars::BIGINT AS chars FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY chars DESC, shape) = 1")
 def story_links(spark, sf_dir):
     """The group of links by shape with the most title text, without furniture: links that many pages share."""
