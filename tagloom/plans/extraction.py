@@ -9,6 +9,7 @@ from tagloom.operators import bodies as BODY
 from tagloom.operators import events as E
 from tagloom.operators import listings as L
 from tagloom.sources import sinks as K
+from tagloom.sources.snapshots import Snapshot
 from tagloom.sources.tables import ARTICLES_SQL, BASKETS_SQL, articles, baskets, table
 
 A, B = f"WITH {ARTICLES_SQL}", f"WITH {BASKETS_SQL}"
@@ -137,30 +138,30 @@ def daily(spark, sf_dir):
 @query("s16_snapshot_file", f"{A} SELECT section, published_at::DATE AS day, count(*) AS n FROM articles WHERE article_id % 2 = 0 GROUP BY ALL")
 def snapshot_file(spark, sf_dir):
     """A snapshot written over an older one, as the next reader sees it."""
-    path = f"{K.scratch(spark)}/snapshot"
-    K.replace_snapshot(daily(spark, sf_dir), path)
+    snapshot = Snapshot(spark, f"{K.scratch(spark)}/snapshot")
+    snapshot.replace(daily(spark, sf_dir))
     even = articles(spark, sf_dir).where("article_id % 2 = 0").groupBy("section", F.to_date("published_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    K.replace_snapshot(even, path)
-    return spark.read.parquet(path)
+    snapshot.replace(even)
+    return snapshot.read()
 
 
 @query("s17_snapshot_upsert", f"{A}, d AS (SELECT section, published_at::DATE AS day, count(*) AS n FROM articles GROUP BY ALL) SELECT section, day, CASE WHEN section LIKE '1-%' THEN -n ELSE n END AS n FROM d")
 def snapshot_upsert(spark, sf_dir):
     """One section's charts replaced, partition by partition; the others stay."""
-    path, rows = f"{K.scratch(spark)}/charts", daily(spark, sf_dir)
-    K.replace_partitions(rows.repartition("section"), path, "section")
-    K.replace_partitions(rows.where(F.startswith("section", F.lit("1-"))).withColumn("n", -F.col("n")).repartition("section"), path, "section")
-    return spark.read.parquet(path).select("section", "day", "n")
+    charts, rows = Snapshot(spark, f"{K.scratch(spark)}/charts"), daily(spark, sf_dir)
+    charts.replace(rows.repartition("section"), "section")
+    charts.upsert(rows.where(F.startswith("section", F.lit("1-"))).withColumn("n", -F.col("n")).repartition("section"), "section")
+    return charts.read()
 
 
 @query("s20_replaced_range", f"{A}, d AS (SELECT section, published_at::DATE AS day, count(*) AS n FROM articles GROUP BY ALL) SELECT section, day, CASE WHEN day BETWEEN DATE '1998-01-10' AND DATE '1998-01-20' THEN 0 ELSE n END AS n FROM d")
 def replaced_range(spark, sf_dir):
     """The days of a range deleted and inserted anew."""
-    path, rows = f"{K.scratch(spark)}/days", daily(spark, sf_dir)
+    days, rows = Snapshot(spark, f"{K.scratch(spark)}/days"), daily(spark, sf_dir)
     inside = F.col("day").between(F.lit("1998-01-10").cast("date"), F.lit("1998-01-20").cast("date"))
-    K.replace_snapshot(rows, path)
-    K.replace_range(rows.where(inside).withColumn("n", F.lit(0).cast("long")), path, inside)
-    return spark.read.parquet(path)
+    days.replace(rows)
+    days.replace_range(rows.where(inside).withColumn("n", F.lit(0).cast("long")), inside)
+    return days.read()
 
 
 PACKAGES_SQL = "pk AS (SELECT o_orderkey // 1000 AS package, min(o_orderkey) - 1 AS lower, max(o_orderkey) AS upper, count(*) AS n, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at FROM orders GROUP BY 1)"

@@ -1,12 +1,11 @@
-"""Writing snapshots, partitions and ranges so that a reader sees the old state or the new one."""
+"""Scratch folders and tables that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -35,26 +34,3 @@ def spread(frame: DataFrame) -> DataFrame:
 def _files(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def replace_snapshot(rows: DataFrame, path: str) -> None:
-    """The folder ``path`` with ``rows`` in place of what it held: written beside it, then renamed."""
-    spark = rows.sparkSession
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    rows.write.parquet(fresh)
-    old, files = _files(spark, path)
-    files.delete(old, True)
-    if not files.rename(_files(spark, fresh)[0], old):
-        raise OSError(f"can't rename {fresh} to {path}")
-
-
-def replace_partitions(rows: DataFrame, path: str, *by: str) -> None:
-    """The partitions that ``rows`` has take the place of the old ones; others stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-
-
-def replace_range(rows: DataFrame, path: str, inside: Column) -> None:
-    """Rows of a snapshot where ``inside`` holds go, and ``rows`` come in their place."""
-    spark = rows.sparkSession
-    kept = spark.read.parquet(path).where(~F.coalesce(inside, F.lit(False)))
-    replace_snapshot(kept.unionByName(rows), path)
