@@ -62,11 +62,23 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return flags.reshape(rows, BINS), letters
 
 
-def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sample_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in slices(batches):
         flags, letters = presence(data, offsets)
         bits = [binary(np.packbits(f)) if ok else None for f, ok in zip(flags, letters)]
-        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("lang")), pa.array(bits, pa.binary())], names=["lang", "bits"])
+        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in ("lang", "h")] + [pa.array(bits, pa.binary())], names=["lang", "h", "bits"])
+
+
+def fitted_rows(known: DataFrame, counts: dict[str, int], each: int) -> DataFrame:
+    """lang, h and bits of about 1.5 x ``each`` + 16 rows of ``known`` for each language, those with the least hash of doc_id and text.
+
+    Rows that are alike are one, so neither copies nor many rows without doc_id make it more.
+    """
+    limits = known.sparkSession.createDataFrame([(l, min(1 << 30, int((1.5 * each + 16) / n * (1 << 30)) + 1)) for l, n in counts.items()], "lang string, upto long")
+    hashed = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # of each language half as many rows again as are fitted, and some, as the hash is uneven in small numbers
+    thin = hashed.join(F.broadcast(limits), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("upto")).groupBy("lang", "h").agg(F.max("text").alias("text"))
+    return thin.mapInArrow(_sample_bits, "lang string, h long, bits binary").where("bits is not null")
 
 
 def _unit_rows(packed: list[bytes]) -> np.ndarray:
@@ -77,8 +89,8 @@ def _unit_rows(packed: list[bytes]) -> np.ndarray:
 def fit(docs: DataFrame, learn: Column, landmarks: int = 240, fit_rows: int = 2400, ridge: float = 0.5, max_languages: int = 1000) -> tuple[list[str], np.ndarray]:
     """(languages, BINS x languages matrix) from the rows of ``docs`` where ``learn`` holds.
 
-    About ``fit_rows`` rows are fitted, dealt evenly to the languages by a hash of doc_id (at least
-    four of each), of which ``landmarks`` span the space (at least one of each language); languages are
+    About ``fit_rows`` rows are fitted, dealt evenly to the languages by a hash of doc_id and text (at least
+    four of each; rows that are alike are one), of which ``landmarks`` span the space (at least one of each language); languages are
     counted over all rows. The ``max_languages`` with the most rows are learned; a table with more
     needs a larger bound, which the size of the matrix on the driver grows with.
     """
@@ -88,10 +100,7 @@ def fit(docs: DataFrame, learn: Column, landmarks: int = 240, fit_rows: int = 24
     if not langs:
         return [], np.zeros((BINS, 0), np.float32)
     each = max(4, fit_rows // len(langs))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    # of each language half as many rows again as are fitted, and some, as the hash is uneven in small numbers
-    limits = docs.sparkSession.createDataFrame([(l, min(1 << 30, int((1.5 * each + 16) / counts[l] * (1 << 30)) + 1)) for l in langs], "lang string, upto long")
-    seen = known.join(F.broadcast(limits), "lang").where(part < F.col("upto")).select("text", "lang").mapInArrow(_sample_rows, "lang string, bits binary").where("bits is not null").collect()
+    seen = sorted(fitted_rows(known, counts, each).collect(), key=lambda r: (r["h"] % (1 << 30), r["h"]))
     by = {l: [r["bits"] for r in seen if r["lang"] == l][:each] for l in langs}
     langs = [l for l in langs if by[l]]
     packed = [bits for l in langs for bits in by[l]]

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.llm import langid
 from tagloom.llm.langid import identify_languages
 from tagloom.llm.quality_cotrain import CoTrained, fit_logistic, metadata_view, score_quality, text_view
 from tagloom.llm.quality_rules import COMMON_WORDS, judge_quality
@@ -185,3 +186,14 @@ def test_distances_and_verdicts(spark):
         odd = (r.class_distance is not None and n >= 100 and r.class_distance > 0.175) or (r.word_distance is not None and w >= 60 and r.word_distance > 0.45)
         assert r.kept == (not r.base_failed and not odd)
     assert not got[500].kept and got[504].class_distance is None
+
+
+def test_language_sample_is_bounded(spark):
+    """Many rows without doc_id, or with one, or with one text, are no larger a sample than others."""
+    for doc_id, text in (("CAST(NULL AS LONG)", "concat('les mots ', id)"), ("CAST(7 AS LONG)", "concat('the words ', id)"), ("id", "'one text'"), ("CAST(NULL AS LONG)", "'one text'"), ("id", "concat('der ', id)")):
+        docs = spark.range(30_000).selectExpr(f"{doc_id} AS doc_id", f"{text} AS text", "IF(id % 3 = 0, 'a', 'b') AS lang")
+        got = langid.fitted_rows(docs, {"a": 10_000, "b": 20_000}, 100).groupBy("lang").count().collect()
+        assert all(r["count"] <= 1.5 * 166 + 60 for r in got)
+    model = langid.fit(docs, F.lit(True))
+    again = langid.fit(docs.repartition(7), F.lit(True))
+    assert model[0] == again[0] and (model[1] == again[1]).all()
