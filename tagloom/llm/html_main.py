@@ -27,6 +27,7 @@ VOID = frozenset("br hr img input meta link wbr area base col embed source track
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr center".split())
 PHRASES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th span a b i em strong small label time abbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3"))
+_ALL_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Class words and ids of parts beside an article; those that also name what isn't; reader comments.
 _SURE = r"ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|pagination|contentinfo|complementary"
 _MAYBE = r"promo\w*|overlay|share|sharing|social|related|recommend\w*|subscription|signup|login|search|toolbar|pager|widget|alert"
@@ -51,8 +52,13 @@ WINDOW = 3
 PLAIN, GONE, TAG, SURE, MAYBE, READERS = range(6)
 
 
-def mark_of(name: str, attributes: str) -> int:
-    """What tag, class words, id, role or the hidden attribute make of an element."""
+def mark_of(name: str, attributes: str, inside: bool = False) -> int:
+    """What tag, class words, id, role or the hidden attribute make of an element; ``inside``: of one in an article.
+
+    A heading's words say what it is about, not what it is. So does the id of a section in an article, unless
+    it is one of reader comments or an advert.
+    """
+    topic = name in _ALL_HEADINGS
     if name in NEVER:
         return GONE
     found = TAG if name in BESIDE else PLAIN
@@ -65,7 +71,8 @@ def mark_of(name: str, attributes: str) -> int:
         if key in ("class", "id", "role") and not found:
             for word in (values[0] or values[1] or values[2]).split():
                 m = _WORD.fullmatch(word)
-                if m and not _MODIFIED.search(word):
+                about = topic or inside and name == "section" and key == "id" and m and not m[1] and not word.lower().startswith("ad")
+                if m and not about and not _MODIFIED.search(word):
                     found = READERS if m[1] else found or (SURE if m[2] else MAYBE)
     if name in ("article", "main") and found != READERS:
         return PLAIN
@@ -162,7 +169,7 @@ class Page:
             else:
                 self.start(name)
                 if name not in VOID and not m[5].rstrip().endswith("/"):
-                    mark = mark_of(name, m[5])
+                    mark = mark_of(name, m[5], self.last("article", "main") >= 0)
                     if mark == TAG and name == "header" and self.last("article", "main") >= 0:
                         mark = PLAIN
                     if mark:
@@ -321,6 +328,8 @@ def _main_container(tree: Page, home: list[int], gone: list[bool], kept: list[in
         if named:
             first = max(named, key=lambda e: (total[e], -e))
             if 4 * total[first] >= total[at]:
+                if sum(10 * total[e] >= 9 * total[first] for e in named) > 1:  # parts of one text
+                    break
                 if headed[at] and tree.kinds[at] not in ("", "html", "body"):
                     break
                 at = first

@@ -77,3 +77,21 @@ def test_very_long_and_broken_pages():
     deep = "<div>" * 5000 + f"<p>{WORDS}</p>"
     assert main_text(deep) == WORDS
     assert main_text("<") == "<" and main_text("<p") == "" and re.sub(r"\s", "", main_text("<p>a<b>c</p></i></div>")) == "ac"
+
+
+SENTENCE = "The council met on Monday and voted for the plan that it had put off twice in the spring. "
+
+
+def test_words_of_headings_and_sections_in_an_article_take_nothing_out():
+    head = lambda tag, name: f'<{tag} id="{name}">The {name} of the day</{tag}>'
+    page = f"<html><body><nav><a href=/a>Front</a></nav><article>{head('h2', 'menu')}<p>{SENTENCE * 3}</p>{head('h2', 'navigation')}<p>{SENTENCE * 3}</p>{head('h3', 'banner')}<section id='consent'><p>{SENTENCE * 4}</p></section><section id='comments'><p>{SENTENCE}first!</p></section></article></body></html>"
+    got = main_text(page)
+    assert all(f"The {x} of the day" in got for x in ("menu", "navigation", "banner")) and got.count("Monday") == 10 and "first!" not in got and "Front" not in got
+
+
+def test_articles_of_one_size_are_parts_of_one_text():
+    parts = "".join(f"<article><p>Part {i}. {SENTENCE * 3}</p></article>" for i in range(3))
+    got = main_text(f"<html><body><nav><a href=/a>Front</a></nav>{parts}<footer>All rights</footer></body></html>")
+    assert [f"Part {i}" in got for i in range(3)] == [True] * 3 and "Front" not in got and "rights" not in got
+    teaser = main_text(f"<html><body><article><p>{SENTENCE * 9}</p></article><article><p>Read on: {SENTENCE}</p></article></body></html>")
+    assert "Read on" not in teaser and teaser.count("Monday") == 9
