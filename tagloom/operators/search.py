@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tagloom.sources.sinks import settle
 
 
 def half_open(at: Column, since: str, until: str) -> Column:
@@ -82,6 +83,9 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order, name: str) -> DataFrame:
-    """Rows with their place from 1 in the whole order, without moving all to one task."""
-    sorted_rows = rows.orderBy(*order)
-    return sorted_rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(T.StructType([*rows.schema.fields, T.StructField(name, T.LongType(), False)]))
+    """Rows with their place from 1 in the whole order: numbered in each range of it, from where the ranges before it end."""
+    dealt = settle(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_start")
+    return dealt.join(F.broadcast(starts), "_part").withColumn(name, place.cast("long")).drop("_part", "_start")

@@ -10,10 +10,14 @@ from tagloom.operators import ranking as R
 from tagloom.operators import search as S
 from tagloom.operators import series as H
 from tagloom.plans import extraction, headlines, ranking
+from tagloom.plans.events import hourly_events
 from tagloom.plans.graphs import pairs, tree
 from tagloom.plans.headlines import REPORTS_SQL
+from tagloom.plans.similarity import near
 from tagloom.plans.ranking import AS_OF, CHARTS_SQL, POOL_SQL, SINCE
+from tagloom.sources.sinks import settle
 from tagloom.sources.tables import ARTICLES_SQL, BASKETS_SQL, STREAM_SQL, TEXTS_SQL, articles, baskets, stream, table, texts
+from tagloom.streaming import threads as LIVE
 
 A, B, ST, TX = (f"WITH {x}" for x in (ARTICLES_SQL, BASKETS_SQL, STREAM_SQL, TEXTS_SQL))
 W = f"published_at >= TIMESTAMP '{SINCE}' AND published_at < TIMESTAMP '{AS_OF}'"
@@ -101,6 +105,42 @@ def events(spark, sf_dir):
     return told.select("event", "articles", "outlets", F.round(C.lean(F.col("blue"), F.col("green")), 6).alias("lean"), ((F.col("blue") == 0) | (F.col("green") == 0)).alias("blindspot"), "majors", F.row_number().over(Window.orderBy(F.desc("articles"), "event")).cast("long").alias("rank"))
 
 
+def live(spark, sf_dir):
+    """The rows of live threads over the hourly events of the stream, with hours as times."""
+    return settle(LIVE.run_live_threads(hourly_events(spark, sf_dir)).withColumn("hour", F.timestamp_seconds("hour").cast("timestamp_ntz")))
+
+
+@query("q07_live_events")
+def live_events(spark, sf_dir):
+    """The events of the last completed hour by rank: their thread and how long it has run, and the articles of the day that have one of their tags (an article of the stream has one), with outlets, lean and blindspot."""
+    told = live(spark, sf_dir).where("kind IN ('start', 'event')")
+    last = told.agg(F.max("hour").alias("last"))
+    now = told.join(F.broadcast(last), F.col("hour") == F.col("last")).select("category", "hour", "rank", "thread", "hours", "max_tag", "major_tags")  # one row
+    events = now.join(hourly_events(spark, sf_dir).select("category", "hour", "rank", "tags"), ["category", "hour", "rank"])
+    asked = events.select("category", "rank", "hour", F.explode("tags").alias("tag"))
+    rows = stream(spark, sf_dir).select(F.col("section").alias("category"), "article_id", "media", "published_at", "tag")
+    had = rows.join(F.broadcast(asked), ["category", "tag"]).where((F.col("published_at") < F.col("hour") + F.expr("INTERVAL 1 HOUR")) & (F.col("published_at") >= F.col("hour") - F.expr("INTERVAL 23 HOURS")))
+    camp = F.when(F.col("media") % 3 == 0, "blue").when(F.col("media") % 3 == 1, "green").otherwise("other")
+    side = lambda c: F.count_distinct(F.when(camp == c, F.col("media"))).alias(c)
+    cover = had.groupBy("category", "rank").agg(F.count_distinct("article_id").alias("articles"), F.count_distinct("media").alias("outlets"), side("blue"), side("green"))
+    lean = F.round(C.lean(F.col("blue"), F.col("green")), 6)
+    return events.join(cover, ["category", "rank"]).select("category", "hour", "rank", F.array_join("tags", ",").alias("tags"), "thread", "hours", "max_tag", "articles", "outlets", lean.alias("lean"), ((F.col("blue") == 0) | (F.col("green") == 0)).alias("blindspot"))
+
+
+@query("q08_live_thread_days")
+def live_thread_days(spark, sf_dir):
+    """Each local day's five heaviest threads of a category: hours, best rank and its first hour, weight (each hour's best rank, the first counting most), their frequent tags, and the thread they go on from."""
+    rows = live(spark, sf_dir)
+    at = F.col("hour") + F.expr("INTERVAL 8 HOURS")
+    hours = rows.where("kind IN ('start', 'event')").groupBy("category", "thread", at.alias("at")).agg(F.min("rank").alias("rank"), F.max_by("major_tags", F.struct("hours", "rank")).alias("tags"))
+    days = hours.groupBy("category", "thread", F.to_date("at").alias("day")).agg(
+        F.count(F.lit(1)).alias("hours"), F.min("rank").alias("best_rank"), F.min_by(F.hour("at"), F.struct("rank", "at")).alias("best_hour"), F.round(F.sum(1 / (F.col("rank") + 1)), 6).alias("weight"), F.array_join(F.max_by("tags", "at"), ",").alias("tags")
+    )
+    before = rows.where("kind = 'link'").groupBy("category", F.col("other").alias("thread")).agg(F.min("thread").alias("goes_on_from"))
+    top = S.capped(days, ["category", "day"], [F.desc("weight"), F.col("best_rank"), F.col("thread")], 5)
+    return top.join(before, ["category", "thread"], "left")
+
+
 @query("q08_thread_days", f"{ST}, h AS (SELECT section, tag, date_trunc('hour', published_at) AS hour, count(*) AS n, round(sum(value), 6) AS score FROM stream GROUP BY ALL), b AS (SELECT section AS thread, hour + INTERVAL 8 HOUR AS local_hour, max(score) AS score, sum(n)::BIGINT AS n FROM h GROUP BY ALL) SELECT thread, local_hour::DATE AS day, round(sum(score), 6) AS weight, sum(n)::BIGINT AS articles, count(*) AS hours, first(hour(local_hour) ORDER BY score DESC, local_hour)::INT AS best_hour FROM b GROUP BY thread, local_hour::DATE QUALIFY row_number() OVER (PARTITION BY local_hour::DATE ORDER BY round(sum(score), 6) DESC, thread) <= 3".replace("QUALIFY row_number() OVER (PARTITION BY local_hour::DATE ORDER BY round(sum(score), 6) DESC, thread) <= 3", "QUALIFY row_number() OVER (PARTITION BY day ORDER BY weight DESC, thread) <= 3"))
 def thread_days(spark, sf_dir):
     """Each local day's three heaviest threads: an hour weighs by its best score."""
@@ -155,6 +195,24 @@ def similarity_graph(spark, sf_dir):
     return S.capped(g, ["source"], [F.desc("pairs"), F.col("target"), F.col("relation")], 10)
 
 
+@query("q12_near_graph")
+def near_graph(spark, sf_dir):
+    """Outlets' connections by near-duplicate texts: from the earlier text to the later, or from the cited one; by relation, with identical pairs and the mean and best Dice."""
+    rows = texts(spark, sf_dir).select("article_id", "media", "published_at")
+    found = near(spark, sf_dir)
+    cited = headlines.planted_citations(spark, sf_dir).select(F.col("id").alias("c"), F.col("source").alias("cited"))
+    both = found.join(rows.toDF("a", "ma", "ta"), "a").join(rows.toDF("b", "mb", "tb"), "b").where("ma <> mb")
+    both = both.join(cited.toDF("a", "mb").withColumn("a_cites", F.lit(True)), ["a", "mb"], "left").join(cited.toDF("b", "ma").withColumn("b_cites", F.lit(True)), ["b", "ma"], "left")
+    attributed = F.col("a_cites").isNotNull() | F.col("b_cites").isNotNull()
+    relation = G.relation_kind(attributed, F.lit(False))
+    order = G.publication_order(F.col("ta"), F.col("tb"), F.lit(False))
+    from_a = F.when(attributed, F.col("b_cites").isNotNull()).otherwise(order == "first")
+    known = attributed | order.isin("first", "second")
+    edge = both.select(F.when(from_a, F.col("ma")).otherwise(F.col("mb")).alias("source"), F.when(from_a, F.col("mb")).otherwise(F.col("ma")).alias("target"), relation.alias("relation"), known.alias("directed"), "dice", "kind", "a", "b")
+    edge = edge.withColumns({"source": F.when(F.col("directed"), F.col("source")).otherwise(F.least("source", "target")), "target": F.when(F.col("directed"), F.col("target")).otherwise(F.greatest("source", "target"))})
+    return edge.groupBy("source", "target", "relation", "directed").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("a").alias("articles"), F.count_if(F.col("kind") == "identical").alias("identical"), F.round(F.avg("dice"), 6).alias("mean_dice"), F.max("dice").alias("best_dice"))
+
+
 @query("q13_related_article", f"{B}, w AS (SELECT * FROM baskets WHERE {W}), df AS (SELECT tag, count(*) AS df FROM w GROUP BY tag), n AS (SELECT count(DISTINCT article_id) AS n FROM w), q AS (SELECT * FROM w WHERE article_id % 50 = 0), s AS (SELECT q.article_id AS a, w.article_id AS b, w.media, round(sum(ln((n + 1) / (df + 1)::DOUBLE)), 6) AS score FROM q JOIN w ON w.tag = q.tag AND w.article_id <> q.article_id JOIN df ON df.tag = q.tag CROSS JOIN n GROUP BY ALL HAVING count(*) >= 2), m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a, media ORDER BY score DESC, b) <= 1) SELECT a, b, media, score FROM m QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5")
 def related_article(spark, sf_dir):
     """For the stated articles five others that share the rarest tags, one of each outlet."""

@@ -125,10 +125,10 @@ def vote_tally(spark, sf_dir):
     return v.groupBy("subject").agg(F.max_by("choice", F.struct("votes", -F.col("choice"))).alias("leader"), F.max("votes").alias("votes"))
 
 
-@query("a49_mention_majority", "WITH m AS (SELECT l_suppkey AS who, l_returnflag AS role, count(*) AS hits FROM lineitem GROUP BY ALL), s AS (SELECT *, hits / (sum(hits) OVER (PARTITION BY who))::DOUBLE AS share FROM m) SELECT who, role, hits FROM s WHERE hits >= 3 AND share >= 0.4")
+@query("a49_mention_majority", "WITH m AS (SELECT l_orderkey AS who, l_returnflag AS role, count(*) AS hits FROM lineitem GROUP BY ALL), s AS (SELECT *, hits / (sum(hits) OVER (PARTITION BY who))::DOUBLE AS share FROM m) SELECT who, role, hits FROM s WHERE hits >= 3 AND share >= 0.5")
 def mention_majority(spark, sf_dir):
-    m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("who"), F.col("l_returnflag").alias("role")).agg(F.count(F.lit(1)).alias("hits"))
-    return m.withColumn("share", F.col("hits") / F.sum("hits").over(Window.partitionBy("who"))).where("hits >= 3 AND share >= 0.4").select("who", "role", "hits")
+    m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("who"), F.col("l_returnflag").alias("role")).agg(F.count(F.lit(1)).alias("hits"))
+    return m.withColumn("share", F.col("hits") / F.sum("hits").over(Window.partitionBy("who"))).where("hits >= 3 AND share >= 0.5").select("who", "role", "hits")
 
 
 @query("a50_camp_buckets", f"{ST} SELECT time_bucket(INTERVAL 1 HOUR, published_at) AS start, count(*) FILTER (media % 3 = 0) AS blue, count(*) FILTER (media % 3 = 1) AS green, count(*) FILTER (media % 3 = 2) AS other, count(DISTINCT media) AS active FROM stream GROUP BY 1")

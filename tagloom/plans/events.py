@@ -130,13 +130,11 @@ def communities(spark, sf_dir):
 
 @query("g23_thread_lineage", f"{ST}, s AS (SELECT section, tag, min(published_at) AS t FROM stream GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY t, tag) AS i FROM s) SELECT section, tag, lag(tag) OVER w AS previous, lead(tag) OVER w AS next, count(*) OVER (PARTITION BY section) - 1 - (lag(tag) OVER w IS NOT NULL)::INT - (lead(tag) OVER w IS NOT NULL)::INT AS others FROM o WINDOW w AS (PARTITION BY section ORDER BY i)")
 def thread_lineage(spark, sf_dir):
-    """Each thread's neighbours in the line of its section, and how many others there are: array operations on one list for each section."""
+    """Each thread's neighbours in the line of its section, and how many others there are."""
     s = stream(spark, sf_dir).groupBy("section", "tag").agg(F.min("published_at").alias("t"))
-    line = s.groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "tag"))), lambda x: x["tag"]).alias("line"))
-    at = line.select("section", "line", F.posexplode("line").alias("i", "tag"))
-    previous, following = F.get("line", F.col("i") - 1), F.get("line", F.col("i") + 1)
-    others = F.size(F.array_except("line", F.array_compact(F.array("tag", previous, following)))).cast("long")
-    return at.select("section", "tag", previous.alias("previous"), following.alias("next"), others.alias("others"))
+    line = Window.partitionBy("section").orderBy("t", "tag")
+    at = s.select("section", "tag", F.lag("tag").over(line).alias("previous"), F.lead("tag").over(line).alias("next"), F.count(F.lit(1)).over(Window.partitionBy("section")).alias("n"))
+    return at.select("section", "tag", "previous", "next", (F.col("n") - 1 - F.col("previous").isNotNull().cast("int") - F.col("next").isNotNull().cast("int")).alias("others"))
 
 
 @query("r07_rounds_with_ends", "WITH o AS (SELECT o_custkey AS who, o_orderkey AS id, o_orderdate AS t, o_orderdate + to_days((o_orderkey % 40)::INT) AS e FROM orders), p AS (SELECT *, max(e) OVER (PARTITION BY who ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o), r AS (SELECT *, sum(CASE WHEN before IS NULL OR t > before + INTERVAL 90 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY who ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS round FROM p) SELECT who, round::BIGINT AS round, count(*) AS items, min(t) AS since, max(e) AS until FROM r GROUP BY who, round")

@@ -14,6 +14,7 @@ from tagloom.functions import schedule as T
 from tagloom.functions import text as X
 from tagloom.operators import coverage as C
 from tagloom.operators import search as S
+from tagloom.operators import phrases as P
 from tagloom.sources.tables import ARTICLES_SQL, BASKETS_SQL, STREAM_SQL, TEXTS_SQL, articles, baskets, stream, table, texts
 
 A, B, ST, TX = (f"WITH {x}" for x in (ARTICLES_SQL, BASKETS_SQL, STREAM_SQL, TEXTS_SQL))
@@ -243,6 +244,14 @@ def traditional_forms(spark, sf_dir):
     return texts(spark, sf_dir).select("article_id", F.translate("title", "éèêçäöüß", "eeecaous").alias("title"))
 
 
+@query("x33_script_conversion")
+def script_conversion(spark, sf_dir):
+    """Whole texts of documents by a table of characters, and of phrases that override them: the words of the benchmark that begin with such a character. Tested by brute force."""
+    letters = spark.createDataFrame(list(zip("éèêçäöüß", ["e", "e", "e", "c", "ae", "oe", "ue", "ss"])), "phrase string, other string")
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("phrase")).where("phrase RLIKE '^[éèêçäöüß].'").distinct()
+    return P.converted(texts(spark, sf_dir).select("article_id", "body"), letters.unionByName(words.withColumn("other", F.upper("phrase"))), "body")
+
+
 @query("x30_credit_kinds", "WITH c AS (SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN s_name || ' News Desk' WHEN 1 THEN 'Jane Doe' || s_suppkey WHEN 2 THEN s_name || ' Institute' WHEN 3 THEN '' ELSE 'By John Roe' END AS credit FROM supplier) SELECT id, CASE WHEN credit = '' THEN 'unknown' WHEN regexp_matches(credit, '(?i)desk$') THEN 'desk' WHEN regexp_matches(credit, '(?i)institute|supplier') THEN 'organization' WHEN regexp_matches(credit, '^(By )?[A-Z][a-z]+ [A-Z]') THEN 'person' ELSE 'unknown' END AS kind FROM c")
 def credit_kinds(spark, sf_dir):
     """Whether a credit names a desk, an organization or a person."""

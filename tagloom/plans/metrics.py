@@ -68,11 +68,11 @@ def visits_per_article(spark, sf_dir):
     return m.select("media", "month", F.round(F.col("visits") * 0.7 / (F.col("n") / days) / days, 6).alias("per_article"))
 
 
-@query("y01_vector_cosine", "WITH e AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS norm FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0) SELECT q.vec_id AS a, e.vec_id AS b, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2])) / (q.norm * e.norm), 6) AS cosine FROM q JOIN e ON q.vec_id <> e.vec_id WHERE list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2])) / (q.norm * e.norm) >= 0.6")
+@query("y01_vector_cosine", "WITH e AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS norm FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0) SELECT q.vec_id AS a, e.vec_id AS b, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2])) / (q.norm * e.norm), 6) AS cosine FROM q JOIN e ON q.vec_id <> e.vec_id WHERE list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2])) / (q.norm * e.norm) >= 0.35")
 def vector_cosine(spark, sf_dir):
     """The stated queries (ids divisible by 50) against all vectors, by products of blocks."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return G.cosine_pairs(e.where("vec_id % 50 = 0"), e, 0.6).withColumn("cosine", F.round("cosine", 6))
+    return G.cosine_pairs(e.where("vec_id % 50 = 0"), e, 0.35).withColumn("cosine", F.round("cosine", 6))
 
 
 @query("y03_clamped_score", "SELECT l_orderkey, l_linenumber, round((0.5 * greatest(0, least(1, l_quantity / 40)) + 0.3 * greatest(0, least(1, l_discount * 12)) + 0.2 * greatest(0, least(1, l_tax * 10 - 0.1))) * CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE 1 END, 6)::DOUBLE AS score FROM lineitem")
@@ -158,10 +158,10 @@ def joined_update(spark, sf_dir):
     return articles(spark, sf_dir).join(e, "article_id", "left").select("article_id", F.when((F.col("article_id") % 5 == 0) & F.col("earliest").isNotNull(), F.col("earliest")).otherwise(F.col("published_at")).alias("published_at"))
 
 
-@query("y20_edition_twins", "WITH u AS (SELECT page_id, regexp_replace(url, '^https?://(www\\.|m\\.)?', '') AS k FROM pages) SELECT b.page_id, min(a.page_id) AS twin_of FROM u a JOIN u b ON a.k = b.k AND a.page_id < b.page_id GROUP BY b.page_id")
+@query("y20_edition_twins", "WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$|/$|\\.html$', '') AS k FROM pages) SELECT b.page_id, min(a.page_id) AS twin_of FROM u a JOIN u b ON a.k = b.k AND a.page_id < b.page_id GROUP BY b.page_id")
 def edition_twins(spark, sf_dir):
-    """Pages of one address but for scheme and edition: the first stays, the others name it."""
-    u = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"^https?://(www\.|m\.)?", "").alias("k"))
+    """Pages of one path, whatever scheme, host, ending and query: the first stays, the others name it."""
+    u = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*", ""), r"[?#].*$|/$|\.html$", "").alias("k"))
     first = u.groupBy("k").agg(F.min("page_id").alias("twin_of"))
     return u.join(first, "k").where("page_id <> twin_of").select("page_id", "twin_of")
 

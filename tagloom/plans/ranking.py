@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tagloom.catalog import query
 from tagloom.operators import ranking as R
+from tagloom.operators import search as S
 from tagloom.sources.tables import ARTICLES_SQL, BASKETS_SQL, articles, baskets
 
 AS_OF, SINCE = "1998-01-31", "1998-01-01"
@@ -63,7 +64,7 @@ def basis_reprojection(spark, sf_dir):
     score = F.aggregate(F.array_sort(F.map_values("outlets")), F.lit(0.0), lambda total, n: total + R.media_score(n))
     count = F.aggregate(F.map_values("outlets"), F.lit(0).cast("long"), lambda total, n: total + n)
     out = seen.select("tag", F.round(score, 6).alias("score"), count.alias("count"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "tag")).cast("long"))
+    return S.numbered(out, F.desc("score"), "tag", name="rank")
 
 
 POOL_SQL = f"{MEDIA_SQL}, s AS (SELECT tag, {SCORE_SQL} AS score, sum(n)::BIGINT AS count, count(*) AS outlets FROM m GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (n >= 2) >= 2 AND max(n) >= 3), pool AS (SELECT *, row_number() OVER (ORDER BY score DESC, tag) AS rank, sha256(tag) AS tag_id FROM s)"
@@ -99,7 +100,7 @@ def level_gates(spark, sf_dir):
 
 @query("w01_row_number_rank", f"{MEDIA_SQL}, s AS (SELECT tag, sum(n)::BIGINT AS count FROM m GROUP BY 1) SELECT *, row_number() OVER (ORDER BY count DESC, tag) AS rank FROM s")
 def row_number_rank(spark, sf_dir):
-    return window(spark, sf_dir).groupBy("tag").agg(F.count(F.lit(1)).alias("count")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "tag")).cast("long"))
+    return S.numbered(window(spark, sf_dir).groupBy("tag").agg(F.count(F.lit(1)).alias("count")), F.desc("count"), "tag", name="rank")
 
 
 @query("w02_competition_rank", f"{MEDIA_SQL}, s AS (SELECT media, count(DISTINCT article_id) AS articles FROM w GROUP BY 1) SELECT *, rank() OVER (ORDER BY articles DESC) AS place FROM s")

@@ -178,9 +178,9 @@ def due_sources(spark, sf_dir):
     return due.withColumn("turn", F.row_number().over(Window.orderBy(F.asc_nulls_first("last_run"), "media")).cast("long"))
 
 
-@query("f24_exclusion_list", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50)")
+@query("f24_exclusion_list", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1)")
 def exclusion_list(spark, sf_dir):
-    out = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_suppkey").alias("s_suppkey"))
+    out = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.1").select(F.col("l_suppkey").alias("s_suppkey"))
     return table(spark, sf_dir, "supplier").join(out, "s_suppkey", "left_anti").select("s_suppkey", "s_name")
 
 
@@ -323,9 +323,9 @@ def intersect(spark, sf_dir):
     return o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")).intersect(o.where("o_orderpriority = '5-LOW'").select("o_custkey"))
 
 
-@query("u04_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u04_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1-%'")
 def except_(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1-%'").select("o_custkey"))
 
 
 @query("u05_snapshot_changes", f"{B}, o AS (SELECT tag, count(*) AS n FROM baskets WHERE published_at < TIMESTAMP '1995-01-03' GROUP BY tag), n AS (SELECT tag, count(*) AS n FROM baskets WHERE published_at >= TIMESTAMP '1995-01-02' AND published_at < TIMESTAMP '1995-01-04' GROUP BY tag) SELECT coalesce(o.tag, n.tag) AS tag, CASE WHEN n.tag IS NULL THEN 'absent' ELSE 'upsert' END AS change, n.n FROM o FULL JOIN n ON o.tag = n.tag WHERE o.tag IS NULL OR n.tag IS NULL OR o.n <> n.n")

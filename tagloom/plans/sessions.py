@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagloom.catalog import query
+from tagloom.operators import search as S
 from tagloom.sources.tables import ARTICLES_SQL, BASKETS_SQL, STREAM_SQL, articles, baskets, stream, table
 
 A, B, ST = (f"WITH {x}" for x in (ARTICLES_SQL, BASKETS_SQL, STREAM_SQL))
@@ -88,6 +89,6 @@ def sitemap_sink(spark, sf_dir):
 def vocabulary_pages(spark, sf_dir):
     """Pages of ten terms with a digest of each."""
     t = baskets(spark, sf_dir).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    r = t.withColumn("page", F.floor((F.row_number().over(Window.orderBy("tag")) - 1) / 10))
+    r = S.numbered(t, "tag", name="place").withColumn("page", F.floor((F.col("place") - 1) / 10)).drop("place")
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tag", "n"))), lambda x: F.concat_ws(":", x["tag"], x["n"].cast("string"))), ",")
     return r.groupBy("page").agg(F.count(F.lit(1)).alias("terms"), F.sha2(line, 256).alias("digest"))

@@ -233,7 +233,8 @@ def cohesion(spark, sf_dir):
 def directory_select(spark, sf_dir):
     facet = table(spark, sf_dir, "nation").where("n_regionkey IN (1, 2, 3)").select(F.col("n_nationkey").alias("s_nationkey"))
     s = table(spark, sf_dir, "supplier").where(F.contains(F.lower("s_name"), F.lit("1"))).join(facet, "s_nationkey", "left_semi")
-    return s.select("s_suppkey", F.row_number().over(Window.orderBy(F.desc_nulls_last(F.when(F.col("s_acctbal") > 0, F.col("s_acctbal"))), "s_suppkey")).cast("long").alias("place"))
+    keyed = s.select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("key"))
+    return S.numbered(keyed, F.desc_nulls_last("key"), "s_suppkey", name="place").select("s_suppkey", "place")
 
 
 @query("y25_listing_thread", f"{B}, th(thread, weight, tag) AS (VALUES (1, 9, 'Brand#11'), (1, 9, 'Brand#12'), (1, 9, 'Brand#13'), (2, 5, 'Brand#21'), (2, 5, 'Brand#22'), (3, 7, 'Brand#31')), k AS (SELECT thread, least(2, count(*)) AS need FROM th GROUP BY thread), m AS (SELECT article_id, thread, any_value(weight) AS weight, count(*) AS hits FROM baskets JOIN th USING (tag) WHERE {W} GROUP BY ALL) SELECT article_id, thread FROM m JOIN k USING (thread) WHERE hits >= need QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY weight DESC, thread) = 1")
