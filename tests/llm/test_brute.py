@@ -340,3 +340,20 @@ def test_quality_references_by_language(spark):
     assert all(got[i].class_distance is not None and got[i].word_distance is not None for i, *_ in en)
     # the same texts of a small table
     assert all(r.kept for r in judge_quality(spark.createDataFrame(en + few_words[:5] + short[:5] + rare[:5], schema)).collect())
+
+
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components_by_broadcast_and_by_shuffle(spark, monkeypatch, small):
+    from tagloom.llm import graph
+    from tagloom.llm.common import Stash
+
+    monkeypatch.setattr(graph, "SMALL", small)
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(7, 7), (500, 400), (400, 500)]
+    least = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in range(len(least)):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), Stash(spark)).collect()
+    assert {r.id: r.component for r in got} == least and len(got) == len(least)
