@@ -141,7 +141,7 @@ def test_whole_tables(spark):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    links = con.execute("SELECT DISTINCT l_partkey % 3000, (l_partkey * 7 + l_suppkey) % 3000 FROM lineitem").fetchall()
+    links = con.execute("SELECT DISTINCT l_partkey, l_partkey * 7 + l_suppkey FROM lineitem").fetchall()
     least = {x: x for a, b in links if a != b for x in (a, b)}
     changed = True
     while changed:
