@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -180,5 +181,13 @@ def window_hashes(tokens: np.ndarray, row: np.ndarray, size: int) -> tuple[np.nd
     return mix(total), at
 
 
+def release(out: pa.Table | None = None) -> pa.Table | None:
+    """``out``; a worker's free memory, which allocators otherwise keep for the next task, goes back before."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # numpy's memory; only glibc has it
+        trim(0)
+    return out
+
+
 def binary(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()

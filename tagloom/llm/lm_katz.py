@@ -12,7 +12,8 @@ very common n-gram costs one entry a chunk. A known word's 64-bit number holds i
 has the number needs no table to tell its probability. The pairs of a context with a large share of
 all tokens are dealt to a number of buckets in proportion to that share, whose sums Spark adds up.
 Every token is then scored in its chunk, first as a pair and, where the pair wasn't seen, by the
-lower order.
+lower order. A chunk meets the answers it got as a group of its own, so that a task holds one chunk
+at a time, and workers give back what a chunk or bucket took before the next one comes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import LOWER, U8, Stash, binary, buckets_for, mix, slices, span_hashes, words
+from tagloom.llm.common import LOWER, U8, Stash, binary, buckets_for, mix, release, slices, span_hashes, words
 
 CHUNK_BYTES = 8 << 20
 #: Counts up to TOP are discounted by Good-Turing; larger ones lose one part in a million.
@@ -40,6 +41,19 @@ UNKNOWN, START = U8(0xFFFFFFFFFFFFFFFF), U8(0xFFFFFFFFFFFFFFFE)
 _CHUNK = "chunk long, ids binary, flags binary, sizes binary, vocab binary, counts binary, tokens binary"
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the inverse, without most of its copies."""
+    order = np.argsort(values)
+    values = values[order]
+    edge = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=edge[1:])
+    run = np.cumsum(edge, dtype=np.int32)
+    run -= 1
+    place = np.empty(len(values), np.int32)
+    place[order] = run
+    return values[edge], place
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of chunks. flags: 1 for training, 2 for a null doc_id; counts: of training tokens."""
     number = TaskContext.get().partitionId() << 32
@@ -48,7 +62,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def packed() -> pa.RecordBatch:
         size = np.concatenate(sizes)
         flag = np.concatenate(flags)
-        vocab, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+        vocab, tokens = distinct(np.concatenate(hashes))
         counts = np.bincount(tokens[np.repeat(flag & 1, size) == 1], minlength=len(vocab))
         cols = [np.concatenate(ids), flag.astype(np.uint8), size.astype(np.int32), vocab, counts.astype(np.uint32), tokens.astype(np.uint32)]
         names = ["chunk", "ids", "flags", "sizes", "vocab", "counts", "tokens"]
@@ -69,15 +83,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield packed()
             number += 1
             ids, flags, sizes, hashes, held = [], [], [], [], 0
+            release()
     if sizes:
         yield packed()
+    ids, flags, sizes, hashes = [], [], [], []
+    release()
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The rows one by one, as a batch of chunks is large."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+def _each(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
+    """The rows one by one; binary values are the table's own buffers and no copies."""
+    for i in range(table.num_rows):
+        values = ((name, table.column(k)[i]) for k, name in enumerate(table.schema.names))
+        yield {name: v.as_buffer() if pa.types.is_binary(v.type) or pa.types.is_large_binary(v.type) else v.as_py() for name, v in values}
 
 
 def _deal(group: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -89,7 +106,7 @@ def _deal(group: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _ask_words(buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _each(batches):
+        for r in (r for batch in batches for r in _each(batch)):
             vocab, counts = np.frombuffer(r["vocab"], U8), np.frombuffer(r["counts"], np.uint32)
             got = [(g, r["chunk"], binary(vocab[p]), binary(counts[p])) for g, p in _deal(vocab % U8(buckets), buckets)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "grams", "counts"])
@@ -139,10 +156,10 @@ def counts_of(numbers: np.ndarray, texts: int) -> np.ndarray:
 def _count_words(table: pa.Table) -> pa.Table:
     """A model row (chunk null: words by falling count, their numbers, how many words have each count up to TOP + 1,
     tokens and ends) and, for each chunk, the number of each word it asked for."""
-    rows = table.to_pylist()
+    rows = list(_each(table))
     grams = np.concatenate([np.frombuffer(r["grams"], U8) for r in rows])
     counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-    known, where = np.unique(grams, return_inverse=True)
+    known, where = distinct(grams)
     total = np.bincount(where, weights=counts, minlength=len(known)).astype(np.int64)
     order = np.argsort(-total, kind="stable")
     used = order[: int((total > 0).sum())]
@@ -152,7 +169,7 @@ def _count_words(table: pa.Table) -> pa.Table:
     out = [(rows[0]["bucket"], None, binary(known[used]), _planes(number[used]), binary(sizes.astype(np.int64)))]
     at = 0
     for r in rows:
-        n = len(r["grams"]) // 8
+        n = r["grams"].size // 8
         out.append((r["bucket"], r["chunk"], _planes(number[where[at : at + n]]), None, None))
         at += n
     return _table(out)
@@ -204,12 +221,12 @@ class Unigrams:
 class Chunk:
     """A chunk with numbered words: number, context and training mark of each token, distinct pairs with a known context in their order."""
 
-    def __init__(self, row: dict, buckets: int) -> None:
+    def __init__(self, row: dict, told: dict[int, pa.Buffer], buckets: int) -> None:
+        """told: each bucket's answer about the words asked."""
         vocab = np.frombuffer(row["vocab"], U8)
         number = np.full(len(vocab) + 1, START, U8)
-        told = {a["bucket"]: _from_planes(a["grams"]) for a in row["words"]}
         for g, p in _deal(vocab % U8(buckets), buckets):
-            number[p] = told[g]
+            number[p] = _from_planes(told[g])
         order = np.argsort(number, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
@@ -222,11 +239,11 @@ class Chunk:
         before[self.first] = rank[-1]
         self.at, self.train = at, np.repeat(self.flags & 1, self.size) == 1
         known = (number != UNKNOWN)[before]
-        key = before.astype(U8)
+        key = before[known].astype(U8)
         del before
         key <<= U8(32)
-        key |= at.astype(U8)
-        pairs, where = np.unique(key[known], return_inverse=True)
+        key |= at.view(np.uint32)[known]
+        pairs, where = distinct(key)
         del key
         self.place = np.full(len(at), -1, np.int32)
         self.place[known] = where
@@ -239,14 +256,18 @@ def _runs(contexts: np.ndarray) -> tuple[bytes, bytes]:
     return _planes(contexts[edge]), _planes(np.diff(np.append(edge, len(contexts))))
 
 
+_PAIRS = "bucket int, chunk long, contexts binary, runs binary, grams binary, counts binary"
+_PAIRS_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((name, pa.binary()) for name in ("contexts", "runs", "grams", "counts"))])
+
+
 def _ask_pairs(uni: Unigrams):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _each(batches):
-            c = Chunk(r, uni.buckets)
+    def rows(chunk: pa.Table, words_told: pa.Table) -> pa.Table:
+        told, got = {a["bucket"]: a["grams"] for a in _each(words_told)}, []
+        for r in _each(chunk):
+            c = Chunk(r, told, uni.buckets)
             counts = np.bincount(c.place[c.train & (c.place >= 0)], minlength=len(c.word))
-            got = [(g, r["chunk"], *_runs(c.context[p]), _planes(c.word[p]), _planes(counts[p])) for g, p in _deal(uni.pair_bucket(c.context, c.word), uni.buckets)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "chunk", "contexts", "runs", "grams", "counts"])
+            got += [(g, r["chunk"], *_runs(c.context[p]), _planes(c.word[p]), _planes(counts[p])) for g, p in _deal(uni.pair_bucket(c.context, c.word), uni.buckets)]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*got), _PAIRS_ARROW)], schema=_PAIRS_ARROW) if got else _PAIRS_ARROW.empty_table()
 
     return rows
 
@@ -266,15 +287,20 @@ def _count_pairs(uni: Unigrams):
     (chunk -1), and for each chunk the count of each pair, the contexts of its unseen pairs and their sums."""
 
     def bucket(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = list(_each(table))
         asked = [_from_planes(r["grams"]) for r in rows]
         sizes = [len(x) for x in asked]
-        contexts, c = np.unique(np.concatenate([_from_planes(r["contexts"]) for r in rows]), return_inverse=True)
+        contexts, c = distinct(np.concatenate([_from_planes(r["contexts"]) for r in rows]))
         c = np.repeat(c, np.concatenate([_from_planes(r["runs"]) for r in rows]).astype(np.int64))
-        vocab, w = np.unique(np.concatenate(asked), return_inverse=True)
+        vocab, w = distinct(np.concatenate(asked))
         del asked
         counts = np.concatenate([_from_planes(r["counts"]) for r in rows]).astype(np.int64)
-        known, where = np.unique(c.astype(U8) << U8(32) | w.astype(U8), return_inverse=True)
+        key = c.astype(U8)
+        key <<= U8(32)
+        key |= w.view(np.uint32)
+        del w
+        known, where = distinct(key)
+        del key
         total = np.bincount(where, weights=counts, minlength=len(known)).astype(np.int64)
         seen = total > 0
         context, word = (known >> U8(32)).astype(np.int64)[seen], vocab[(known & U8(0xFFFFFFFF)).astype(np.int64)[seen]]
@@ -306,19 +332,25 @@ def _split_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["grams"], np.int64)), *(pa.array(s) for s in sums.T)], names=["h", *_SUMS])
 
 
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
 def _scores(uni: Unigrams, split: tuple[np.ndarray, np.ndarray], d: np.ndarray):
     """split: contexts dealt in parts and their summed rows of _context_sums."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _each(batches):
-            chunk = Chunk(r, uni.buckets)
-            told = {a["bucket"]: a for a in r["pairs"] or []}
+    def rows(table: pa.Table, told: pa.Table) -> pa.Table:
+        words_told, pairs_told = ({a["bucket"]: a for a in _each(told) if a["pair"] == pair} for pair in (False, True))
+        words_told = {g: a["grams"] for g, a in words_told.items()}
+        out = []
+        for r in _each(table):
+            chunk = Chunk(r, words_told, uni.buckets)
             seen = np.zeros(len(chunk.word), np.int64)
             contexts, sums = [split[0]], [split[1]]
             for g, p in _deal(uni.pair_bucket(chunk.context, chunk.word), uni.buckets):
-                seen[p] = _from_planes(told[g]["counts"]).astype(np.int64)
-                contexts.append(np.frombuffer(told[g]["grams"], U8))
-                sums.append(np.frombuffer(told[g]["extra"], float).reshape(-1, TOP + 2))
+                seen[p] = _from_planes(pairs_told[g]["counts"]).astype(np.int64)
+                contexts.append(np.frombuffer(pairs_told[g]["grams"], U8))
+                sums.append(np.frombuffer(pairs_told[g]["extra"], float).reshape(-1, TOP + 2))
             contexts, sums = np.concatenate(contexts), np.concatenate(sums)
             order = np.argsort(contexts)
             contexts, sums = contexts[order], sums[order]
@@ -329,19 +361,22 @@ def _scores(uni: Unigrams, split: tuple[np.ndarray, np.ndarray], d: np.ndarray):
             unseen = np.flatnonzero(seen == 0)
             if len(unseen):
                 p[unseen] = uni.p(chunk.word[unseen]) * back[np.searchsorted(contexts, chunk.context[unseen])]
+            add = lambda x: pa.array(np.add.reduceat(x, chunk.first))
             lone = chunk.place < 0
             log = np.empty(len(chunk.at))
             log[~lone] = np.log10(p)[chunk.place[~lone]]
             log[lone] = np.log10(uni.p(chunk.number))[chunk.at[lone]]
+            score = add(log)
+            del log
             c = uni.count(chunk.number)
-            base = np.log10((c + 1) / (uni.total + uni.known + 1))[chunk.at]
-            c = (c > 0)[chunk.at]
+            base = add(np.log10((c + 1) / (uni.total + uni.known + 1))[chunk.at])
+            known = add((c > 0).astype(np.int64)[chunk.at])
             ids = pa.array(np.frombuffer(r["ids"], np.int64), mask=(chunk.flags & 2) == 2)
-            add = lambda x: pa.array(np.add.reduceat(x, chunk.first))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array((chunk.flags & 1) == 0), pa.array(chunk.size.astype(np.int64)), add(c.astype(np.int64)), pa.array(np.full(len(chunk.size), uni.total)), add(base), add(log)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            out.append(pa.RecordBatch.from_arrays(
+                [ids, pa.array((chunk.flags & 1) == 0), pa.array(chunk.size.astype(np.int64)), known, pa.array(np.full(len(chunk.size), uni.total)), base, score],
+                schema=_SCORES_ARROW,
+            ))
+        return pa.Table.from_batches(out, _SCORES_ARROW)
 
     return rows
 
@@ -361,19 +396,18 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     chunks = stash.put_bucketed(wide.mapInArrow(_chunks, _CHUNK), "chunks", "chunk", buckets // 2)
 
     asked = chunks.select("chunk", "vocab", "counts").mapInArrow(_ask_words(buckets), "bucket int, chunk long, grams binary, counts binary")
-    unigrams = stash.put(asked.groupBy("bucket").applyInArrow(_count_words, _ANSWER), "unigrams")
+    unigrams = stash.put(asked.groupBy("bucket").applyInArrow(lambda table: release(_count_words(table)), _ANSWER), "unigrams")
     sizes = [np.frombuffer(r["extra"], np.int64) for r in unigrams.where("chunk is null").select("extra").collect()]  # ten numbers for each bucket
     uni = Unigrams(sum(sizes, np.zeros(TOP + 5, np.int64)), buckets)
 
-    words_told = unigrams.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "grams")).alias("words"))
-    numbered = chunks.join(words_told, "chunk")
-    asked = numbered.select("chunk", "vocab", "tokens", "sizes", "flags", "words").mapInArrow(_ask_pairs(uni), "bucket int, chunk long, contexts binary, runs binary, grams binary, counts binary")
-    bigrams = stash.put(asked.groupBy("bucket").applyInArrow(_count_pairs(uni), _ANSWER), "bigrams")
+    told = unigrams.where("chunk is not null")
+    ask, count = _ask_pairs(uni), _count_pairs(uni)
+    asked = chunks.select("chunk", "vocab", "tokens", "sizes", "flags").groupBy("chunk").cogroup(told.select("chunk", "bucket", "grams").groupBy("chunk")).applyInArrow(lambda chunk, told: release(ask(chunk, told)), _PAIRS)
+    bigrams = stash.put(asked.groupBy("bucket").applyInArrow(lambda table: release(count(table)), _ANSWER), "bigrams")
     numbers = sum((np.frombuffer(r["extra"], np.int64) for r in bigrams.where("chunk is null").select("extra").collect()), np.zeros(TOP + 3, np.int64))
     parts = bigrams.where("chunk = -1").select("grams", "extra").mapInArrow(_split_sums, "h long, " + ", ".join(f"{c} double" for c in _SUMS))
     split = parts.groupBy("h").agg(*[F.sum(c).alias(c) for c in _SUMS]).collect()  # contexts with a share of 1 / (4 x buckets), so 4 x buckets at most
     split = np.array([r["h"] for r in split], np.int64).view(U8), np.array([[r[c] for c in _SUMS] for r in split], float).reshape(-1, TOP + 2)
-    pairs_told = bigrams.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "grams", "counts", "extra")).alias("pairs"))
-    scored = numbered.join(pairs_told, "chunk", "left")
-    job = _scores(uni, split, discounts(numbers))
-    return scored.select("ids", "flags", "sizes", "vocab", "tokens", "words", "pairs").mapInArrow(job, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    told = told.withColumn("pair", F.lit(False)).unionByName(bigrams.where("chunk >= 0").withColumn("pair", F.lit(True)))
+    score = _scores(uni, split, discounts(numbers))
+    return chunks.drop("counts").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda chunk, told: release(score(chunk, told)), _SCORES)
