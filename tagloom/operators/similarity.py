@@ -1,8 +1,9 @@
 """Near-duplicate texts: MinHash sketches, bands within a time window, Jaccard estimates, exact Dice, evidence and direction.
 
 A sketch decides only which pairs are compared; what is told of a pair comes from the exact sets of its
-texts. Bands are joined within a time window. Here every copy meets every other; ``streaming.near_index``
-keeps one representative for equal texts instead.
+texts. Texts within a time window meet in one task, by pairs of blocks where there are many: a text is sent
+to its blocks and not to each of its pairs, of which there are far more. Here every copy meets every other;
+``streaming.near_index`` keeps one representative for equal texts instead.
 """
 
 from __future__ import annotations
@@ -102,25 +103,141 @@ def estimates(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     return both.mapInArrow(_estimates, f"a {kind}, b {kind}, jaccard double")
 
 
+#: A slot of time spans so many windows; a block of a slot holds about so many texts and characters at most.
+SPAN, BLOCK_TEXTS, BLOCK_CHARS = 2, 4000, 8_000_000
+
+
+def seconds(at: str) -> Column:
+    return F.unix_seconds(F.col(at).cast("timestamp"))
+
+
+def meeting(rows: DataFrame, counted: DataFrame, days: int) -> DataFrame:
+    """``rows`` (id, sec, ...) once for each group (slot, block, turn) of texts that may be within ``days`` of each other; mine: of the group's own block.
+
+    A slot has as many blocks as ``counted`` (sec, size: at least the rows) takes. A block meets those behind it in its slot
+    and, by turns, the texts less than ``days`` from the next slot's beginning; its own texts meet in turn 0.
+    """
+    window = 86400 * days
+    slot, early = F.floor(F.col("sec") / (window * SPAN)).alias("slot"), F.pmod(F.col("sec"), F.lit(window * SPAN)) < window
+    blocks = lambda some: F.ceil(F.greatest(F.lit(1), F.count_if(some) / BLOCK_TEXTS, F.coalesce(F.sum(F.when(some, F.col("size"))), F.lit(0)) / BLOCK_CHARS)).cast("int")
+    n = counted.where("sec is not null").groupBy(slot).agg(blocks(F.lit(True)).alias("_n"), blocks(early).alias("_e"))
+    n = n.join(n.select(F.col("slot") + 1, "_n").toDF("slot", "_before"), "slot", "left").join(n.select(F.col("slot") - 1, "_e").toDF("slot", "_after"), "slot", "left")
+    at = rows.drop("slot").withColumn("slot", slot).join(F.broadcast(n), "slot")  # a row for each slot of time
+    mine, ahead = (F.pmod(F.xxhash64("id"), F.col(c)).cast("int") for c in ("_n", "_e"))
+    place = lambda s, b, t, own: F.struct(s.cast("long").alias("slot"), b.cast("int").alias("block"), t.cast("int").alias("turn"), F.lit(own).alias("mine"))
+    each = lambda k, f: F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), f)).otherwise(F.array().cast("array<struct<slot:bigint,block:int,turn:int,mine:boolean>>"))
+    own = each(F.greatest(F.lit(1), F.col("_n") - 1 - mine + F.coalesce("_after", F.lit(0))), lambda t: place(F.col("slot"), mine, t, True))
+    behind = each(mine, lambda b: place(F.col("slot"), b, mine - b - 1, False))
+    next_ = each(F.when(early, F.coalesce("_before", F.lit(0))).otherwise(0), lambda b: place(F.col("slot") - 1, b, F.col("_before") - 1 - b + ahead, False))
+    kept = [c for c in rows.columns if c != "slot"]
+    return at.select(*kept, F.explode(F.concat(own, behind, next_)).alias("_p")).select(*kept, "_p.*")
+
+
+def _met(frame: pa.Table, turn: int, days: int, least: float, least_bands: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a group's texts, sorted by time: the pairs of each run of them by place, with their estimates; no later run has places before ``at``."""
+    ids, sec, mine, asked = (frame[c].to_numpy(zero_copy_only=False) for c in ("id", "sec", "mine", "asked"))
+    sketches = np.frombuffer(b"".join(frame["sketch"].to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
+    bands = np.ascontiguousarray(sketches.reshape(len(ids), BANDS, ROWS).view(np.uint64)[:, :, 0].T)
+    until = np.searchsorted(sec, sec + 86400 * days, "right")
+    for at in range(0, len(ids), 64):
+        to = min(at + 64, len(ids))
+        far = until[to - 1]
+        agree = np.zeros((to - at, far - at), np.uint8)
+        for band in bands:
+            agree += band[at:to, None] == band[None, at:far]
+        i, j = (x + at for x in np.nonzero(agree >= least_bands))
+        keep = (j > i) & (j < until[i]) & (ids[i] != ids[j]) & (asked[i] | asked[j]) & ((mine[i] | mine[j]) if turn == 0 else (mine[i] != mine[j]))
+        i, j = i[keep], j[keep]
+        jaccard = (sketches[i] == sketches[j]).mean(axis=1)
+        keep = jaccard >= least
+        i, j = i[keep], j[keep]
+        swap = ids[i] > ids[j]
+        yield at, np.where(swap, j, i), np.where(swap, i, j), jaccard[keep]
+
+
+def _estimated(days: int, least: float, least_bands: int):
+    def group(key, frame):
+        frame, kind = frame.sort_by("sec"), frame.schema.field("id").type
+        ids = frame["id"].to_numpy(zero_copy_only=False)
+        parts = [(ids[i], ids[j], jaccard) for _, i, j, jaccard in _met(frame, key[2].as_py(), days, least, least_bands)]
+        a, b, jaccard = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "jaccard": pa.array(jaccard, pa.float64())})
+
+    return group
+
+
 def candidates(sketched: DataFrame, days: int = 7, least: float = 0.2, queries: DataFrame | None = None, least_bands: int = 1) -> DataFrame:
     """a, b, jaccard of pairs of texts (id, at, sketch) within ``days`` that agree in a band and whose estimate is at least ``least``.
 
     With ``least_bands`` = 2 pairs that agree in one band only, most of which are unlike, aren't estimated; of those with
     a Dice of 0.5 that leaves out less than one in a hundred.
 
-    a < b. Time is cut in slots of ``days``, and a text meets those of its own and the next slot. With
-    ``queries`` (the rows of ``sketched`` to look up) only pairs with one of them are made.
+    a < b. With ``queries`` (the rows of ``sketched`` to look up) only pairs with one of them are made.
+    """
+    kind = sketched.schema["id"].dataType.simpleString()
+    asked = F.lit(True).alias("asked")
+    rows = sketched.select("id", seconds("at").alias("sec"), "sketch")
+    rows = settle(rows.select("*", asked) if queries is None else rows.join(queries.select("id", asked).distinct(), "id", "left").fillna(False, "asked"))
+    met = meeting(rows, rows.select("sec", F.lit(0).alias("size")), days)
+    return met.groupBy("slot", "block", "turn").applyInArrow(_estimated(days, least, least_bands), f"a {kind}, b {kind}, jaccard double")
+
+
+def _sketched_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_hashes(t) for t in batch.column(2).to_pylist()]
+        packed = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), packed], names=["id", "sec", "t", "n", "sketch"])
+
+
+def sketched_texts(texts: DataFrame, least_shingles: int = 100) -> DataFrame:
+    """id, sec, t, n (distinct shingles) and sketch of each text (id, sec, t: normalised) with enough of them."""
+    kind = texts.schema["id"].dataType.simpleString()
+    return spread(texts.select("id", "sec", "t").where("t is not null")).mapInArrow(_sketched_texts, f"id {kind}, sec long, t string, n long, sketch binary").where(F.col("n") >= least_shingles)
+
+
+def _near(days: int, least: float, least_bands: int, least_shared: int, least_dice: float):
+    jaccard = least_dice / (2 - least_dice)
+
+    def group(key, frame):
+        frame, kind = frame.sort_by("sec"), frame.schema.field("id").type
+        ids, n, texts = frame["id"].to_numpy(zero_copy_only=False), frame["n"].to_numpy(), frame["t"].combine_chunks()
+        sets, found = {}, []
+
+        def of(p: int) -> tuple[np.ndarray, np.ndarray]:
+            if p not in sets:
+                s = shingle_hashes(texts[p].as_py())
+                sets[p] = s, s[s % _U8(SAMPLED) == 0]
+            return sets[p]
+
+        for at, a, b, _ in _met(frame, key[2].as_py(), days, least, least_bands):
+            for p in [p for p in sets if p < at]:
+                del sets[p]
+            few = np.minimum(n[a], n[b])
+            keep = (few >= least_shared) & (2 * few >= least_dice * (n[a] + n[b]))
+            for i, j in zip(a[keep].tolist(), b[keep].tolist()):
+                (x, sx), (y, sy) = of(i), of(j)
+                both = _in_common(sx, sy)
+                union = max(len(sx) + len(sy) - both, 1)
+                if both / union >= jaccard - 5 * np.sqrt(jaccard * (1 - jaccard) / union):
+                    found.append((i, j, _in_common(x, y), texts[i] == texts[j]))
+        i, j, shared, same = (list(c) for c in zip(*found)) if found else ([], [], [], [])
+        i, j = np.array(i, int), np.array(j, int)
+        columns = [pa.array(ids[i], kind), pa.array(ids[j], kind), pa.array(shared, pa.int64()), pa.array(n[i], pa.int64()), pa.array(n[j], pa.int64()), pa.array(same, pa.bool_())]
+        return pa.table(columns, names=["a", "b", "shared", "na", "nb", "same"])
+
+    return group
+
+
+def near_pairs(rows: DataFrame, counted: DataFrame, days: int = 7, least: float = 0.2, least_bands: int = 2, least_shared: int = 100, least_dice: float = 0.5) -> DataFrame:
+    """What ``measured`` tells of the ``candidates`` of texts (id, sec, t, n, sketch), where texts meet; asked: whether a text's pairs are wanted, if there is such a column.
+
+    ``counted`` (sec, size in characters) holds at least the rows, and may be cheaper to read.
     """
-    sketched = settle(sketched)
-    slot = F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / (86400 * days))
-    mine = band_keys((sketched if queries is None else queries).withColumn("slot", slot)).select("band", "key", "slot", F.col("id").alias("x"), F.col("at").alias("tx"))
-    near = F.array("slot", F.col("slot") + 1) if queries is None else F.array(F.col("slot") - 1, "slot", F.col("slot") + 1)
-    mine = mine.withColumn("slot", F.explode(near))
-    theirs = band_keys(sketched.withColumn("slot", slot)).select("key", "slot", F.col("id").alias("y"), F.col("at").alias("ty"))
-    within = F.abs(F.unix_seconds(F.col("tx").cast("timestamp")) - F.unix_seconds(F.col("ty").cast("timestamp"))) <= 86400 * days
-    met = mine.join(theirs, ["key", "slot"]).where((F.col("x") != F.col("y")) & within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "band")
-    pairs = met.select("a", "b").distinct() if least_bands == 1 else met.groupBy("a", "b").agg(F.count_distinct("band").alias("n")).where(F.col("n") >= least_bands).select("a", "b")
-    return estimates(pairs, sketched).where(F.col("jaccard") >= least)
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.select("id", "sec", "t", "n", "sketch", *(["asked"] if "asked" in rows.columns else [F.lit(True).alias("asked")]))
+    met = meeting(rows, counted, days).groupBy("slot", "block", "turn")
+    counts = met.applyInArrow(_near(days, least, least_bands, least_shared, least_dice), f"a {kind}, b {kind}, shared long, na long, nb long, same boolean")
+    return _told(counts, least_shared, least_dice)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,12 +254,18 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return spread(texts.select("id", "t").where("t is not null")).mapInArrow(_sets, f"id {kind}, n long, hashes binary, sample binary, digest binary")
 
 
+def _in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted arrays have in common."""
+    x, y = sorted((x, y), key=len)
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+
+
 def _shared(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """How many hashes the sorted sets of columns 2 and 3 have in common, and how many there are in both together."""
     shared, union = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
     for i, pair in enumerate(zip(batch.column(2), batch.column(3))):
-        x, y = sorted((np.frombuffer(v.as_buffer(), "<u8") for v in pair), key=len)
-        shared[i] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum() if len(y) else 0
+        x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in pair)
+        shared[i] = _in_common(x, y)
         union[i] = len(x) + len(y) - shared[i]
     return shared, union
 
@@ -180,6 +303,10 @@ def measured_sets(pairs: DataFrame, sets: DataFrame, least_shared: int = 100, le
     of = sets.select("id", "n", "hashes", "digest")
     both = likely.join(of.toDF("a", "na", "ha", "da"), "a").join(of.toDF("b", "nb", "hb", "db"), "b")
     counted = both.select("a", "b", "ha", "hb", "na", "nb", (F.col("da") == F.col("db")).alias("same")).mapInArrow(_measure, f"a {kind}, b {kind}, shared long, na long, nb long, same boolean")
+    return _told(counted, least_shared, least_dice)
+
+
+def _told(counted: DataFrame, least_shared: int, least_dice: float) -> DataFrame:
     dice = 2 * F.col("shared") / (F.col("na") + F.col("nb"))
     found = counted.where((F.col("shared") >= least_shared) & (dice >= least_dice))
     return found.select("a", "b", "shared", F.round(dice, 9).alias("dice"), F.round(F.col("shared") / F.least("na", "nb"), 9).alias("containment"), F.when(F.col("same"), "identical").otherwise("high").alias("kind"))

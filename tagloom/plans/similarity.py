@@ -7,7 +7,7 @@ from tagloom.functions import text as X
 from tagloom.operators import graphs as G
 from tagloom.operators import similarity as N
 from tagloom.plans.graphs import PAIRS_SQL, pairs
-from tagloom.sources.sinks import scratch, settle
+from tagloom.sources.sinks import scratch
 from tagloom.sources.tables import texts
 from tagloom.streaming import near_index as I
 
@@ -53,7 +53,8 @@ def jaccard_estimate(spark, sf_dir):
 
 def near(spark, sf_dir):
     """The near-duplicate pairs: at least 100 shared shingles and a Dice of 0.5."""
-    return N.measured(N.candidates(sketched(spark, sf_dir), least_bands=2), bodies(spark, sf_dir))
+    b = bodies(spark, sf_dir).select("id", N.seconds("at").alias("sec"), "t")
+    return N.near_pairs(N.sketched_texts(b), b.select("sec", F.length("t").alias("size")))
 
 
 @query("x08_exact_dice")
@@ -90,9 +91,8 @@ def index_marker(spark, sf_dir):
 def stored_index(spark, sf_dir):
     """An index to which three batches of the texts have been appended, the newest texts first."""
     b = bodies(spark, sf_dir)
-    week = b.agg(F.max("at").alias("latest"))
-    age = F.timestamp_diff("WEEK", F.col("at"), F.col("latest"))
-    dealt = settle(b.crossJoin(F.broadcast(week)).withColumn("batch", F.least(age, F.lit(2))).select("id", "at", "t", "batch"))  # one row
+    latest = F.lit(b.agg(F.max("at").cast("string")).first()[0]).cast("timestamp_ntz")
+    dealt = b.withColumn("batch", F.least(F.timestamp_diff("WEEK", F.col("at"), latest), F.lit(2))).select("id", "at", "t", "batch")
     index = I.NearIndex(spark, f"{scratch(spark)}/near")
     for n in range(3):
         index.append(dealt.where(F.col("batch") == n), n)

@@ -87,6 +87,25 @@ def test_incremental_batch_finds_what_the_whole_run_finds(spark):
     assert got == {(a, b) for a, b in whole if a in newest or b in newest}
 
 
+def test_texts_meet_once_in_few_blocks(spark, monkeypatch):
+    rows = [(i, at, t) for i, at, t in corpus() if t]
+    f = frame(spark, rows).select("id", N.seconds("at").alias("sec"), "t")
+    counted = f.select("sec", F.length("t").alias("size"))
+    want = {(r.a, r.b): tuple(r) for r in N.measured(N.candidates(N.sketches(f).join(frame(spark, rows).select("id", "at"), "id")), frame(spark, rows)).collect()}
+    for block in (4000, 7):
+        monkeypatch.setattr(N, "BLOCK_TEXTS", block)
+        met = N.meeting(f.select("id", "sec"), counted, 7).collect()
+        groups = {}
+        for r in met:
+            groups.setdefault((r.slot, r.block, r.turn), []).append(r)
+        times = dict(f.select("id", "sec").collect())
+        seen = [tuple(sorted((x.id, y.id))) for (_, _, turn), g in groups.items() for k, x in enumerate(g) for y in g[:k] if x.mine != y.mine or (x.mine and turn == 0)]
+        assert {(a, b) for i, a in enumerate(sorted(times)) for b in sorted(times)[i + 1 :] if abs(times[a] - times[b]) <= 7 * 86400} <= set(seen) and len(seen) == len(set(seen))
+        assert max(len(g) for g in groups.values()) < 5 * block and (block < 4000 or len(met) < 2 * len(rows))  # each text goes to two places at most, not to its pairs
+        got = N.near_pairs(N.sketched_texts(f), counted, least_bands=1).collect()
+        assert {(r.a, r.b): tuple(r) for r in got} == want and len(got) == len(want) > 50
+
+
 def test_shared_passages():
     rng = random.Random(3)
     common = "".join(rng.choice("abcdef") for _ in range(70))
