@@ -15,6 +15,11 @@ def media_score(n: Column) -> Column:
     return 2 * (1 - F.pow(F.lit(0.5), n))
 
 
+def summed(values: Column) -> Column:
+    """The sum of a group's numbers from the least to the greatest: the same for the same numbers, in whatever order they come."""
+    return F.aggregate(F.array_sort(F.collect_list(values)), F.lit(0.0), lambda total, x: total + x)
+
+
 def media_counts(articles: DataFrame, *by: str) -> DataFrame:
     """tag, media, n for exploded articles (tag, media), for each value of ``by``."""
     return articles.groupBy(*by, "tag", "media").agg(F.count(F.lit(1)).alias("n"))
@@ -44,7 +49,7 @@ def charts_at_lags(articles: DataFrame, as_of: str, days: int, top: int, lags: t
     inside = articles.where((F.col("published_at") >= first) & (F.col("published_at") < F.lit(as_of).cast("timestamp_ntz")))
     counts = media_counts(inside.withColumn("lag", F.explode(F.array_compact(F.array(*hits)))), "lag")
     sizes = counts.groupBy("lag").agg(F.count_distinct("media").alias("weight"), F.count_distinct("tag").alias("tags"))
-    scored = counts.groupBy("lag", "tag").agg(F.sum(media_score(F.col("n"))).alias("score"), F.sum("n").alias("count"))
+    scored = counts.groupBy("lag", "tag").agg(summed(media_score(F.col("n"))).alias("score"), F.sum("n").alias("count"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lag").orderBy(F.desc("score"), "tag")).cast("long")).where(F.col("rank") <= top)
     told = ranked.join(F.broadcast(sizes), "lag")  # a row for each lag
     return told.select("lag", "tag", (F.col("score") / F.col("weight") * SCALE).alias("norm"), "count", "rank", "weight", (F.col("tags") > top).alias("full"))
