@@ -64,6 +64,31 @@ def descendants(spark, edges: str, roots: str, depth: int = 8) -> DataFrame:
         SELECT root, node, depth FROM t""")
 
 
+def ancestors(edges: DataFrame, depth: int = 8) -> DataFrame:
+    """node, ancestor, depth (the least) of what the edges (child, parent) reach in ``depth`` steps; rounds of joins, as a recursive query stops at a number of rows."""
+    edges = settle(edges.select("child", "parent").where("child is not null"))
+    front = found = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    for n in range(2, depth + 1):
+        front = settle(front.join(edges, F.col("child") == F.col("ancestor")).select("node", F.col("parent").alias("ancestor"), F.lit(n).alias("depth")).distinct())
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+
+
+def inherited(edges: DataFrame, roles: DataFrame, depth: int = 8) -> DataFrame:
+    """node, role: for each child of the edges (child, parent) its own role (id, role) or that of its next ancestor within ``depth`` steps that has one."""
+    edges = settle(edges.select("child", "parent").where("child is not null"))
+    front = roles.select(F.col("id").alias("node"), "role", F.lit(0).alias("depth"))
+    found = front.join(edges.select(F.col("child").alias("node")), "node", "left_semi")
+    for n in range(1, depth + 1):
+        front = settle(front.join(edges, F.col("parent") == F.col("node")).select(F.col("child").alias("node"), "role", F.lit(n).alias("depth")).distinct())
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found.groupBy("node").agg(F.min_by("role", "depth").alias("role"))
+
+
 def relation_kind(attributed: Column, same_byline: Column) -> Column:
     """attributed before same byline before neither."""
     return F.when(attributed, "attributed").when(same_byline, "same-byline").otherwise("unattributed")

@@ -91,8 +91,7 @@ def tree_descendants(spark, sf_dir):
 
 @query("g20_ancestor_closure", f"WITH RECURSIVE {TREE_SQL}, t(node, ancestor, depth) AS (SELECT child, parent, 1 FROM tree UNION ALL SELECT node, parent, depth + 1 FROM t JOIN tree ON child = ancestor WHERE depth < 8) SELECT node, ancestor, min(depth) AS depth FROM t GROUP BY ALL")
 def ancestor_closure(spark, sf_dir):
-    tree(spark, sf_dir)
-    return spark.sql("WITH RECURSIVE t(node, ancestor, depth) AS (SELECT child, parent, 1 FROM tagloom_tree UNION ALL SELECT t.node, e.parent, t.depth + 1 FROM t JOIN tagloom_tree e ON e.child = t.ancestor WHERE t.depth < 8) SELECT node, ancestor, min(depth) AS depth FROM t GROUP BY node, ancestor")
+    return G.ancestors(tree(spark, sf_dir))
 
 
 @query("g21_cycle_check", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 60 AS a, (l_suppkey * 3 + 1) % 60 AS b FROM lineitem), t(root, node, depth) AS (SELECT a, b, 1 FROM e UNION SELECT root, b, depth + 1 FROM t JOIN e ON a = node WHERE depth < 8) SELECT a AS node, coalesce(bool_or(t.node = a), FALSE) AS cyclic FROM (SELECT DISTINCT a FROM e) LEFT JOIN t ON root = a GROUP BY a")
@@ -109,9 +108,7 @@ def cycle_check(spark, sf_dir):
 
 @query("g22_inherited_role", f"WITH RECURSIVE {TREE_SQL}, t(node, up, depth) AS (SELECT child, child, 0 FROM tree UNION ALL SELECT node, parent, depth + 1 FROM t JOIN tree ON child = up WHERE depth < 8), roles(id, role) AS (VALUES ('r1', 'west'), ('n3', 'third'), ('r2', 'east')) SELECT node, first(role ORDER BY depth) AS role FROM t JOIN roles ON id = up GROUP BY node")
 def inherited_role(spark, sf_dir):
-    tree(spark, sf_dir)
-    spark.createDataFrame([("r1", "west"), ("n3", "third"), ("r2", "east")], "id string, role string").createOrReplaceTempView("tagloom_roles")
-    return spark.sql("WITH RECURSIVE t(node, up, depth) AS (SELECT child, child, 0 FROM tagloom_tree UNION ALL SELECT t.node, e.parent, t.depth + 1 FROM t JOIN tagloom_tree e ON e.child = t.up WHERE t.depth < 8) SELECT node, min_by(role, depth) AS role FROM t JOIN tagloom_roles ON id = up GROUP BY node")
+    return G.inherited(tree(spark, sf_dir), spark.createDataFrame([("r1", "west"), ("n3", "third"), ("r2", "east")], "id string, role string"))
 
 
 @query("a37_group_overview", "WITH g AS (SELECT n_regionkey AS group_id, c_nationkey AS tag, o_orderdate AS t FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey), c AS (SELECT group_id, tag, count(*) AS n, count(*) FILTER (t >= TIMESTAMP '2001-01-01') AS recent FROM g GROUP BY ALL) SELECT group_id, tag, n, recent, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, tag) AS place FROM c QUALIFY place <= 5")
