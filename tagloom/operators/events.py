@@ -166,6 +166,24 @@ def merge_links(threads: DataFrame, now: Column, quiet: str = "7 HOURS", expiry:
     return hits.where("hits >= 3 OR hits = n").select("earlier", "later", "hits")
 
 
+def related_threads(threads: DataFrame, top: int = 3) -> DataFrame:
+    """a, b, hits: for each thread (id, day, majors) the ``top`` of the next day with most common majors: two, or three quarters of the most.
+
+    Threads of a day with the same majors are alike, so sets of majors are compared and not threads; of
+    each set the first ``top`` threads can be among the answers.
+    """
+    t = settle(threads.select("id", "day", F.array_sort("majors").alias("set")))
+    order = Window.partitionBy("day", "set").orderBy("id")
+    first = t.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top).groupBy("day", "set").agg(F.collect_list("id").alias("ids"))
+    sets = first.select("day", "set", F.explode("set").alias("major"))
+    later = sets.select(F.date_sub("day", 1).alias("day"), F.col("set").alias("later"), "major")
+    hits = sets.join(later, ["day", "major"]).groupBy("day", "set", "later").agg(F.count(F.lit(1)).alias("hits"))
+    hits = hits.withColumn("strongest", F.max("hits").over(Window.partitionBy("day", "set"))).where("hits >= 2 OR hits >= 0.75 * strongest")
+    told = hits.join(first.select(F.date_sub("day", 1).alias("day"), F.col("set").alias("later"), "ids"), ["day", "later"]).select("day", "set", "hits", F.explode("ids").alias("b"))
+    best = told.withColumn("k", F.row_number().over(Window.partitionBy("day", "set").orderBy(F.desc("hits"), "b"))).where(F.col("k") <= top)
+    return t.join(best, ["day", "set"]).select(F.col("id").alias("a"), "b", "hits")
+
+
 def stories(pairs: DataFrame, articles: DataFrame) -> DataFrame:
     """lead, follower, direct, score, gap_minutes: the components of pairs (a, b, score), each led by its earliest article (id, at).
 

@@ -230,8 +230,4 @@ def live_links(spark, sf_dir):
 @query("x19_related_threads", f"{THREADS_SQL}, x AS (SELECT id, day, unnest(majors[1:3]) AS major FROM th), p AS (SELECT a.id AS a, b.id AS b, count(*) AS hits FROM x a JOIN x b ON a.major = b.major AND b.day = a.day + 1 WHERE hash_bucket GROUP BY ALL), s AS (SELECT *, max(hits) OVER (PARTITION BY a) AS strongest FROM p) SELECT a, b, hits FROM s WHERE hits >= 2 OR hits >= 0.75 * strongest QUALIFY row_number() OVER (PARTITION BY a ORDER BY hits DESC, b) <= 3".replace("WHERE hash_bucket ", ""))
 def related_threads(spark, sf_dir):
     """For each thread the three of the next day that share the most of its tags."""
-    x = threads(spark, sf_dir).select("id", "day", F.explode(F.slice("majors", 1, 3)).alias("major"))
-    y = x.select(F.col("id").alias("b"), F.date_sub("day", 1).alias("day"), "major")
-    p = x.join(y, ["day", "major"]).groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("hits"))
-    s = p.withColumn("strongest", F.max("hits").over(Window.partitionBy("a"))).where("hits >= 2 OR hits >= 0.75 * strongest")
-    return S.capped(s, ["a"], [F.desc("hits"), F.col("b")], 3).select("a", "b", "hits")
+    return E.related_threads(threads(spark, sf_dir).select("id", "day", F.slice("majors", 1, 3).alias("majors")))
