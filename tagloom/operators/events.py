@@ -123,6 +123,24 @@ def first_picks(order: DataFrame, conflicts: DataFrame) -> DataFrame:
     return state.where("picked").select("id")
 
 
+def kept_boxes(boxes: DataFrame, most: float = 0.3) -> DataFrame:
+    """id of the square boxes (image, id, x, y, s, score) that no kept box of their image with a better score covers by more than ``most``; ties by id.
+
+    An image's boxes meet in one array, so boxes are shuffled once and no pairs are. A box without image or score covers none and is kept.
+    """
+    odd = F.col("image").isNull() | F.col("score").isNull()
+    of = boxes.where(~odd).groupBy("image").agg(F.collect_set(F.struct((-F.col("score")).alias("o"), "id", "x", "y", "s")).alias("b"))
+    side = lambda c, p, q: F.greatest(F.lit(0.0), F.least(p[c] + p["s"], q[c] + q["s"]) - F.greatest(p[c], q[c]))
+
+    def covered(p: Column, q: Column) -> Column:
+        both = side("x", p, q) * side("y", p, q)
+        return F.coalesce((p["id"] != q["id"]) & (both / (p["s"] * p["s"] + q["s"] * q["s"] - both) > most), F.lit(False))
+
+    ordered = of.select(F.array_sort("b").alias("b"))
+    kept = F.aggregate("b", F.slice("b", 1, 0), lambda some, x: F.when(F.exists(some, lambda y: covered(x, y)), some).otherwise(F.array_append(some, x)))
+    return ordered.select(F.explode(F.array_distinct(F.transform(kept, lambda x: x["id"]))).alias("id")).unionByName(boxes.where(odd).select("id").distinct())
+
+
 def fold_day(threads: DataFrame) -> DataFrame:
     """day, lead, weight, folded (a list) from day, id, weight, majors: a thread folds into the heaviest earlier lead of the same story.
 
