@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -21,22 +23,83 @@ def bigram_dice(titles: DataFrame, within: list[str], least: float) -> DataFrame
     return both.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").select(*within, "a", "b", dice.alias("dice")).where(F.col("dice") >= least)
 
 
+def _incidence(titles: list[str], at: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """For each title which of the bigrams ``at`` (by default all of the titles') it has, how many it has in all, and the bigrams' places."""
+    sets = [{t[i : i + 2] for i in range(len(t) - 1)} for t in titles]
+    at = {g: k for k, g in enumerate(sorted(set().union(*sets)))} if at is None else at
+    has = np.zeros((len(titles), len(at)), np.float32)
+    for row, grams in zip(has, sets):
+        row[[at[g] for g in grams if g in at]] = 1
+    return has, np.array([len(s) for s in sets], np.float64), at
+
+
+def _best_pair(rows: pd.DataFrame, seed: str, hours: int, least: float, least_seed: float, block: int = 256) -> tuple | None:
+    """(id, title, id, title, score) of an event's best pair of its reports (title, camp, media, hour, id: the least of such reports).
+
+    Titles are compared by blocks, those nearest to the seed first, until no pair of the rest can have a better score; what a pair of
+    titles scores is the same for all their reports, so reports are looked at for the best titles only.
+    """
+    titles = rows["title"].unique().tolist()
+    (seed_has,), (seed_n,), grams = _incidence([seed])
+    has, n, _ = _incidence(titles, grams)
+    near = np.divide(2 * (has @ seed_has).astype(np.float64), n + seed_n, out=np.zeros(len(titles)), where=n > 0)
+    keep = (near >= least_seed) & (n > 0)
+    to_seed = {t: s for t, s, k in zip(titles, near, keep) if k}
+    own = {camp: dict(list(f.sort_values(["hour", "id"], ascending=[False, True]).groupby("title", sort=False))) for camp, f in rows[rows["title"].isin(to_seed)].groupby("camp")}
+    blue, green = (sorted(own.get(c, {}), key=lambda t: (-to_seed[t], t)) for c in ("blue", "green"))
+    best = None
+    for i in range(0, len(blue), block):
+        for j in range(0, len(green), block):
+            xs, ys = blue[i : i + block], green[j : j + block]
+            if best and np.floor((1 + to_seed[xs[0]] + to_seed[ys[0]]) * 1e6 + 0.5) / 1e6 < best[0]:
+                break
+            x, nx, grams = _incidence(xs)
+            y, ny, _ = _incidence(ys, grams)
+            dice = 2 * (x @ y.T).astype(np.float64) / (nx[:, None] + ny)
+            score = np.floor((dice + np.array([to_seed[t] for t in xs])[:, None] + np.array([to_seed[t] for t in ys])) * 1e6 + 0.5) / 1e6
+            at = np.argwhere(dice >= least)
+            for a, b in at[np.argsort(-score[at[:, 0], at[:, 1]], kind="stable")]:
+                if best and score[a, b] < best[0]:
+                    break
+                other = own["green"][ys[b]]
+                for h, m, p in own["blue"][xs[a]][["hour", "media", "id"]].itertuples(index=False):
+                    if best and (score[a, b], h, -p) < best[:3]:
+                        break
+                    fits = other["id"][(other["media"] != m) & ((other["hour"] - h).abs() <= hours)]
+                    if len(fits):
+                        found = (score[a, b], h, -p, -fits.min(), xs[a], ys[b])
+                        best = max(best, found, key=lambda v: v[:4]) if best else found
+                        break
+    return best and (-best[2], best[4], -best[3], best[5], best[0])
+
+
+def compared_headlines(reports: DataFrame, hours: int = 12, least: float = 0.24, least_seed: float = 0.18) -> DataFrame:
+    """event, blue, blue_title, green, green_title, score of ``comparison_pairs``.
+
+    An event's distinct reports meet in one task, which holds a block of titles at a time; no table is broadcast and no pair shuffled.
+    """
+    seed = reports.groupBy("event").agg(F.min_by("title", "id").alias("title")).select("event", "title", F.lit("").alias("camp"), F.lit(None).cast(reports.schema["media"].dataType).alias("media"), F.lit(None).cast(reports.schema["hour"].dataType).alias("hour"), F.lit(None).cast(reports.schema["id"].dataType).alias("id"))
+    once = reports.where("camp IN ('blue', 'green') AND title IS NOT NULL AND media IS NOT NULL AND hour IS NOT NULL AND id IS NOT NULL").groupBy("event", "title", "camp", "media", "hour").agg(F.min("id").alias("id"))
+    kind = reports.schema["id"].dataType.simpleString()
+
+    def pick(key, frame):
+        rows = frame.to_pandas()
+        seeds, rows = rows[rows["camp"] == ""]["title"], rows[rows["camp"] != ""].astype({"id": "int64", "media": "int64", "hour": "int64"})
+        found = _best_pair(rows, seeds.iloc[0], hours, least, least_seed) if len(rows) and seeds.iloc[0] else None
+        columns = [[key[0].as_py()], *([v] for v in found)] if found else [[]] * 6
+        types = [pa.string(), frame.schema.field("id").type, pa.string(), frame.schema.field("id").type, pa.string(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["event", "blue", "blue_title", "green", "green_title", "score"])
+
+    return seed.unionByName(once).groupBy("event").applyInArrow(pick, f"event string, blue {kind}, blue_title string, green {kind}, green_title string, score double")
+
+
 def comparison_pairs(reports: DataFrame, hours: int = 12, least: float = 0.24, least_seed: float = 0.18) -> DataFrame:
     """event, blue, green, score: for each event the pair of reports (id, event, title, media, camp, hour) of two camps that tells of the same.
 
     The seed is the event's first report; both must resemble it and each other, and be of different
     outlets within ``hours``. score: the pair's similarity plus both to the seed; ties to the later, then the lesser ids.
     """
-    seed = reports.groupBy("event").agg(F.min("id").alias("seed"))
-    near = bigram_dice(reports, ["event"], min(least, least_seed))
-    both = near.select("event", "a", "b", "dice").union(near.select("event", F.col("b"), F.col("a"), "dice")).toDF("event", "a", "b", "dice")
-    own = reports.join(seed, "event").where("id = seed").select("event", F.col("id").alias("a"), F.lit(1.0).alias("s"))
-    to_seed = both.join(seed, "event").where("b = seed").select("event", "a", F.col("dice").alias("s")).union(own).where(F.col("s") >= least_seed)
-    side = lambda camp, c: reports.where(F.col("camp") == camp).select(F.col("id").alias(c), F.col("media").alias(f"{c}m"), F.col("hour").alias(f"{c}h"))
-    pairs = both.where(F.col("dice") >= least).join(side("blue", "a"), "a").join(side("green", "b"), "b").where((F.col("am") != F.col("bm")) & (F.abs(F.col("ah") - F.col("bh")) <= hours))
-    scored = pairs.join(to_seed, ["event", "a"]).join(to_seed.toDF("event", "b", "t"), ["event", "b"]).withColumn("score", F.round(F.col("dice") + F.col("s") + F.col("t"), 6))
-    order = Window.partitionBy("event").orderBy(F.desc("score"), F.desc("ah"), "a", "b")
-    return scored.withColumn("k", F.row_number().over(order)).where("k = 1").select("event", F.col("a").alias("blue"), F.col("b").alias("green"), "score")
+    return compared_headlines(reports, hours, least, least_seed).select("event", "blue", "green", "score")
 
 
 def common_characters(left: str, right: str) -> tuple[set[int], set[int]]:

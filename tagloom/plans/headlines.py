@@ -41,9 +41,8 @@ def comparison_pair(spark, sf_dir):
 @query("x21_headline_diff")
 def headline_diff(spark, sf_dir):
     """The characters in which the two headlines of a comparison differ."""
-    r = reports(spark, sf_dir).select("id", "title")
-    p = H.comparison_pairs(reports(spark, sf_dir)).join(r.toDF("blue", "x"), "blue").join(r.toDF("green", "y"), "green")
-    return p.select("event", H.headline_diff("x", "y").alias("d")).select("event", "d.left", "d.right")
+    p = H.compared_headlines(reports(spark, sf_dir))
+    return p.select("event", H.headline_diff("blue_title", "green_title").alias("d")).select("event", "d.left", "d.right")
 
 
 @query("x22_token_diff")
