@@ -7,6 +7,7 @@ from tagloom.catalog import query
 from tagloom.operators import coverage as C
 from tagloom.operators import graphs as G
 from tagloom.operators import ranking as R
+from tagloom.operators import related as RELATED
 from tagloom.operators import search as S
 from tagloom.operators import series as H
 from tagloom.plans import extraction, headlines, ranking
@@ -216,13 +217,7 @@ def near_graph(spark, sf_dir):
 @query("q13_related_article", f"{B}, w AS (SELECT * FROM baskets WHERE {W}), df AS (SELECT tag, count(*) AS df FROM w GROUP BY tag), n AS (SELECT count(DISTINCT article_id) AS n FROM w), q AS (SELECT * FROM w WHERE article_id % 50 = 0), s AS (SELECT q.article_id AS a, w.article_id AS b, w.media, round(sum(ln((n + 1) / (df + 1)::DOUBLE)), 6) AS score FROM q JOIN w ON w.tag = q.tag AND w.article_id <> q.article_id JOIN df ON df.tag = q.tag CROSS JOIN n GROUP BY ALL HAVING count(*) >= 2), m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a, media ORDER BY score DESC, b) <= 1) SELECT a, b, media, score FROM m QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5")
 def related_article(spark, sf_dir):
     """For the stated articles five others that share the rarest tags, one of each outlet."""
-    w = ranking.window(spark, sf_dir).select("article_id", "media", "tag")
-    n = w.agg(F.count_distinct("article_id").alias("n"))
-    idf = w.groupBy("tag").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("tag", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))  # one row
-    q = w.where("article_id % 50 = 0").select(F.col("article_id").alias("a"), "tag").join(idf, "tag")
-    s = q.join(w.select(F.col("article_id").alias("b"), "media", "tag"), "tag").where("a <> b").groupBy("a", "b", "media").agg(F.round(F.sum("idf"), 6).alias("score"), F.count(F.lit(1)).alias("hits")).where("hits >= 2")
-    one = S.capped(s, ["a", "media"], [F.desc("score"), F.col("b")], 1).drop("place")
-    return S.capped(one, ["a"], [F.desc("score"), F.col("b")], 5).select("a", "b", "media", "score")
+    return RELATED.related(ranking.window(spark, sf_dir), "article_id % 50 = 0", each=True).select("a", "b", "media", "score")
 
 
 @query("q14_journalists", f"{A}, r AS (SELECT media AS person, article_id, section, published_at FROM articles), c AS (SELECT person, count(*) AS articles, count(DISTINCT section) AS sections, max(published_at) AS last_at FROM r GROUP BY person), f AS (SELECT person, first(section ORDER BY n DESC, section) AS beat FROM (SELECT person, section, count(*) AS n FROM r GROUP BY ALL) GROUP BY person) SELECT person, articles, sections, last_at, beat, round(articles / (sum(articles) OVER ())::DOUBLE, 6) AS share FROM c JOIN f USING (person) WHERE person NOT IN (3, 4)")
