@@ -7,6 +7,7 @@ from tagloom.catalog import query
 from tagloom.functions import text as X
 from tagloom.operators import graphs as G
 from tagloom.operators import search as S
+from tagloom.operators import windows as V
 from tagloom.sources.tables import ARTICLES_SQL, BASKETS_SQL, STREAM_SQL, articles, baskets, stream, table
 
 A, B, ST = (f"WITH {x}" for x in (ARTICLES_SQL, BASKETS_SQL, STREAM_SQL))
@@ -157,7 +158,7 @@ def thread_match(spark, sf_dir):
 
 @query("j17_thread_merge_links", f"{ST}, t AS (SELECT user_id, section, date_trunc('day', published_at) AS day, min(published_at) AS a, max(published_at) AS z FROM stream GROUP BY ALL) SELECT DISTINCT x.user_id AS a_user, y.user_id AS b_user, x.section FROM t x JOIN t y ON x.section = y.section AND x.user_id <> y.user_id AND y.a > x.z AND y.a <= x.z + INTERVAL 20 MINUTE")
 def thread_merge_links(spark, sf_dir):
-    """Threads of a day that start within twenty minutes after another of their section ended: an equi-join on bands of twenty minutes."""
+    """Threads of a day that start within twenty minutes after another of their section ended: found and told in blocks of readers."""
     return _merge_links(stream(spark, sf_dir))
 
 
@@ -168,9 +169,4 @@ def thread_merge_links_whole(spark, sf_dir):
 
 
 def _merge_links(rows):
-    t = rows.groupBy("user_id", "section", F.to_date("published_at").alias("day")).agg(F.min("published_at").alias("a"), F.max("published_at").alias("z"))
-    band = lambda at: F.floor(F.unix_seconds(at.cast("timestamp")) / 1200)
-    x = t.select(F.col("user_id").alias("a_user"), "section", F.col("z").alias("end"), F.explode(F.array(band(F.col("z")), band(F.col("z")) + 1)).alias("band"))
-    y = t.select(F.col("user_id").alias("b_user"), "section", F.col("a").alias("start"), band(F.col("a")).alias("band"))
-    near = (F.col("a_user") != F.col("b_user")) & (F.col("start") > F.col("end")) & (F.col("start") <= F.col("end") + F.expr("INTERVAL 20 MINUTES"))
-    return x.join(y, ["section", "band"]).where(near).select("a_user", "b_user", "section").distinct()
+    return V.followers(rows.groupBy("user_id", "section", F.to_date("published_at").alias("day")).agg(F.min("published_at").alias("a"), F.max("published_at").alias("z")))
