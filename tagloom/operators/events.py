@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.graphs import components
+from tagloom.operators.windows import going_on
 from tagloom.sources.sinks import settle
 
 
@@ -174,14 +175,13 @@ def merge_links(threads: DataFrame, now: Column, quiet: str = "7 HOURS", expiry:
     """earlier, later: threads (id, first_at, last_at, majors) of one story, of which the later starts after the earlier and within a day of its end.
 
     Both ended more than ``quiet`` ago and are not older than ``expiry``. One story: three common
-    majors, or all of the earlier one's. Joined through the majors they share.
+    majors, or all of the earlier one's.
     """
     fresh = threads.where((F.col("last_at") < now - F.expr(f"INTERVAL {quiet}")) & (F.col("last_at") >= now - F.expr(f"INTERVAL {expiry}")))
-    x = fresh.select(F.col("id").alias("earlier"), F.col("first_at").alias("fx"), F.col("last_at").alias("lx"), F.size("majors").alias("n"), F.explode("majors").alias("major"))
-    y = fresh.where(F.col("first_at") >= now - F.expr(f"INTERVAL {expiry}")).select(F.col("id").alias("later"), F.col("first_at").alias("fy"), F.explode("majors").alias("major"))
-    both = x.join(y, "major").where((F.col("fy") > F.col("fx")) & (F.col("fy") <= F.col("lx") + F.expr("INTERVAL 1 DAY")))
-    hits = both.groupBy("earlier", "later", "n").agg(F.count_distinct("major").alias("hits"))
-    return hits.where("hits >= 3 OR hits = n").select("earlier", "later", "hits")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    told = lambda f, last: f.select("id", micros(F.col("first_at")).alias("first"), micros(last).alias("last"), "majors")
+    rows = settle(fresh)
+    return going_on(told(rows, F.col("last_at") + F.expr("INTERVAL 1 DAY")), told(rows.where(F.col("first_at") >= now - F.expr(f"INTERVAL {expiry}")), F.col("last_at")))
 
 
 def related_threads(threads: DataFrame, top: int = 3) -> DataFrame:
