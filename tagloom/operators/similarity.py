@@ -121,7 +121,9 @@ def meeting(rows: DataFrame, counted: DataFrame, days: int) -> DataFrame:
     slot, early = F.floor(F.col("sec") / (window * SPAN)).alias("slot"), F.pmod(F.col("sec"), F.lit(window * SPAN)) < window
     blocks = lambda some: F.ceil(F.greatest(F.lit(1), F.count_if(some) / BLOCK_TEXTS, F.coalesce(F.sum(F.when(some, F.col("size"))), F.lit(0)) / BLOCK_CHARS)).cast("int")
     n = counted.where("sec is not null").groupBy(slot).agg(blocks(F.lit(True)).alias("_n"), blocks(early).alias("_e"))
-    n = n.join(n.select(F.col("slot") + 1, "_n").toDF("slot", "_before"), "slot", "left").join(n.select(F.col("slot") - 1, "_e").toDF("slot", "_after"), "slot", "left")
+    none = F.lit(None).cast("int")
+    sides = F.array(*(F.struct((F.col("slot") + d).alias("slot"), own.alias("_n"), early_.alias("_e"), before.alias("_before"), after.alias("_after")) for d, own, early_, before, after in ((0, F.col("_n"), F.col("_e"), none, none), (1, none, none, F.col("_n"), none), (-1, none, none, none, F.col("_e")))))
+    n = n.select(F.explode(sides).alias("s")).select("s.*").groupBy("slot").agg(*(F.max(c).alias(c) for c in ("_n", "_e", "_before", "_after"))).where("_n is not null")
     at = rows.drop("slot").withColumn("slot", slot).join(F.broadcast(n), "slot")  # a row for each slot of time
     mine, ahead = (F.pmod(F.xxhash64("id"), F.col(c)).cast("int") for c in ("_n", "_e"))
     place = lambda s, b, t, own: F.struct(s.cast("long").alias("slot"), b.cast("int").alias("block"), t.cast("int").alias("turn"), F.lit(own).alias("mine"))
